@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import packing, seen, split
+from . import leak, packing, seen, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +62,21 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p5_bins(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_report, p3_found, p3_answers, p3_filter_errors, p3_store_errors, p5_bins, p5_report)}
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every leak with its cosine, the share of the item's words and of its answer words."""
+    return leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    """The test items that leaked and the number of documents that carry each."""
+    return p6_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("largest_share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_report, p3_found, p3_answers, p3_filter_errors, p3_store_errors, p5_bins, p5_report, p6_found, p6_leaks, p6_items)}
 
 _P3 = """
 rec AS (SELECT 'put_requests' AS origin, seq AS id, CAST(0 AS BIGINT) AS pos, min(fid) AS key FROM put_requests WHERE seq IS NOT NULL GROUP BY seq
