@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,20 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     catalog that outgrows the bound falls back to a shuffled join.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_slotlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="slotlake-"), "slotlake.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("slotlake", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._slotlake_shipped = True
