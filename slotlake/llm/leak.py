@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .text import byte_words
 
 #: Words per tile; passages are SPANS tiles long.
 TILE = 32
@@ -34,7 +35,7 @@ SPANS = (2, 4)
 #: Terms in more than this share of the tiles carry no weight.
 COMMON = 0.05
 #: Least cosine of a candidate.
-COSINE = 0.75
+COSINE = 0.7
 #: Weight of the items' rows in the decomposed matrix, oversampling of its rank, tiles it is fitted on.
 ITEM_WEIGHT = 30.0
 OVERSAMPLE = 32
@@ -49,14 +50,15 @@ SURE = 0.58
 ANSWERS = 0.35
 
 MARKUP = re.compile(r"<!--.*?-->|<ref[^>]*/>|<ref[^>]*>.*?</ref>|&\w+;|<[^>]*>|\{\{\w+\}\}", re.S)
-WORD = re.compile(r"\w+")
+_SPACES = bytes(c if chr(c).isalnum() or c >= 128 or c == 95 else 32 for c in range(256))
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(MARKUP.sub(" ", text).lower())
+def words(text: str) -> list[bytes]:
+    """The words of a text without markup, lower case, as UTF-8: what stands between spaces and punctuation."""
+    return byte_words(MARKUP.sub(" ", text).lower(), _SPACES)
 
 
-def answer_words(text: str) -> set[str]:
+def answer_words(text: str) -> set[bytes]:
     """Numbers, and capitalised words that do not begin a sentence, lower-cased."""
     out, begin = set(), True
     for m in re.finditer(r"\w+|[.!?:]", MARKUP.sub(" ", text)):
@@ -65,7 +67,7 @@ def answer_words(text: str) -> set[str]:
             begin = True
             continue
         if any(c.isdigit() for c in w) or (w[0].isupper() and not begin):
-            out.add(w.lower())
+            out.add(w.lower().encode())
         begin = False
     return out
 
@@ -77,12 +79,13 @@ class Items:
         kept = sorted({(int(i), t) for i, t in rows if i is not None and t and words(t)})
         self.ids = [i for i, _ in kept]
         texts = [t for _, t in kept]
-        self.vocab: dict[str, int] = {}
+        self.vocab: dict[bytes, int] = {}
         self.terms = [np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words(t)], dtype=np.int32) for t in texts]
         self.answers = [frozenset(self.vocab[w] for w in answer_words(t) if w in self.vocab) for t in texts]
         self.counts = np.zeros((len(kept), len(self.vocab)), dtype=np.float32)
         for r, terms in enumerate(self.terms):
             np.add.at(self.counts[r], terms, 1)
+        self.has = self.counts > 0
         self.masks = []
         for terms in self.terms:
             m: dict[int, int] = {}
@@ -92,21 +95,19 @@ class Items:
 
 
 def common_subsequence(mask: dict[int, int], n: int, terms: list[int]) -> int:
-    """Length of the longest common subsequence with an item of n words, bit-parallel."""
+    """Length of the longest common subsequence with an item of n words, bit-parallel. All terms are the item's."""
     full = (1 << n) - 1
     v = full
-    for t in terms:
-        b = mask.get(t)
-        if b:
-            u = v & b
-            v = ((v + u) | (v - u)) & full
+    for b in map(mask.__getitem__, terms):
+        u = v & b
+        v = ((v + u) | (v - u)) & full
     return n - v.bit_count()
 
 
 _CODED = "doc_id long, tiles long, terms binary, places binary, df binary"
 
 
-def encode(documents: DataFrame, vocab: dict[str, int]) -> DataFrame:
+def encode(documents: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
     """Per document its item terms and their word positions; per batch a row with the tile frequencies of the terms.
 
     Null and empty texts give a document without terms.
@@ -128,7 +129,9 @@ def encode(documents: DataFrame, vocab: dict[str, int]) -> DataFrame:
                 marks.append((at // TILE + tiles).astype(np.int64) * size + ids)
                 tiles += n
             if rows:
-                df = np.bincount(np.unique(np.concatenate(marks)) % size, minlength=size) if size else np.zeros(0, dtype=np.int64)
+                pairs = np.sort(np.concatenate(marks))
+                pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+                df = np.bincount(pairs % size, minlength=size)
                 rows.append((None, tiles, None, None, df.astype(np.int64).tobytes()))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CODED.split(", ")]).astype({"doc_id": "Int64"})
 
@@ -140,13 +143,21 @@ def project(tiles: np.ndarray, terms: np.ndarray, weights: np.ndarray, basis: np
     out = np.zeros((count, basis.shape[1]), dtype=np.float32)
     heavy = weights[terms] > 0
     t, k = tiles[heavy], terms[heavy]
+    if not len(t):
+        return out
     scaled = (basis * weights[:, None]).astype(np.float32)
-    step = 200_000
-    for i in range(0, len(t), step):
-        j = i + step
-        a = t[i:j]
-        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        out[a[start]] += np.add.reduceat(scaled[k[i:j]], start, axis=0)
+    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    rank = np.arange(len(t)) - np.repeat(start, np.diff(np.r_[start, len(t)]))
+    # The j-th terms of all tiles of a block are added at once; a block's rows stay in the cache.
+    for lo in range(0, count, 1024):
+        i, j = np.searchsorted(t, [lo, lo + 1024])
+        order = np.argsort(rank[i:j], kind="stable")
+        rows, cols = t[i:j][order] - lo, k[i:j][order]
+        ends = np.cumsum(np.bincount(rank[i:j])) if j > i else []
+        block, at = out[lo : lo + 1024], 0
+        for end in ends:
+            block[rows[at:end]] += scaled[cols[at:end]]
+            at = end
     return out
 
 
@@ -226,19 +237,21 @@ def _check(items: Items, r: int, terms: np.ndarray, places: np.ndarray, lo: int,
     length = int(n * STRETCH)
     lo = max(0, lo - length)
     i, j = np.searchsorted(places, [lo, hi + length])
-    if common_subsequence(mask, n, terms[i:j].tolist()) < SHARE * n:
+    terms, places = terms[i:j], places[i:j]
+    own = items.has[r][terms]
+    terms, places = terms[own], places[own]
+    if len(terms) < SHARE * n or common_subsequence(mask, n, terms.tolist()) < SHARE * n:
         return 0.0, 0.0
-    best, window = 0, (i, i)
-    for s in range(lo, max(lo + 1, hi), 8):
-        a, b = np.searchsorted(places, [s, s + length])
-        if b - a < best:
-            continue
-        got = common_subsequence(mask, n, terms[a:b].tolist())
-        if got > best:
-            best, window = got, (a, b)
-    own = items.answers[r]
-    held = own.intersection(terms[window[0] : window[1]].tolist())
-    return best / n, len(held) / len(own) if own else 1.0
+    best, window = 0, (0, 0)
+    begins = np.arange(lo, max(lo + 1, hi), 8)
+    for a, b in zip(np.searchsorted(places, begins).tolist(), np.searchsorted(places, begins + length).tolist(), strict=True):
+        if b - a > best:
+            got = common_subsequence(mask, n, terms[a:b].tolist())
+            if got > best:
+                best, window = got, (a, b)
+    answers = items.answers[r]
+    held = answers.intersection(terms[window[0] : window[1]].tolist())
+    return best / n, len(held) / len(answers) if answers else 1.0
 
 
 def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray, cosine: float = COSINE) -> DataFrame:
@@ -306,11 +319,13 @@ def leaks(documents: DataFrame, eval_items: DataFrame, cosine: float = COSINE, f
     encode(documents.where("doc_id is not null"), items.vocab).write.option("compression", "zstd").parquet(path)
     coded = spark.read.schema(_CODED).parquet(path)
     size = len(items.vocab)
-    totals = coded.where("doc_id is null").select("tiles", "df").mapInPandas(lambda it: _sum_df(it, size), "tiles long, df binary").collect()
-    tiles = sum(r["tiles"] for r in totals)
+    counts = coded.where("doc_id is null").select("tiles", "df").mapInPandas(lambda it: _sum_df(it, size), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(size + 1, dtype=np.int64)
+    for r in counts:
+        df[r["term"]] = r["n"]
+    tiles, df = int(df[size]), df[:size]
     if not tiles:
         return empty
-    df = np.sum([np.frombuffer(r["df"], dtype=np.int64) for r in totals], axis=0)
     weights = np.log((tiles + 1) / (df + 1.0))
     # In a corpus of a few tiles every term is common; then none is dropped.
     weights = np.where(df > max(COMMON * tiles, 50), 0.0, np.maximum(weights, 1e-3)).astype(np.float32)
@@ -320,9 +335,10 @@ def leaks(documents: DataFrame, eval_items: DataFrame, cosine: float = COSINE, f
 
 
 def _sum_df(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    tiles, total = 0, np.zeros(size, dtype=np.int64)
+    """(term, n) over the frequency rows of a partition; the number of tiles as term `size`."""
+    total = np.zeros(size + 1, dtype=np.int64)
     for b in batches:
-        tiles += int(b["tiles"].sum())
+        total[size] += int(b["tiles"].sum())
         for x in b["df"]:
-            total += np.frombuffer(x, dtype=np.int64)
-    yield pd.DataFrame({"tiles": [tiles], "df": [total.tobytes()]})
+            total[:size] += np.frombuffer(x, dtype=np.int64)
+    yield pd.DataFrame({"term": np.arange(size + 1, dtype=np.int32), "n": total})
