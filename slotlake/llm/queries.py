@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import leak, packing, seen, split
+from . import leak, packing, seen, split, subjects
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,16 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return p6_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("largest_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_report, p3_found, p3_answers, p3_filter_errors, p3_store_errors, p5_bins, p5_report, p6_found, p6_leaks, p6_items)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+def p7_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per subject; one with several counts for each."""
+    return p7_found(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_report, p3_found, p3_answers, p3_filter_errors, p3_store_errors, p5_bins, p5_report, p6_found, p6_leaks, p6_items, p7_found, p7_composition)}
 
 _P3 = """
 rec AS (SELECT 'put_requests' AS origin, seq AS id, CAST(0 AS BIGINT) AS pos, min(fid) AS key FROM put_requests WHERE seq IS NOT NULL GROUP BY seq
