@@ -11,10 +11,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..types import ANCHOR_CODE, ENTRY_BYTES, HEADER_MAGIC, JUMP_SENTINEL, MANIFEST_MAGIC, PACKED_MAGIC, PACKED_SENTINEL, signed
 
 _U64 = 2**64 - 1
+
+
+def _row(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_LONG, _INT, _TEXT = T.LongType(), T.IntegerType(), T.StringType()
 _HEADER = struct.Struct("<4sHHQ")
 _PACKED = struct.Struct("<4sHHQQQQQ")
 _PACKED_ENTRY = struct.Struct("<QQQ")
@@ -51,7 +59,7 @@ def decode_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words[:, 0].view(np.int64), (words[:, 1] & np.uint64(JUMP_SENTINEL)).astype(np.int64), raw[:, 15].astype(np.int32)
 
 
-@F.pandas_udf("array<struct<fid:long,size:long,jump_code:int>>")
+@F.pandas_udf(T.ArrayType(_row(fid=_LONG, size=_LONG, jump_code=_INT)))
 def entries_udf(data: pd.Series) -> pd.Series:
     """An index stream as its entries up to the first aligned all-zero one. Null stays null."""
 
@@ -66,7 +74,7 @@ def entries_udf(data: pd.Series) -> pd.Series:
     return data.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def entry_bytes_udf(fid: pd.Series, size: pd.Series, code: pd.Series) -> pd.Series:
     """(fid, size, code) -> 16 bytes; null where they make no valid entry."""
 
@@ -93,7 +101,7 @@ def decode_header(data: bytes) -> dict | None:
     return {"version": version, "capacity_gb": capacity, "disk_id": signed(disk), "note": data[_HEADER.size : HEADER_BYTES].split(b"\0")[0].decode("utf-8", "replace")}
 
 
-@F.pandas_udf("struct<version:int,capacity_gb:int,disk_id:long,note:string>")
+@F.pandas_udf(_row(version=_INT, capacity_gb=_INT, disk_id=_LONG, note=_TEXT))
 def header_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The header of a disk image's first bytes; all null where there is none."""
     for b in batches:
@@ -141,7 +149,7 @@ def decode_packed(data: bytes) -> dict:
     return {"disk_id": signed(disk), "container_fid": signed(container), "container_size": size, "nonce": nonce, "entries": entries}
 
 
-PACKED_TYPE = "struct<disk_id:long,container_fid:long,container_size:long,nonce:long,fault:string,entries:array<struct<fid:long,byte_offset:long,size:long>>>"
+PACKED_TYPE = _row(disk_id=_LONG, container_fid=_LONG, container_size=_LONG, nonce=_LONG, fault=_TEXT, entries=T.ArrayType(_row(fid=_LONG, byte_offset=_LONG, size=_LONG)))
 
 
 @F.pandas_udf(PACKED_TYPE)
@@ -243,10 +251,12 @@ def decode_manifest(data: bytes) -> dict:
     return out
 
 
-MANIFEST_TYPE = "struct<version:int,total_size:long,full_content_hash:long,filename:string,chunk_target_size:long,chunks:array<struct<fid:long,target_fid:long,byte_offset:long,size:long,jumps_taken:int>>>"
+MANIFEST_TYPE = _row(
+    version=_INT, total_size=_LONG, full_content_hash=_LONG, filename=_TEXT, chunk_target_size=_LONG, chunks=T.ArrayType(_row(fid=_LONG, target_fid=_LONG, byte_offset=_LONG, size=_LONG, jumps_taken=_INT))
+)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def manifest_bytes_udf(total: pd.Series, content: pd.Series, name: pd.Series, target: pd.Series, chunks: pd.Series) -> pd.Series:
     """(total_size, full_content_hash, filename, chunk_target_size, chunks) -> manifest bytes."""
     return pd.Series(

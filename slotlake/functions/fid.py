@@ -8,6 +8,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..types import CHD_SAMPLES, MAX_JUMPS, signed
 
@@ -35,14 +36,14 @@ def jump_fids(data: bytes, most: int = MAX_JUMPS) -> list[int]:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def xxh3(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """BINARY -> fid. Null stays null; an empty payload has the fid of no bytes."""
     for b in batches:
         yield pd.Series([None if x is None else content_fid(bytes(x)) for x in b], dtype="Int64")
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def xxh3_jumps(payload: pd.Series, most: pd.Series) -> pd.Series:
     """(BINARY, most) -> the jump fids 1..most. Null stays null."""
     return pd.Series([None if x is None else jump_fids(bytes(x), int(n)) for x, n in zip(payload, most, strict=True)])

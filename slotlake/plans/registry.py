@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general
+from . import general, store
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return general.p4_records(spark, d)
+    return store.fid_dedup(spark, d)
 
 
 def queries() -> dict:
-    return dict(general.QUERIES)
+    return general.QUERIES | store.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(general.ORACLE)
+    return general.ORACLE | store.ORACLE
