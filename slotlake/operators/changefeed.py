@@ -19,8 +19,8 @@ from pyspark.sql.window import Window as W
 
 from ..types import ANCHOR_CODE, JUMP_SENTINEL, PACKED_SENTINEL
 
-#: Sequence numbers per block. A block is the unit of one window partition.
-BLOCK_ROWS = 65_536
+#: Sequence numbers per block, as a power of two. A block is the unit of one window partition.
+BLOCK_BITS = 16
 
 
 def indicator(size: Column, code: Column) -> Column:
@@ -44,22 +44,25 @@ def ordered_entries(log: DataFrame) -> DataFrame:
     Redelivered rows collapse before the shuffle. Rows without disk_id or seq have no
     place in the order and are left out. A null size or jump_code is read from kind;
     what stays unreadable (also a null fid) becomes a stray entry: size -1, code 1,
-    which closes an open pair without effect. If copies differ, the least
-    (fid, size, code) counts.
+    which closes an open pair without effect. If copies differ, the least value of each
+    column counts.
     """
     kind = F.col("kind") if "kind" in log.columns else F.lit(None).cast("string")
     size = F.coalesce(F.col("size"), F.when(kind == "tombstone", 0).when(kind == "jump", JUMP_SENTINEL).when(kind == "anchor", PACKED_SENTINEL))
     code = F.coalesce(F.col("jump_code"), F.when(kind.isin("plain", "tombstone"), 0).when(kind == "jump", 1).when(kind == "anchor", ANCHOR_CODE))
     bad = size.isNull() | code.isNull() | F.col("fid").isNull()
     rows = log.where(F.col("disk_id").isNotNull() & F.col("seq").isNotNull()).select(
-        "disk_id", "seq", F.struct(F.coalesce("fid", F.lit(0)).alias("fid"), F.when(bad, -1).otherwise(size).cast("long").alias("size"), F.when(bad, 1).otherwise(code).cast("int").alias("code")).alias("e")
+        "disk_id", "seq", F.coalesce("fid", F.lit(0)).alias("fid"), F.when(bad, -1).otherwise(size).cast("long").alias("size"), F.when(bad, 1).otherwise(code).cast("int").alias("code")
     )
-    return rows.groupBy("disk_id", "seq").agg(F.min("e").alias("e")).select("disk_id", "seq", "e.fid", "e.size", "e.code")
+    # Plain columns keep this a hash aggregate; a struct would make it sort.
+    return rows.groupBy("disk_id", "seq").agg(F.min("fid").alias("fid"), F.min("size").alias("size"), F.min("code").alias("code"))
 
 
-def _blocks(entries: DataFrame, block_rows: int) -> DataFrame:
+def _blocks(entries: DataFrame, block_bits: int) -> DataFrame:
     w = W.partitionBy("disk_id", "block").orderBy("seq")
-    return entries.withColumn("block", F.floor(F.col("seq") / block_rows)).select(
+    # One shuffle for the rows and for the edges: the same columns, no filter on the block.
+    blocked = entries.withColumn("block", F.coalesce(F.shiftright("seq", block_bits), F.lit(0).cast("long"))).repartition("disk_id", "block")
+    return blocked.select(
         "*",
         indicator(F.col("size"), F.col("code")).alias("ind"),
         F.row_number().over(w).alias("rn"),
@@ -110,7 +113,7 @@ def _edges(rows: DataFrame) -> DataFrame:
     )
 
 
-def committed_changes(log: DataFrame, sealed: bool = True, first_seq: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def committed_changes(log: DataFrame, sealed: bool = True, first_seq: int = 1, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Every complete change, in the state of the log that may be seen.
 
     Columns disk_id, pos (the row that completed the change), op (put, delete or
@@ -121,7 +124,7 @@ def committed_changes(log: DataFrame, sealed: bool = True, first_seq: int = 1, b
     also all rows of a disk whose log does not begin at first_seq.
     The first row with fid, size and jump_code 0 ends a disk's log.
     """
-    rows = _blocks(ordered_entries(log), block_rows)
+    rows = _blocks(ordered_entries(log), block_bits)
     joined = rows.join(_edges(rows).select("disk_id", "block", "row_before", "carry", "end_seq", "gap_seq", "log_start"), ["disk_id", "block"])
     w = W.partitionBy("disk_id", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     last_other = F.max(F.when(~F.col("ind"), F.col("rn"))).over(w)
@@ -151,24 +154,24 @@ def committed_changes(log: DataFrame, sealed: bool = True, first_seq: int = 1, b
     ).where(F.col("op").isNotNull())
 
 
-def latest_records(log: DataFrame, sealed: bool = True, first_seq: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def latest_records(log: DataFrame, sealed: bool = True, first_seq: int = 1, block_bits: int = BLOCK_BITS) -> DataFrame:
     """The record of every fid on every disk after all visible changes.
 
     Stray entries (a code without its sentinel) change nothing; see log_violations().
     """
-    changes = committed_changes(log, sealed, first_seq, block_rows).where("op != 'stray'")
+    changes = committed_changes(log, sealed, first_seq, block_bits).where("op != 'stray'")
     last = changes.groupBy("disk_id", "fid").agg(F.max(F.struct("pos", "op", "seq", "size", "actual_fid", "actual_size", "jump_code", "jump", "packed")).alias("r"))
     return last.where("r.op = 'put'").select("disk_id", "fid", "r.size", "r.actual_fid", "r.actual_size", "r.jump_code", "r.seq", "r.jump", "r.packed")
 
 
-def watermarks(log: DataFrame, first_seq: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def watermarks(log: DataFrame, first_seq: int = 1, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Per disk: entries, last_seq, the contiguous committed watermark, held rows and end_seq.
 
     The watermark is the last seq with no gap before it (first_seq - 1 if the log does
     not begin at first_seq); held counts the rows behind it; end_seq is the seq of the
     first terminator, null while none came.
     """
-    e = _edges(_blocks(ordered_entries(log), block_rows))
+    e = _edges(_blocks(ordered_entries(log), block_bits))
     disk = e.groupBy("disk_id").agg(
         F.sum("n").alias("entries"), F.max("last_row.seq").alias("last_seq"), F.min("log_start").alias("log_start"), F.min("gap_seq").alias("gap_seq"), F.min("gap_prev").alias("gap_prev"), F.min("end_seq").alias("end_seq")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..types import ANCHOR_CODE, ENTRY_BYTES, INDEX_BYTES, JUMP_SENTINEL, PACKED_SENTINEL, SLOT_BYTES
-from .changefeed import BLOCK_ROWS, committed_changes, entry_kind, latest_records, ordered_entries
+from .changefeed import BLOCK_BITS, committed_changes, entry_kind, latest_records, ordered_entries
 from .consolidate import valid_entries
 from .prefix import blocked_running_sum
 
@@ -89,7 +89,7 @@ def strict_violations(log: DataFrame) -> DataFrame:
     return duplicate.unionByName(twice).unionByName(stray).unionByName(dangling)
 
 
-def compact_entries(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def compact_entries(log: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """The compacted log (disk_id, seq, fid, size, jump_code): one entry per plain record, two per pair, in seq order.
 
     Entries are numbered from 1 per disk by sums per block of seq, never by one task per disk.
@@ -100,7 +100,7 @@ def compact_entries(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     head = F.struct(F.lit(0).alias("sub"), F.col("fid").alias("fid"), F.when(pair, sentinel).otherwise(F.col("actual_size")).alias("size"), F.when(pair, F.col("jump_code")).otherwise(0).alias("jump_code"))
     body = F.struct(F.lit(1).alias("sub"), F.col("actual_fid").alias("fid"), F.col("actual_size").alias("size"), F.lit(0).alias("jump_code"))
     e = r.select("disk_id", F.col("seq").alias("at"), F.explode(F.when(pair, F.array(head, body)).otherwise(F.array(head))).alias("e")).withColumn("one", F.lit(1))
-    n = blocked_running_sum(e, ["disk_id"], F.floor(F.col("at") / block_rows), [F.col("at"), F.col("e.sub")], "one", "before")
+    n = blocked_running_sum(e, ["disk_id"], F.shiftright("at", block_bits), [F.col("at"), F.col("e.sub")], "one", "before")
     return n.select("disk_id", (F.col("before") + 1).alias("seq"), "e.fid", "e.size", "e.jump_code")
 
 
