@@ -48,13 +48,13 @@ def small_objects(refs: DataFrame, packed: DataFrame, trim_status: DataFrame) ->
     it is null; without either the object is not selected. All exclusions are brought to
     one (disk_id, fid) aggregate, so there is one shuffle and no join on large sides.
     """
-    own = refs.select("disk_id", "fid", F.struct(F.coalesce("size", "stored_size").alias("size"), (F.col("target_fid").isNull() | (F.col("target_fid") == F.col("fid"))).alias("own")).alias("r"), F.lit(0).alias("out"))
-    none = F.lit(None).cast("struct<size:bigint,own:boolean>")
-    not_own = lambda df, fid: df.select("disk_id", F.col(fid).alias("fid"), none.alias("r"), F.lit(1).alias("out"))
+    direct = (F.col("target_fid").isNull() | (F.col("target_fid") == F.col("fid"))).cast("int")
+    own = refs.select("disk_id", "fid", F.coalesce("size", "stored_size").alias("size"), direct.alias("own"), F.lit(0).alias("out"))
+    not_own = lambda df, fid: df.select("disk_id", F.col(fid).alias("fid"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("int").alias("own"), F.lit(1).alias("out"))
     pointed = refs.where("target_fid != fid")
     everything = own.unionByName(not_own(pointed, "target_fid")).unionByName(not_own(packed, "table_fid")).unionByName(not_own(packed, "container_fid")).unionByName(not_own(valid_entries(packed), "fid"))
-    seen = everything.where("disk_id is not null and fid is not null").groupBy("disk_id", "fid").agg(F.min("r").alias("r"), F.max("out").alias("out"), F.min("r.own").alias("own"))
-    alone = seen.where("out = 0 and own").select("disk_id", "fid", "r.size")
+    seen = everything.where("disk_id is not null and fid is not null").groupBy("disk_id", "fid").agg(F.min("size").alias("size"), F.min("own").alias("own"), F.max("out").alias("out"))
+    alone = seen.where("out = 0 and own = 1").select("disk_id", "fid", "size")
     limits = broadcast_if_small(latest_thresholds(trim_status).select("disk_id", "threshold"))
     return alone.join(limits, "disk_id").where(F.col("size") < F.col("threshold"))
 

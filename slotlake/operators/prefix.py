@@ -13,9 +13,12 @@ def blocked_running_sum(df: DataFrame, group: list[str], block: Column, order: l
     `block` must rise with `order` inside a group. Rows are shuffled once, by
     (group, block), so a group that holds a third of all rows is spread over its
     blocks; only one total per block goes through the per-group window.
-    Null values count as 0. An empty table stays empty.
+    Null values count as 0, a null block as block 0. An empty table stays empty.
     """
     keys = [*group, "_block"]
+    # A block that cannot be null keeps the join from adding a filter below the shuffles,
+    # so that both branches read the same ones.
+    block = F.coalesce(block.cast("long"), F.lit(0).cast("long"))
     rows = df.withColumn("_block", block)
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     v = F.coalesce(F.col(value), F.lit(0))
