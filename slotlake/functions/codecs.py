@@ -22,6 +22,12 @@ def _row(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
+def _frame(rows: list[dict], type_: T.StructType) -> pd.DataFrame:
+    """Rows as a frame of the type; what a row lacks is null, also in integer and array columns."""
+    kinds = {T.LongType: "Int64", T.IntegerType: "Int32"}
+    return pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype=kinds.get(type(f.dataType), object)) for f in type_})
+
+
 _LONG, _INT, _TEXT = T.LongType(), T.IntegerType(), T.StringType()
 _HEADER = struct.Struct("<4sHHQ")
 _PACKED = struct.Struct("<4sHHQQQQQ")
@@ -101,13 +107,14 @@ def decode_header(data: bytes) -> dict | None:
     return {"version": version, "capacity_gb": capacity, "disk_id": signed(disk), "note": data[_HEADER.size : HEADER_BYTES].split(b"\0")[0].decode("utf-8", "replace")}
 
 
-@F.pandas_udf(_row(version=_INT, capacity_gb=_INT, disk_id=_LONG, note=_TEXT))
+HEADER_TYPE = _row(version=_INT, capacity_gb=_INT, disk_id=_LONG, note=_TEXT)
+
+
+@F.pandas_udf(HEADER_TYPE)
 def header_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The header of a disk image's first bytes; all null where there is none."""
     for b in batches:
-        rows = [(None if x is None else decode_header(bytes(x))) or {} for x in b]
-        frame = pd.DataFrame(rows, columns=["version", "capacity_gb", "disk_id", "note"])
-        yield frame.astype({"version": "Int32", "capacity_gb": "Int32", "disk_id": "Int64"})
+        yield _frame([(None if x is None else decode_header(bytes(x))) or {} for x in b], HEADER_TYPE)
 
 
 def encode_packed(disk_id: int, container_fid: int, container_size: int, entries: list[tuple[int, int, int]], nonce: int = 0) -> bytes:
@@ -160,8 +167,7 @@ def packed_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for x in b:
             fault = packed_fault(None if x is None else bytes(x))
             rows.append({"fault": fault} if fault else decode_packed(bytes(x)) | {"fault": None})
-        frame = pd.DataFrame(rows, columns=["disk_id", "container_fid", "container_size", "nonce", "fault", "entries"])
-        yield frame.astype({c: "Int64" for c in ("disk_id", "container_fid", "container_size", "nonce")}).astype({"fault": object})
+        yield _frame(rows, PACKED_TYPE)
 
 
 def _varint(value: int) -> bytes:
@@ -277,8 +283,7 @@ def manifest_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 rows.append(decode_manifest(bytes(x)))
             except (ValueError, TypeError):
                 rows.append({})
-        frame = pd.DataFrame(rows, columns=[*_MANIFEST])[["version", "total_size", "full_content_hash", "filename", "chunk_target_size", "chunks"]]
-        yield frame.astype({c: "Int64" for c in ("total_size", "full_content_hash", "chunk_target_size")} | {"version": "Int32", "filename": object})
+        yield _frame(rows, MANIFEST_TYPE)
 
 
 def snapshot_meta(size: int, sha256: str) -> str:
