@@ -84,21 +84,23 @@ def pack(items: DataFrame, rows: int, capacity: int = CAPACITY, group_rows: int
     """(id, piece_no, token_start, tokens, group_no, bin_no) of items (id, tokens).
 
     An item larger than the capacity is cut into full pieces and a rest; no other is
-    split. Items without tokens take no room but get a bin. Groups are drawn by a hash of
+    split. Items without tokens take no room but get a bin; null ids are kept. Groups are drawn by a hash of
     id and row position, so repeated ids spread too. `rows` (the number of items) only
     sets the number of groups; an empty table gives no rows.
     """
     groups = max(1, -(-rows // group_rows))
     tokens = F.coalesce(F.col("tokens"), F.lit(0))
     pieces = F.greatest(F.ceil(tokens / capacity), F.lit(1))
-    cut = items.select("id", tokens.alias("t"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("int").alias("group_no"), F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)).alias("piece_no"))
-    cut = cut.select("group_no", "id", "piece_no", (F.col("piece_no") * capacity).alias("token_start"), F.least(F.col("t") - F.col("piece_no") * capacity, F.lit(capacity).cast("long")).alias("tokens"))
+    # A null id travels as a flag: pandas would turn the whole column into floats.
+    cut = items.select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNotNull().alias("named"), tokens.alias("t"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("int").alias("group_no"), F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)).alias("piece_no"))
+    cut = cut.select("group_no", "id", "named", "piece_no", (F.col("piece_no") * capacity).alias("token_start"), F.least(F.col("t") - F.col("piece_no") * capacity, F.lit(capacity).cast("long")).alias("tokens"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "id", "piece_no"], ascending=[False, True, True], kind="stable")
         return pdf.assign(bin_no=first_fit_decreasing(pdf["tokens"].to_numpy(), capacity))
 
-    return cut.groupBy("group_no").applyInPandas(fill, "group_no int, id long, piece_no long, token_start long, tokens long, bin_no long")
+    filled = cut.groupBy("group_no").applyInPandas(fill, "group_no int, id long, named boolean, piece_no long, token_start long, tokens long, bin_no long")
+    return filled.withColumn("id", F.when(F.col("named"), F.col("id"))).drop("named")
 
 
 def pack_documents(documents: DataFrame, rows: int, capacity: int = CAPACITY, folder: str = TOKENIZERS, name: str = RANKS) -> DataFrame:

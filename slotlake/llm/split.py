@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.prefix import blocked_running_sum
 from ..session import broadcast_if_small
@@ -68,7 +69,11 @@ def boundaries(data: bytes) -> list[np.ndarray]:
 
 
 def cut_points(data: bytes | None, length: int, limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """(offset, size) of the pieces. Without data (the payload is not kept) all cuts are hard."""
+    """(offset, size) of the pieces. Without data (the payload is not kept) all cuts are hard.
+
+    An overlap of more than half the limit counts as half, or pieces would not advance; a
+    limit under 16 bytes may give up the overlap between long characters.
+    """
     if length <= limit:
         return [(0, length)]
     overlap = min(overlap, limit // 2)
@@ -76,7 +81,7 @@ def cut_points(data: bytes | None, length: int, limit: int, overlap: int, least:
     kinds = boundaries(data) if data is not None else []
     pieces, start = [], 0
     while length - start > limit:
-        low, high = start + max(least, overlap + 4 if limit > 16 else overlap + 1), start + limit
+        low, high = start + max(least, overlap + 4 if limit >= 16 else overlap + 1), start + limit
         cut = 0
         for offsets in kinds:
             i = int(np.searchsorted(offsets, high, side="right")) - 1
@@ -119,15 +124,17 @@ def with_limits(chunks: DataFrame, options: DataFrame) -> DataFrame:
     )
 
 
-_CUTS = "file_id long, idx int, fid long, byte_offset long, length long, max_bytes long, overlap long, payload binary, cuts array<struct<piece_offset:long,piece_size:long>>"
+_PIECES = T.ArrayType(T.StructType([T.StructField("piece_offset", T.LongType()), T.StructField("piece_size", T.LongType())]))
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b["cuts"] = [
-            [{"piece_offset": o, "piece_size": s} for o, s in cut_points(None if p is None else bytes(p), int(n), int(m), int(v), int(k))] for p, n, m, v, k in zip(b["payload"], b["length"], b["max_bytes"], b["overlap"], b["least"], strict=True)
-        ]
-        yield b.drop(columns="least")
+@F.pandas_udf(_PIECES)
+def cuts_udf(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """(payload, length, max_bytes, overlap, least) -> the pieces. Only these columns go through Python."""
+    for payload, length, limit, overlap, least in batches:
+        yield pd.Series(
+            [[{"piece_offset": o, "piece_size": s} for o, s in cut_points(None if p is None else bytes(p), int(n), int(m), int(v), int(k))] for p, n, m, v, k in zip(payload, length, limit, overlap, least, strict=True)],
+            dtype=object,
+        )
 
 
 def oversized(chunks: DataFrame, options: DataFrame) -> DataFrame:
@@ -145,7 +152,7 @@ def oversized(chunks: DataFrame, options: DataFrame) -> DataFrame:
 
 def cut_oversized(chunks: DataFrame, options: DataFrame) -> DataFrame:
     """One row per oversized chunk with its cuts (piece_offset, piece_size), offsets from the chunk's start."""
-    return oversized(chunks, options).select("file_id", "idx", "fid", "byte_offset", "length", "max_bytes", "overlap", "payload", "least").mapInPandas(_cut, _CUTS)
+    return oversized(chunks, options).withColumn("cuts", cuts_udf("payload", "length", "max_bytes", "overlap", "least")).drop("least")
 
 
 def file_offsets(chunks: DataFrame) -> DataFrame:
