@@ -25,7 +25,7 @@ from . import fuse
 #: Sealed batches the records are cut into.
 GENERATIONS = 8
 #: Records for which one shard of filters is added.
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 250_000
 
 
 def records_of(puts: DataFrame | None, chunks: DataFrame | None) -> DataFrame:
