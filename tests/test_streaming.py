@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,9 +13,13 @@ def feed(spark, folder, schema, batches):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
 
 
-def run(df, folder, sink, mode="append"):
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/cp").foreachBatch(sink).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+def run(df, folder, sink, done):
+    """Runs until done(): processing-time timers keep such a query busy for ever."""
+    q = df.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/cp").foreachBatch(sink).start()
+    until = time.time() + 100
+    while not done() and q.isActive and time.time() < until:
+        time.sleep(0.2)
+    q.stop()
     assert q.exception() is None
 
 
@@ -36,7 +42,7 @@ def test_uploads(spark, tmp_path, batches):
         uploads.store_batch(str(tmp_path / "out"))(df, n)
         uploads.store_batch(str(tmp_path / "out"))(df, n)
 
-    run(uploads.assemble(src), str(tmp_path), sink)
+    run(uploads.assemble(src), str(tmp_path), sink, lambda: len(seen) >= 7)
     assert sorted(seen, key=lambda x: x[0]) == [
         ("a", "ok", 6, b"abcdef"), ("b", "ok", 3, b"xyz"), ("c", "empty", 0, None), ("d", "no_header", 1, None), ("e", "ok", 6, b"abcdef"), ("f", "long", 3, None), ("h", "too_large", 0, None),
     ]
@@ -55,5 +61,5 @@ def test_change_feed_stream(spark, tmp_path):
         log = spark.read.parquet(path).where(F.col("batch") <= n)
         states.append(sorted(r.fid for r in changefeed.latest_records(log, sealed=False).collect()))
 
-    run(src, str(tmp_path), sink)
+    run(src, str(tmp_path), sink, lambda: len(states) >= 3)
     assert states == [[5], [], [6, 7]]
