@@ -1,4 +1,4 @@
-"""python -m slotlake.cli --store DIR put|get|head|manifest|verify|compact ..."""
+"""python -m slotlake.cli --store DIR put|get|head|manifest|compact|bonnie|health|blk ..."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import functions as F
+
 from .config import load
-from .functions.parse import parse_id, parse_range
+from .functions.parse import parse_id, parse_range, parse_size
+from .operators import indexlog, placement
 from .session import local_session, ship_package
+from .sources import images
 from .store import NotFound, Store
 
 
@@ -16,6 +20,22 @@ def text(fid: int) -> str:
     return f"0x{fid & (2**64 - 1):016x}"
 
 
+def images_verb(spark, a: argparse.Namespace) -> int:
+    if a.action == "init":
+        images.init_image(a.path[0], parse_id(a.disk_id), parse_size(a.size), a.note, a.force)
+        return 0
+    found = images.find_devices(spark, a.path)
+    if a.action in ("find", "info"):
+        for r in found.orderBy("device_path").collect():
+            print(json.dumps(r.asDict() | {"disk_id": None if r["disk_id"] is None else f"0x{r['disk_id'] & (2**64 - 1):X}"}))
+        if a.output:
+            images.write_pool(found.where("status = 'match'").withColumn("pool_pos", F.lit(0)), a.output)
+        return 0 if a.action == "find" or not found.where("status != 'match'").count() else 1
+    log = images.read_index(found.where("status = 'match'"))
+    indexlog.backup(log if a.action == "index-backup" else indexlog.compact_entries(log), a.output)
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="slotlake")
     p.add_argument("--store", required=True)
@@ -34,6 +54,16 @@ def main(argv: list[str] | None = None) -> int:
     for v in ("head", "manifest"):
         verbs.add_parser(v).add_argument("fid")
     verbs.add_parser("compact")
+    verbs.add_parser("bonnie")
+    verbs.add_parser("health")
+    blk = verbs.add_parser("blk", help="device images")
+    blk.add_argument("action", choices=["find", "info", "index-backup", "index-compact", "init"])
+    blk.add_argument("--path", action="append", default=[], help="an image; may be repeated")
+    blk.add_argument("-o", "--output")
+    blk.add_argument("--disk-id")
+    blk.add_argument("--size")
+    blk.add_argument("--note", default="")
+    blk.add_argument("--force", action="store_true")
     a = p.parse_args(argv)
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
@@ -60,8 +90,19 @@ def main(argv: list[str] | None = None) -> int:
             m["full_content_hash"] = text(m["full_content_hash"])
             m["chunks"] = [{"index": k} | c | {"fid": text(c["fid"]), "target_fid": text(c["target_fid"])} for k, c in enumerate(m["chunks"])]
             print(json.dumps(m))
-        else:
+        elif a.verb == "compact":
             store.compact()
+        elif a.verb == "blk":
+            return images_verb(spark, a)
+        else:
+            disks = images.pool_state(images.find_devices(spark, [r["device_path"] for r in images.read_pool(spark, store.settings.pan_path).collect()]), store.settings.chd_target_p)
+            if a.verb == "bonnie":
+                r = placement.bonnie(disks, store.settings.max_put).first()
+                print(json.dumps({"ch_d_pow2": r["ch_d_pow2"], "bytes": r["bytes"]}))
+            else:
+                ok = placement.health(disks).first()["ok"]
+                print(json.dumps({"ok": ok}))
+                return 0 if ok else 1
     except NotFound as e:
         print(f"not found: {e}", file=sys.stderr)
         return 2

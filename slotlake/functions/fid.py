@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,3 +61,27 @@ def md5_fid(payload: Column) -> Column:
 def sample_fids(disk_id: int, samples: int = CHD_SAMPLES) -> list[int]:
     """The fids that probe a disk's free room; disk_id is written as an unsigned decimal."""
     return [content_fid(f"chd:{disk_id & (2**64 - 1)}:{i}".encode()) for i in range(samples)]
+
+
+def file_fid(path: str, block: int = 1 << 20) -> tuple[int, int]:
+    """(fid, size) of a file, read in blocks; a folder raises IsADirectoryError."""
+    h, n = xxhash.xxh3_64(), 0
+    with open(path, "rb") as f:
+        while data := f.read(block):
+            h.update(data)
+            n += len(data)
+    return signed(h.intdigest()), n
+
+
+def nonce_fids(payload: bytes, tries: int = 256) -> Iterator[tuple[int, bytes]]:
+    """(fid, payload) of a container as it is, then with 8-byte counters 1, 2, ... appended one after another."""
+    for nonce in range(tries):
+        if nonce:
+            payload += nonce.to_bytes(8, "little")
+        yield content_fid(payload), payload
+
+
+def auto_disk_id(path: str, size: int, salt: bytes) -> int:
+    """A disk id from size, path and 16 random bytes, which the caller gives."""
+    digest = hashlib.sha256(size.to_bytes(8, "little") + path.encode() + salt).digest()
+    return signed(int.from_bytes(digest[:8], "little"))

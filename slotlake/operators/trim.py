@@ -96,3 +96,44 @@ def verify(entries: DataFrame, candidates: DataFrame) -> DataFrame:
 def tombstones(candidates: DataFrame) -> DataFrame:
     """The log rows that delete the packed objects."""
     return candidates.select("disk_id", "fid", F.lit(0).cast("long").alias("size"), F.lit(0).alias("jump_code"))
+
+
+def cycle(log: DataFrame, packed: DataFrame, thresholds: DataFrame, payloads: DataFrame, limit: int = TRIM_BATCH[0], least_files: int = TRIM_MIN_FILES, ratio: float = TRIM_RATIO) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One trim pass over all disks: (new log rows, new packed tables, containers with payload).
+
+    Disks whose small files are too many get one container of at most `limit` bytes: the
+    new rows publish the container, its table behind an anchor, and a tombstone for each
+    object packed, numbered behind the log's last seq in this order, so that a log cut
+    anywhere still reads every object. payloads: fid, payload. A disk with an object whose
+    bytes are missing or of another length is left alone. Rewrite the log with
+    indexlog.compact_entries() afterwards.
+    """
+    from ..functions.codecs import encode_packed
+    from ..functions.fid import xxh3
+    from .changefeed import latest_records, ordered_entries
+    from .indexlog import anchor_rows
+    from ..session import cut
+
+    # Lineage is cut where a result feeds several others, or plans would double at each step.
+    log = cut(log)
+    all_ = cut(eligible(latest_records(log), packed))
+    fires = trigger(all_, thresholds, least_files, ratio).where("fires").select("disk_id", "threshold")
+    small = all_.join(fires, "disk_id").where("size < threshold").select("disk_id", "fid", "seq", "size")
+    chosen = batch(small, limit, ["disk_id"]).select("disk_id", "fid", "seq", "size", "byte_offset")
+    full = chosen.join(payloads.dropDuplicates(["fid"]), "fid", "left")
+    broken = full.where("payload is null or octet_length(payload) != size").select("disk_id").distinct()
+    boxes = containers(full.join(broken, "disk_id", "left_anti"), ["disk_id"]).withColumn("container_fid", xxh3("payload"))
+
+    @F.udf("binary")
+    def table(disk, fid, size, entries):
+        return bytearray(encode_packed(disk, fid, size, [(e["fid"], e["byte_offset"], e["size"]) for e in entries]))
+
+    boxes = boxes.withColumn("table", table("disk_id", "container_fid", "container_size", "entries")).withColumn("table_fid", xxh3("table"))
+    boxes = cut(boxes.join(ordered_entries(log).groupBy("disk_id").agg(F.max("seq").alias("last")), "disk_id"))
+    plain = boxes.select("disk_id", "last", F.inline(F.array(F.struct(F.lit(1).alias("at"), F.col("container_fid").alias("fid"), F.col("container_size").alias("size")), F.struct(F.lit(2).alias("at"), F.col("table_fid").alias("fid"), F.octet_length("table").cast("long").alias("size")))))
+    rows = plain.select("disk_id", (F.col("last") + F.col("at")).alias("seq"), "fid", "size", F.lit(0).alias("jump_code"))
+    anchors = anchor_rows(boxes.select("disk_id", F.col("table_fid").alias("fid"), F.octet_length("table").cast("long").alias("size"))).join(boxes.select("disk_id", "last"), "disk_id")
+    rows = rows.unionByName(anchors.select("disk_id", (F.col("last") + 3 + F.col("sub")).alias("seq"), "fid", "size", "jump_code"))
+    dead = boxes.select("disk_id", "last", F.posexplode("entries").alias("n", "e")).select("disk_id", (F.col("last") + 5 + F.col("n")).alias("seq"), F.col("e.fid").alias("fid"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("jump_code"))
+    tables = boxes.select("table_fid", "disk_id", "container_fid", "container_size", F.lit(0).cast("long").alias("nonce"), "entries", "table")
+    return rows.unionByName(dead), tables, boxes.select("disk_id", F.col("container_fid").alias("fid"), F.col("container_size").alias("size"), "payload")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codecs import HEADER_BYTES, HEADER_VERSION, decode_entries, decode_header, encode_entry, encode_header
+from ..functions.codecs import HEADER_BYTES, HEADER_VERSION, decode_entries, decode_header, encode_entry, encode_header, parse_snapshot_meta, snapshot_meta
+from ..functions.parse import parse_id
 from ..operators.changefeed import entry_kind
 from ..types import ENTRY_BYTES, GRID_START, INDEX_BYTES, INDEX_START
 
@@ -118,3 +119,115 @@ def write_index(path: str, entries: list[tuple[int, int, int]]) -> None:
     with open(path, "r+b") as f:
         f.seek(INDEX_START)
         f.write(data + bytes(min(ENTRY_BYTES, INDEX_BYTES - len(data))))
+
+
+def write_snapshot(image: str, folder: str, disk_id: int) -> bool:
+    """A zstd snapshot of an image with its side file; False if the last one has the same size and hash.
+
+    Written beside, read back and compared, then renamed; the side file comes last.
+    """
+    import hashlib
+
+    import zstandard
+
+    h, size = hashlib.sha256(), os.path.getsize(image)
+    with open(image, "rb") as f:
+        while data := f.read(_BLOCK):
+            h.update(data)
+    target = os.path.join(folder, f"0x{disk_id & (2**64 - 1):X}.zst")
+    meta = f"{target}.sha256"
+    if os.path.exists(target) and os.path.exists(meta):
+        with open(meta) as f:
+            if parse_snapshot_meta(f.read()) == (size, h.hexdigest()):
+                return False
+    os.makedirs(folder, exist_ok=True)
+    with open(image, "rb") as src, open(f"{target}.tmp", "wb") as dst:
+        zstandard.ZstdCompressor(level=1).copy_stream(src, dst)
+    if _unpacked(f"{target}.tmp") != (size, h.hexdigest()):
+        os.remove(f"{target}.tmp")
+        raise OSError("snapshot differs from its image")
+    os.replace(f"{target}.tmp", target)
+    with open(f"{meta}.tmp", "w") as f:
+        f.write(snapshot_meta(size, h.hexdigest()))
+    os.replace(f"{meta}.tmp", meta)
+    return True
+
+
+def _unpacked(path: str) -> tuple[int, str]:
+    """(size, sha256) of a snapshot's content."""
+    import hashlib
+
+    import zstandard
+
+    h, n = hashlib.sha256(), 0
+    with open(path, "rb") as f:
+        r = zstandard.ZstdDecompressor().stream_reader(f) if ".zst" in os.path.basename(path) else f
+        while data := r.read(_BLOCK):
+            h.update(data)
+            n += len(data)
+    return n, h.hexdigest()
+
+
+_SNAPSHOTS = "disk_id long, path string, is_zst boolean, size_bytes long, version int, header_id long, meta_size long, meta_sha256 string, sha256 string"
+
+
+def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Every snapshot of a folder as catalog.snapshot_faults() wants it; contents are hashed in parallel.
+
+    Side files and unfinished ones are skipped; so are names that are no disk id.
+    """
+    import zstandard
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                name = os.path.basename(p)
+                packed = name.endswith(".zst")
+                with open(p, "rb") as f:
+                    head = (zstandard.ZstdDecompressor().stream_reader(f) if packed else f).read(HEADER_BYTES)
+                h = decode_header(head) or {}
+                meta = (None, None)
+                if os.path.exists(f"{p}.sha256"):
+                    with open(f"{p}.sha256") as f:
+                        meta = parse_snapshot_meta(f.read())
+                size, digest = _unpacked(p)
+                rows.append((parse_id(name.removesuffix(".zst")), p, packed, size, h.get("version"), h.get("disk_id"), *meta, digest))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SNAPSHOTS.split(", ")])
+            yield out.astype({"header_id": "Int64", "version": "Int32", "meta_size": "Int64"})
+
+    paths = []
+    for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
+        if not name.endswith((".sha256", ".tmp")):
+            try:
+                parse_id(name.removesuffix(".zst"))
+            except ValueError:
+                continue
+            paths.append((os.path.join(folder, name),))
+    return spark.createDataFrame(paths, "path string").repartition(max(1, min(256, len(paths)))).mapInPandas(probe, _SNAPSHOTS)
+
+
+def restore_snapshot(path: str, image: str) -> None:
+    """Writes a snapshot's content as an image; refuses to touch one that exists."""
+    import zstandard
+
+    with open(path, "rb") as src, open(image, "xb") as dst:
+        if path.endswith(".zst"):
+            zstandard.ZstdDecompressor().copy_stream(src, dst)
+        else:
+            while data := src.read(_BLOCK):
+                dst.write(data)
+
+
+def pool_state(devices: DataFrame, p: float | None = None) -> DataFrame:
+    """The disks of matching images as placement wants them: disk_id, pool_pos, is_zram, faulted, chd."""
+    from ..functions.address import slot_count
+    from ..functions.parse import is_zram_path
+    from ..operators import placement
+    from ..operators.indexlog import replay_refs
+
+    d = devices.where("status = 'match'").withColumn("slots", slot_count(F.col("size_bytes")))
+    stored = replay_refs(read_index(d)).where("target_fid = fid").select("disk_id", "fid", F.col("stored_size").alias("size"))
+    e = placement.extents(stored.join(d.select("disk_id", "slots"), "disk_id"), F.col("slots")).where("start is not null")
+    c = placement.chd(d.select("disk_id", "slots"), e.select("disk_id", "start", "end"), p)
+    return d.join(c, "disk_id").select("disk_id", F.col("device_path"), F.lit(0).alias("pool_pos"), is_zram_path(F.col("device_path")).alias("is_zram"), F.lit(False).alias("faulted"), "chd")

@@ -92,3 +92,38 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([*base, "manifest", m["manifest_fid"]]) == 0 and json.loads(capsys.readouterr().out)["chunks"][0]["index"] == 0
     assert cli.main([*base, "head", "0x1"]) == 2 and cli.main([*base, "manifest", fid]) == 1
     assert codecs.MANIFEST_MAGIC
+
+
+def test_snapshots(spark, tmp_path):
+    from slotlake.operators import catalog
+
+    image, folder = str(tmp_path / "zram0"), str(tmp_path / "snaps")
+    images.init_image(image, 9, GRID_START + 4096)
+    assert images.write_snapshot(image, folder, 9) and not images.write_snapshot(image, folder, 9)
+    (tmp_path / "snaps" / "note.tmp").write_text("x")
+    (tmp_path / "snaps" / "readme").write_text("x")
+    s = images.read_snapshots(spark, folder)
+    assert [(r.disk_id, r.fault) for r in catalog.snapshot_faults(s).collect()] == [(9, None)]
+    images.restore_snapshot(s.first().path, str(tmp_path / "back"))
+    assert images._unpacked(str(tmp_path / "back")) == images._unpacked(image)
+    with pytest.raises(FileExistsError):
+        images.restore_snapshot(s.first().path, image)
+    assert images.read_snapshots(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_image_verbs(spark, tmp_path, capsys):
+    a, pan = str(tmp_path / "a"), str(tmp_path / "pan.json")
+    base = ["--store", str(tmp_path / "s")]
+    assert cli.main([*base, "blk", "init", "--path", a, "--disk-id", "0x10", "--size", str(GRID_START + (8 << 20))]) == 0
+    assert cli.main([*base, "blk", "init", "--path", a, "--disk-id", "0x10", "--size", str(GRID_START + (8 << 20))]) == 1
+    assert cli.main([*base, "blk", "find", "--path", a, "-o", pan]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["disk_id"] == "0x10"
+    (tmp_path / "c.toml").write_text(f'pan_path = "{pan}"')
+    base += ["--config", str(tmp_path / "c.toml")]
+    assert cli.main([*base, "bonnie"]) == 0 and json.loads(capsys.readouterr().out) == {"ch_d_pow2": 23, "bytes": 8 << 20}
+    assert cli.main([*base, "health"]) == 0 and json.loads(capsys.readouterr().out) == {"ok": True}
+    images.write_index(a, [(5, 8 << 20, 0), (6, 10, 0), (6, 0, 0)])
+    assert cli.main([*base, "bonnie"]) == 0 and json.loads(capsys.readouterr().out)["ch_d_pow2"] == 0
+    assert cli.main([*base, "health"]) == 1
+    assert cli.main([*base, "blk", "index-compact", "--path", a, "-o", str(tmp_path / "log")]) == 0
+    assert [(r.seq, r.fid) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [(1, 5)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slotlake.functions.fid import sample_fids
 from slotlake.operators import catalog, chunking, placement, reads, trim, writes
+from slotlake.session import cut
 from slotlake.types import GRID_START, SLOT_BYTES
 
 EXT = "disk_id long, fid long, start long, end long"
@@ -235,3 +236,34 @@ def test_pools(frame):
     assert dict(map(tuple, catalog.snapshot_faults(frame(s, snaps)).collect())) == {1: None, 2: "no_meta", 3: None, 4: "checksum", 5: "alignment", 6: "small", 7: "header", 8: "length"}
     out = catalog.restore_pool(frame("disk_id long", [(1,), (2,), (3,)]), frame("disk_id long, device_path string", [(1, "live1")]), frame("disk_id long, path string", [(1, "s1"), (2, "s2"), (5, "s5")]), frame("disk_id long, device_path string", [(5, "o5"), (6, "o6")]))
     assert {r.disk_id: r.source for r in out.collect()} == {1: "live", 2: "snapshot", 3: "missing", 5: "conflict", 6: "ordinary"}
+
+
+def test_trim_cycle(frame):
+    from slotlake.functions.fid import content_fid, file_fid, nonce_fids
+    from slotlake.operators import changefeed, indexlog
+
+    data = {k: f"trim-small-object-payload-{k:04d}".encode() for k in range(105)}
+    log = [(1, k + 1, content_fid(v), len(v), 0, "plain") for k, v in data.items()] + [(2, 1, 5, 10, 0, "plain")]
+    log += [(1, 106, 77, 2**56 - 1, 1, "jump"), (1, 107, content_fid(b"alias\x01"), 6, 0, "plain"), (1, 108, 42, 5000, 0, "plain")]
+    schema = "disk_id long, seq long, fid long, size long, jump_code int, kind string"
+    packed = "table_fid long, disk_id long, container_fid long, container_size long, nonce long, entries array<struct<fid:long,byte_offset:long,size:long>>"
+    payloads = frame("fid long, payload binary", [(content_fid(v), bytearray(v)) for v in data.values()] + [(content_fid(b"alias\x01"), bytearray(b"alias\x01"))])
+    limits = frame("disk_id long, threshold long", [(1, 4096), (2, 4096)])
+    df = frame(schema, log)
+    rows_, tables, boxes = trim.cycle(df, frame(packed, []), limits, payloads)
+    new = cut(df.drop("kind").unionByName(rows_))
+    t = tables.drop("table")
+    refs = cut(indexlog.replay_refs(new, t))
+    objects = payloads.unionByName(boxes.select("fid", "payload"))
+    got = {r.fid: None if r.data is None else bytes(r.data) for r in reads.resolve(refs, objects).collect()}
+    assert all(got[content_fid(v)] == v for v in data.values()) and got[77] == b"alias"
+    assert refs.where("packed").count() == 105 and 42 in got and 5 in got
+    assert indexlog.validate_compacted(cut(indexlog.compact_entries(new))).count() == 0
+    again, _, _ = trim.cycle(new, t, limits, payloads, least_files=10)
+    assert again.count() == 0
+    lost, _, _ = trim.cycle(df, frame(packed, []), limits, payloads.where(F.col("fid") != content_fid(data[3])))
+    assert lost.count() == 0
+    assert changefeed.latest_records(new).where("packed").count() == 1
+    assert next(nonce_fids(b"abc"))[0] == content_fid(b"abc") and [len(p) for _, p in nonce_fids(b"abc", 3)] == [3, 11, 19]
+    with pytest.raises(IsADirectoryError):
+        file_fid("/tmp")
