@@ -15,6 +15,8 @@ from ..functions.address import address, floor_log2, slot_count
 from ..functions.fid import sample_fids
 from ..types import CHD_SAMPLES, CHD_TARGET_P, ENTRY_BYTES, INDEX_BYTES, MAX_PUT, SLOT_BYTES
 
+#: Most disks of a pool that route() takes.
+POOL_DISKS = 4096
 #: Slots per bucket of the interval join.
 BUCKET = 64
 
@@ -131,24 +133,32 @@ def can_write(size: Column, chd_: Column, faulted: Column) -> Column:
 def route(requests: DataFrame, disks: DataFrame, small_bytes: int) -> DataFrame:
     """(req_id, size, disk_id, tier): the disk each size goes to, null where none can take it.
 
-    disks: disk_id, pool_pos, is_zram, faulted, chd - a catalog, expanded against the
-    distinct sizes only. A small object takes the zram disk with the least sufficient
+    disks: disk_id, pool_pos, is_zram, faulted, chd - a catalog of at most POOL_DISKS, which
+    becomes an expression: no join, no shuffle. A small object takes the zram disk with the least sufficient
     room, else, as any other, the ordinary disk with the least sufficient room; if no
     ordinary disk has enough by its estimate, the one with the most. Ties go to the first
     in the pool.
     """
-    cat = F.broadcast(disks.groupBy().agg(F.sort_array(F.collect_list(F.struct("pool_pos", "disk_id", "is_zram", "faulted", "chd"))).alias("d")))
-    sizes = requests.select("size").distinct().join(cat)  # one row of catalog
-    usable = F.filter("d", lambda x: ~x["faulted"] & (x["chd"] > 0))
-    fits = lambda x: F.floor(x["chd"] / SLOT_BYTES) * SLOT_BYTES >= F.col("size")
-    least = lambda a: F.array_min(F.transform(a, lambda x: F.struct(x["chd"].alias("c"), x["pool_pos"].alias("p"), x["disk_id"].alias("disk_id"))))
-    most = lambda a: F.array_min(F.transform(a, lambda x: F.struct((-x["chd"]).alias("c"), x["pool_pos"].alias("p"), x["disk_id"].alias("disk_id"))))
-    zram = least(F.filter(usable, lambda x: x["is_zram"] & fits(x)))["disk_id"]
-    ordinary = F.filter(usable, lambda x: ~x["is_zram"])
-    best = F.coalesce(least(F.filter(ordinary, fits))["disk_id"], most(ordinary)["disk_id"])
-    small = F.col("size") < small_bytes
-    chosen = sizes.select("size", F.when(small, zram).alias("z"), best.alias("b")).where("size > 0")
-    x = requests.join(chosen, "size", "left")
+    pool = disks.select("pool_pos", "disk_id", "is_zram", "faulted", "chd").orderBy("pool_pos", "disk_id").limit(POOL_DISKS + 1).collect()
+    if len(pool) > POOL_DISKS:
+        raise ValueError(f"a pool has at most {POOL_DISKS} disks")
+    usable = [r for r in pool if not r["faulted"] and r["chd"] > 0]
+
+    def best_fit(of: list, otherwise: int | None) -> Column:
+        """The disk with the least sufficient room as a chain of bounds, rising with the room."""
+        chain, bound = F.when(F.lit(False), F.lit(None).cast("long")), 0
+        for r in sorted(of, key=lambda r: (r["chd"], r["pool_pos"], r["disk_id"])):
+            room = r["chd"] // SLOT_BYTES * SLOT_BYTES
+            if room > bound:
+                chain, bound = chain.when(F.col("size") <= room, F.lit(r["disk_id"])), room
+        return chain.otherwise(F.lit(otherwise).cast("long"))
+
+    zram, ordinary = ([r for r in usable if r["is_zram"] is z] for z in (True, False))
+    most = min(ordinary, key=lambda r: (-r["chd"], r["pool_pos"], r["disk_id"]), default=None)
+    z = F.when(F.col("size") < small_bytes, best_fit(zram, None))
+    b = best_fit(ordinary, most["disk_id"] if most else None)
+    fine = F.col("size") > 0
+    x = requests.select("req_id", "size", F.when(fine, z).alias("z"), F.when(fine, b).alias("b"))
     return x.select("req_id", "size", F.coalesce("z", "b").alias("disk_id"), F.when(F.col("z").isNotNull(), "zram").when(F.col("b").isNotNull(), "disk").alias("tier"))
 
 

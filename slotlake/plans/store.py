@@ -501,11 +501,10 @@ def stream_faults(s, d):
     return writes.stream_faults(c.select(F.col("file_id").alias("id"), "idx", "size"), totals)
 
 
-@query("WITH a AS (SELECT DISTINCT fid FROM chunks WHERE fid IS NOT NULL AND file_id % 2 = 0), b AS (SELECT DISTINCT fid FROM chunks WHERE fid IS NOT NULL AND file_id % 2 <> 0) SELECT count(*) AS chunks, count(b.fid) AS found, count(b.fid) / greatest(count(*), 1)::DOUBLE AS ratio FROM a LEFT JOIN b ON a.fid = b.fid")
+@query("WITH a AS (SELECT DISTINCT fid FROM chunks WHERE fid IS NOT NULL), b AS (SELECT DISTINCT fid FROM stored_fids WHERE fid IS NOT NULL) SELECT count(*) AS chunks, count(b.fid) AS found, count(b.fid) / greatest(count(*), 1)::DOUBLE AS ratio FROM a LEFT JOIN b ON a.fid = b.fid")
 def dedup_ratio(s, d):
-    """How much of the content of even files is also in odd ones; both halves are whole."""
-    c = _chunks(s, d)
-    return chunking.dedup_ratio(c.where("file_id % 2 = 0"), c.where("file_id % 2 != 0"))
+    """How much of the chunks' content was stored before."""
+    return chunking.dedup_ratio(_chunks(s, d), table(s, d, "stored_fids"))
 
 
 @query(
@@ -529,15 +528,18 @@ def chunk_identity(s, d):
     return c.groupBy((F.col("fid") == F.col("computed")).alias("same")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
+# Two catalogs of the same disks: those that ever trimmed, and those whose trim was triggered, on a partition now.
 _POOLS_SQL = """
-old AS (SELECT disk_id, min(device_path) AS device_path FROM trim_status WHERE disk_id % 5 <> 0 GROUP BY disk_id),
-run AS (SELECT disk_id, min(device_path) || 'x' AS device_path FROM trim_status WHERE disk_id % 3 <> 0 GROUP BY disk_id)
+old AS (SELECT disk_id, min(device_path) AS device_path FROM trim_status WHERE last_success_at IS NOT NULL GROUP BY disk_id),
+run AS (SELECT disk_id, min(device_path) || CASE WHEN bool_or(last_error IS NOT NULL) THEN 'p1' ELSE '' END AS device_path FROM trim_status WHERE last_trigger GROUP BY disk_id)
 """
 
 
 def _pools(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = table(s, d, "trim_status").groupBy("disk_id").agg(F.min("device_path").alias("device_path"))
-    return t.where("disk_id % 5 != 0"), t.where("disk_id % 3 != 0").withColumn("device_path", F.concat("device_path", F.lit("x")))
+    t = table(s, d, "trim_status")
+    old = t.where("last_success_at is not null").groupBy("disk_id").agg(F.min("device_path").alias("device_path"))
+    suffix = F.when(F.bool_or(F.col("last_error").isNotNull()), "p1").otherwise("")
+    return old, t.where("last_trigger").groupBy("disk_id").agg(F.concat(F.min("device_path"), suffix).alias("device_path"))
 
 
 @query(f"WITH {_POOLS_SQL} SELECT coalesce(o.disk_id, r.disk_id) AS disk_id, coalesce(r.device_path, o.device_path) AS device_path, r.device_path IS NOT NULL AND r.device_path IS DISTINCT FROM o.device_path AS changed FROM old o FULL OUTER JOIN run r ON o.disk_id = r.disk_id")
@@ -546,15 +548,18 @@ def pan_merge(s, d):
 
 
 @query(
-    f"""WITH {_POOLS_SQL}, ids AS (SELECT disk_id FROM old UNION SELECT disk_id FROM run),
-snap AS (SELECT disk_id, device_path AS path FROM run), live AS (SELECT * FROM old WHERE disk_id % 2 = 0), ordy AS (SELECT * FROM run WHERE disk_id % 7 = 0),
-x AS (SELECT coalesce(i.disk_id, o.disk_id) AS disk_id, l.device_path AS live, s.path AS snap, o.device_path AS ord FROM ids i LEFT JOIN live l ON i.disk_id = l.disk_id LEFT JOIN snap s ON i.disk_id = s.disk_id FULL OUTER JOIN ordy o ON i.disk_id = o.disk_id)
+    f"""WITH {_POOLS_SQL}, conf AS (SELECT DISTINCT disk_id FROM trim_status), snap AS (SELECT disk_id, min(last_container_fid) AS path FROM trim_status WHERE last_container_fid IS NOT NULL GROUP BY disk_id),
+ordy AS (SELECT disk_id, min(device_path) AS device_path FROM trim_status WHERE last_threshold_bytes >= 65536 GROUP BY disk_id),
+ids AS (SELECT disk_id FROM conf UNION SELECT disk_id FROM snap),
+x AS (SELECT coalesce(i.disk_id, o.disk_id) AS disk_id, l.device_path AS live, s.path AS snap, o.device_path AS ord FROM ids i LEFT JOIN run l ON i.disk_id = l.disk_id LEFT JOIN snap s ON i.disk_id = s.disk_id FULL OUTER JOIN ordy o ON i.disk_id = o.disk_id)
 SELECT disk_id, CASE WHEN ord IS NOT NULL AND (live IS NOT NULL OR snap IS NOT NULL) THEN 'conflict' WHEN ord IS NOT NULL THEN 'ordinary' WHEN live IS NOT NULL THEN 'live' WHEN snap IS NOT NULL THEN 'snapshot' ELSE 'missing' END AS source,
   coalesce(ord, live, snap) AS device_path, ord IS NULL AND live IS NULL AND snap IS NULL AS warning FROM x"""
 )
 def restore_pool(s, d):
-    old, run = _pools(s, d)
-    return catalog.restore_pool(old.select("disk_id"), old.where("disk_id % 2 = 0"), run.select("disk_id", F.col("device_path").alias("path")), run.where("disk_id % 7 = 0"))
+    """Every disk checked is configured; those triggered are live, those with a container have a snapshot, those of large thresholds are ordinary."""
+    t = table(s, d, "trim_status")
+    snaps = t.where("last_container_fid is not null").groupBy("disk_id").agg(F.min("last_container_fid").alias("path"))
+    return catalog.restore_pool(t.select("disk_id").distinct(), _pools(s, d)[1], snaps, t.where("last_threshold_bytes >= 65536").select("disk_id", "device_path"))
 
 
 @query(
