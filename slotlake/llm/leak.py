@@ -1,6 +1,6 @@
 """Evaluation texts leaking into training text (problem 6): latent semantic retrieval.
 
-1. Every document is cleaned of markup, lower-cased and read as words; the words that
+1. Every document is cleaned of markup, case-folded and read as words; the words that
    occur in any test item are kept as (term, position), a compact code written once to
    the shared folder. Document frequencies over tiles of TILE words come with it.
 2. A latent space: randomised SVD of the TF-IDF matrix of tiles, with the items as
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .text import byte_words
+from .text import byte_words, characters
 
 #: Words per tile; passages are SPANS tiles long.
 TILE = 32
@@ -54,20 +54,20 @@ _SPACES = bytes(c if chr(c).isalnum() or c >= 128 or c == 95 else 32 for c in ra
 
 
 def words(text: str) -> list[bytes]:
-    """The words of a text without markup, lower case, as UTF-8: what stands between spaces and punctuation."""
-    return byte_words(MARKUP.sub(" ", text).lower(), _SPACES)
+    """The words of a text without markup, case-folded, as UTF-8: what stands between spaces and punctuation."""
+    return byte_words(MARKUP.sub(" ", characters(text)).casefold(), _SPACES)
 
 
 def answer_words(text: str) -> set[bytes]:
-    """Numbers, and capitalised words that do not begin a sentence, lower-cased."""
+    """Numbers, and capitalised words that do not begin a sentence, case-folded."""
     out, begin = set(), True
-    for m in re.finditer(r"\w+|[.!?:]", MARKUP.sub(" ", text)):
+    for m in re.finditer(r"\w+|[.!?:]", MARKUP.sub(" ", characters(text))):
         w = m.group()
         if not w[0].isalnum() and w != "_":
             begin = True
             continue
         if any(c.isdigit() for c in w) or (w[0].isupper() and not begin):
-            out.add(w.lower().encode())
+            out.add(w.casefold().encode())
         begin = False
     return out
 
