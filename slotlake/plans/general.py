@@ -42,11 +42,16 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.latest_records(table(spark, d, "index_log"))
 
 
+def p4_committed(spark: SparkSession, d: str) -> DataFrame:
+    """The records as far as the logs are known to be complete: up to each disk's contiguous watermark."""
+    return changefeed.latest_records(table(spark, d, "index_log"), sealed=False).select("disk_id", "fid", "seq")
+
+
 def p4_watermarks(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.watermarks(table(spark, d, "index_log"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_containers, p2_entries, p2_report, p4_found, p4_records, p4_watermarks)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_containers, p2_entries, p2_report, p4_found, p4_records, p4_committed, p4_watermarks)}
 
 _SMALL_SQL = """
 lim AS (SELECT disk_id, last_threshold_bytes AS threshold, last_small_files AS reported FROM (
@@ -82,7 +87,14 @@ acts AS (
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY disk_id, fid ORDER BY pos DESC) AS k FROM acts) WHERE k = 1 AND put)
 """
 
+_COMMITTED_SQL = _LOG_SQL.replace(
+    "live AS (SELECT o.* FROM one o",
+    """marks AS (SELECT disk_id, coalesce(max(seq) FILTER (WHERE shift = 0), 0) AS mark FROM (SELECT disk_id, seq, seq - row_number() OVER (PARTITION BY disk_id ORDER BY seq) AS shift FROM one) GROUP BY disk_id),
+live AS (SELECT o.* FROM (SELECT o1.* FROM one o1 JOIN marks m ON o1.disk_id = m.disk_id WHERE o1.seq <= m.mark) o""",
+)
+
 ORACLE = {
+    "p4_committed": f"WITH {_COMMITTED_SQL} SELECT disk_id, fid, seq FROM last",
     "p2_found": f"WITH {_SMALL_SQL} SELECT disk_id, fid FROM small",
     "p2_containers": f"WITH {_SMALL_SQL} SELECT disk_id, container_no, CAST(sum(size) AS BIGINT) AS container_size, first(fid ORDER BY lies) AS first_fid, last(fid ORDER BY lies) AS last_fid, count(*) AS objects FROM numbered GROUP BY ALL",
     "p2_entries": f"WITH {_SMALL_SQL} SELECT disk_id, container_no, fid, CAST(lies - min(lies) OVER (PARTITION BY disk_id, container_no) AS BIGINT) AS byte_offset, size FROM numbered",
