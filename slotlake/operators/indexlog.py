@@ -60,6 +60,12 @@ def replay_refs(log: DataFrame, packed: DataFrame | None = None) -> DataFrame:
     return direct.join(inside.select("disk_id", "fid"), ["disk_id", "fid"], "left_anti").unionByName(inside)
 
 
+def _broken(entries: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, disk_id, seq, fid) of the entries for which a rule's condition holds, all rules in one pass."""
+    names = F.array_compact(F.array(*(F.when(cond, name) for name, cond in rules.items())))
+    return entries.select(F.explode(names).alias("rule"), "disk_id", "seq", "fid")
+
+
 def strict_violations(log: DataFrame) -> DataFrame:
     """(rule, disk_id, seq, fid) of all that a strict replay refuses.
 
@@ -68,7 +74,7 @@ def strict_violations(log: DataFrame) -> DataFrame:
     dangling: the log ends in an open pair. In strict reading a tombstone does not close
     a pair, so whether one is open is told by the last entry that is not a tombstone.
     """
-    e = with_kind(log).withColumn("block", F.shiftright("seq", 16))
+    e = with_kind(log).withColumn("block", F.coalesce(F.shiftright("seq", 16), F.lit(0).cast("long"))).repartition("disk_id", "block")
     d = W.partitionBy("disk_id", "block").orderBy("seq")
     e = e.withColumn("ind", F.col("kind").isin("jump", "anchor")).withColumn("solid", F.when(F.col("kind") != "tombstone", F.struct("seq", "ind")))
     e = e.withColumn("inner", F.last("solid", ignorenulls=True).over(d.rowsBetween(W.unboundedPreceding, -1)))
@@ -77,8 +83,7 @@ def strict_violations(log: DataFrame) -> DataFrame:
     edge = edge.select("disk_id", "block", F.last("last_solid", ignorenulls=True).over(g).alias("outer"))
     x = e.join(edge, ["disk_id", "block"]).withColumn("before", F.coalesce("inner", "outer"))
     pending = F.coalesce(F.col("before.ind"), F.lit(False))
-    twice = x.where(pending & F.col("ind")).select(F.lit("indicator_twice").alias("rule"), "disk_id", "seq", "fid")
-    stray = x.where((F.col("kind") == "stray") & ~pending).select(F.lit("stray_code").alias("rule"), "disk_id", "seq", "fid")
+    pairs = _broken(x, {"indicator_twice": pending & F.col("ind"), "stray_code": (F.col("kind") == "stray") & ~pending})
     tail = x.where("kind != 'tombstone'").groupBy("disk_id").agg(F.max(F.struct("seq", "ind", "fid")).alias("t"))
     dangling = tail.where("t.ind").select(F.lit("dangling").alias("rule"), "disk_id", F.col("t.seq").alias("seq"), F.col("t.fid").alias("fid"))
     # A fid's own changes in order; keys are spread by (disk, fid).
@@ -86,7 +91,7 @@ def strict_violations(log: DataFrame) -> DataFrame:
     k = W.partitionBy("disk_id", "fid").orderBy("pos")
     again = life.withColumn("was", F.lag("op").over(k)).where("op = 'put' and was = 'put' and not packed and not jump")
     duplicate = again.select(F.lit("duplicate_fid").alias("rule"), "disk_id", F.col("pos").alias("seq"), "fid")
-    return duplicate.unionByName(twice).unionByName(stray).unionByName(dangling)
+    return duplicate.unionByName(pairs).unionByName(dangling)
 
 
 def compact_entries(log: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
@@ -110,18 +115,16 @@ def validate_compacted(log: DataFrame) -> DataFrame:
     Rules: tombstone, stray_code, broken_pair (an indicator without a plain entry behind
     it), duplicate_fid (a pair counts under its indicator), too_large.
     """
-    e = with_kind(log)
+    e = with_kind(log).withColumn("block", F.coalesce(F.shiftright("seq", 16), F.lit(0).cast("long"))).repartition("disk_id", "block")
     d = W.partitionBy("disk_id", "block").orderBy("seq")
-    e = e.withColumn("block", F.shiftright("seq", 16)).withColumn("ind", F.col("kind").isin("jump", "anchor"))
+    e = e.withColumn("ind", F.col("kind").isin("jump", "anchor"))
     # Neighbours across a block's edge come from the first and last row of each block.
     b = e.groupBy("disk_id", "block").agg(F.min(F.struct("seq", "kind")).alias("head"), F.max(F.struct("seq", "ind")).alias("tail"))
     g = W.partitionBy("disk_id").orderBy("block")
     b = b.select("disk_id", "block", F.lead("head.kind").over(g).alias("next_kind"), F.lag("tail.ind").over(g).alias("last_ind"))
     x = e.withColumn("inner_next", F.lead("kind").over(d)).withColumn("inner_ind", F.lag("ind").over(d)).join(b, ["disk_id", "block"])
     following, opened = F.coalesce("inner_next", "next_kind"), F.coalesce(F.coalesce("inner_ind", "last_ind"), F.lit(False))
-    rule = lambda name, cond: x.where(cond).select(F.lit(name).alias("rule"), "disk_id", "seq", "fid")
-    out = rule("tombstone", F.col("kind") == "tombstone").unionByName(rule("stray_code", F.col("kind") == "stray"))
-    out = out.unionByName(rule("broken_pair", F.col("ind") & (F.coalesce(following, F.lit("")) != "plain")))
+    out = _broken(x, {"tombstone": F.col("kind") == "tombstone", "stray_code": F.col("kind") == "stray", "broken_pair": F.col("ind") & (F.coalesce(following, F.lit("")) != "plain")})
     keys = x.where(F.col("ind") | ((F.col("kind") == "plain") & ~opened)).groupBy("disk_id", "fid").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq"))
     out = out.unionByName(keys.where("n > 1").select(F.lit("duplicate_fid").alias("rule"), "disk_id", "seq", "fid"))
     size = e.groupBy("disk_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("seq"))

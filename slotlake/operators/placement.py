@@ -57,13 +57,18 @@ def free_of(rows: DataFrame, taken: DataFrame, group: list[str]) -> DataFrame:
     return rows.join(hit.select(*group, "fid").distinct(), [*group, "fid"], "left_anti")
 
 
+def _block(at: str, width: int) -> Column:
+    """The block of a position; never null, so that a join on it adds no filter and both its sides share a shuffle."""
+    return F.coalesce(F.floor(F.col(at) / width), F.lit(0).cast("long"))
+
+
 def occupancy_violations(rows: DataFrame, block_slots: int = 1 << 20) -> DataFrame:
     """(disk_id, fid, start, previous_end): extents that begin at or before the end of an earlier one.
 
     Compares each with the furthest end before it, per disk in blocks of slots, so one
     large disk is spread over many tasks. Exact duplicates count too.
     """
-    b = rows.where("start is not null").withColumn("block", F.floor(F.col("start") / block_slots))
+    b = rows.where("start is not null").withColumn("block", _block("start", block_slots)).repartition("disk_id", "block")
     w = W.partitionBy("disk_id", "block").orderBy("start", "end", "fid").rowsBetween(W.unboundedPreceding, -1)
     g = W.partitionBy("disk_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     tops = b.groupBy("disk_id", "block").agg(F.max("end").alias("top"))
@@ -274,7 +279,7 @@ def contested(rows: DataFrame, block_slots: int = 1 << 20) -> DataFrame:
     Found by order, not by pairs: an extent is contested if one that begins before it
     reaches into it or the next one begins inside it. Blocks of slots bound each task.
     """
-    b = rows.where("start is not null").select("disk_id", "fid", "start", "end", F.floor(F.col("start") / block_slots).alias("block"))
+    b = rows.where("start is not null").select("disk_id", "fid", "start", "end", _block("start", block_slots).alias("block")).repartition("disk_id", "block")
     o = W.partitionBy("disk_id", "block").orderBy("start", "end", "fid")
     g = W.partitionBy("disk_id").orderBy("block")
     edges = b.groupBy("disk_id", "block").agg(F.max("end").alias("top"), F.min("start").alias("low"))
