@@ -21,7 +21,7 @@ class Settings:
     write_dispatch_concurrency: int = 64
     small_file_pow2: int = SMALL_FILE_POW2
     chd_target_p: float = CHD_TARGET_P
-    zram_snapshot_dir: str = "~/.bsos_zram_snapshots"
+    zram_snapshot_dir: str = "~/.slotlake_zram_snapshots"
     trim_interval_seconds: float = 900
     trim_min_threshold_bytes: int = TRIM_MIN_THRESHOLD
     trim_max_threshold_bytes: int = TRIM_MAX_THRESHOLD

@@ -45,7 +45,7 @@ _DEVICES = "device_path string, status string, disk_id long, version int, capaci
 
 
 def find_devices(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Images at the paths with status match, not_nbss or error; only headers are read, in parallel."""
+    """Images at the paths with status match, no_header or error; only headers are read, in parallel."""
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -55,7 +55,7 @@ def find_devices(spark: SparkSession, paths: list[str]) -> DataFrame:
                     with open(p, "rb") as f:
                         h = decode_header(f.read(HEADER_BYTES))
                     size = os.path.getsize(p)
-                    rows.append((p, "match" if h else "not_nbss", *((h["disk_id"], h["version"], h["capacity_gb"]) if h else (None,) * 3), size, h["note"] if h else None))
+                    rows.append((p, "match" if h else "no_header", *((h["disk_id"], h["version"], h["capacity_gb"]) if h else (None,) * 3), size, h["note"] if h else None))
                 except OSError:
                     rows.append((p, "error", None, None, None, None, None))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _DEVICES.split(", ")])

@@ -35,7 +35,7 @@ def test_pool_and_images(spark, tmp_path):
     with pytest.raises(ValueError):
         images.init_image(str(tmp_path / "z"), 5, GRID_START)
     found = images.find_devices(spark, [a, b, c, str(tmp_path / "gone")])
-    assert {(r.device_path[-1], r.status, r.disk_id, r.note) for r in found.collect()} == {("a", "match", -2, "first"), ("b", "match", 7, ""), ("c", "not_nbss", None, None), ("e", "error", None, None)}
+    assert {(r.device_path[-1], r.status, r.disk_id, r.note) for r in found.collect()} == {("a", "match", -2, "first"), ("b", "match", 7, ""), ("c", "no_header", None, None), ("e", "error", None, None)}
     entries = [(0xAAA, 4096, 0), (0x10000000000, 1 << 48, 0), (0xBBB, JUMP_SENTINEL, 1), (0xCCC, 10, 0), (0xAAA, 0, 0)]
     images.write_index(a, entries)
     log = images.read_index(found)
