@@ -102,7 +102,7 @@ def subject_tables(n=400, seed=5):
     rng = random.Random(seed)
     docs, labels, truth = [], [], set()
     for k in range(n):
-        share = rng.choice([("music",), ("law",), ("food",), ("music", "law"), ("law", "food")])
+        share = rng.choice([("music",), ("law",), ("law",), ("food",), ("food",), ("law", "food")])
         text = []
         counts: dict = {}
         for _ in range(rng.randrange(4, 14)):
@@ -166,3 +166,36 @@ def test_beam_search_is_exact_when_wide():
             if best is None or total > best[0]:
                 best = (total, combo)
         assert tuple(wide[k].astype(float)) == best[1]
+
+
+def misread_tables(n=600, seed=8):
+    """Source b always writes of food as well, in words found once only, which no lexicon has; its raters say food."""
+    rng = random.Random(seed)
+    once = lambda: "".join(rng.choice("bcdfgjkz") for _ in range(12))
+    docs, labels, truth = [], [], set()
+    for k in range(n):
+        source = "b" if k % 6 == 0 else "a"
+        read = (rng.choice(["music", "law"]),) if source == "b" else rng.choice([("music",), ("law",), ("law",), ("food",), ("food",), ("law", "food")])
+        text = [f"In the {rng.choice(['old', 'new'])} house the {rng.choice(TOPICS[s])} was set by a {rng.choice(TOPICS[s])}." for s in read for _ in range(4)]
+        text += [f"In the house the {once()} was set by a {once()}." for _ in range(4) if source == "b"]
+        rng.shuffle(text)
+        docs.append((k, " ".join(text), source))
+        own = {*read, "food"} if source == "b" else set(read)
+        truth |= {(k, s) for s in own}
+        if k % 4:
+            labels += [(k, s, "r1") for s in sorted(own) if rng.random() < 0.93]
+    return docs, labels, truth
+
+
+def test_chain_corrects_the_lexicon_from_the_labels(frame):
+    docs, labels, truth = misread_tables()
+    d, s = frame("doc_id long, text string, source string", docs), frame("subject string, about string", [(t, "") for t in TOPICS])
+    got = {tuple(r) for r in subjects.subjects_of(d, s, frame("doc_id long, subject string, rater string", labels)).collect()}
+    assert len(got & truth) >= 0.97 * len(truth) and len(got & truth) >= 0.97 * len(got)
+
+
+def test_rule_decides_where_the_chain_is_not_better(frame):
+    docs, labels, _ = subject_tables()
+    d = frame("doc_id long, text string, source string", docs)
+    lexicon, chain, _ = subjects.fit(d, frame("doc_id long, subject string, rater string", labels), sorted(TOPICS))
+    assert lexicon is not None and chain is None
