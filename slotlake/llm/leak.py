@@ -11,7 +11,8 @@
    projected and compared with every item by cosine.
 4. Candidates are checked by the longest common subsequence of words in a window little
    longer than the item, and by the answer-bearing words (names and numbers) among the
-   words in common, which parts a leak from a text that only shares its glue words.
+   words in common, which parts a leak from a text that only shares its glue words;
+   words in common that stand side by side in long runs need no names or numbers.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ SPANS = (2, 4)
 #: Terms in more than this share of the tiles carry no weight.
 COMMON = 0.05
 #: Least cosine of a candidate.
-COSINE = 0.7
+COSINE = 0.6
 #: Weight of the items' rows in the decomposed matrix, oversampling of its rank, tiles it is fitted on.
 ITEM_WEIGHT = 30.0
 OVERSAMPLE = 32
@@ -45,9 +46,11 @@ ITEM_BLOCK = 512
 #: Share of an item's words that makes a leak, window length over item length.
 SHARE = 0.5
 STRETCH = 1.25
-#: Below this share (glue words alone can reach SHARE) this part of the answer words must be there too.
+#: Below this share (glue words alone can reach SHARE) this part of the answer words must be there too,
+#: unless the words in common lie in runs of at least RUN words that stand side by side in both texts.
 SURE = 0.58
 ANSWERS = 0.35
+RUN = 8
 
 MARKUP = re.compile(r"<!--.*?-->|<ref[^>]*/>|<ref[^>]*>.*?</ref>|&\w+;|<[^>]*>|\{\{\w+\}\}", re.S)
 _SPACES = bytes(c if chr(c).isalnum() or c >= 128 or c == 95 else 32 for c in range(256))
@@ -231,8 +234,32 @@ def fit_space(coded: DataFrame, items: Items, weights: np.ndarray, tiles: int, f
 _LEAKS = "doc_id long, item_id long, cosine double, share double, answers double"
 
 
-def _check(items: Items, r: int, terms: np.ndarray, places: np.ndarray, lo: int, hi: int) -> tuple[float, float]:
-    """(share, answers) of item r in the words lo..hi of a document, in its best window."""
+def in_runs(item: np.ndarray, terms: np.ndarray, places: np.ndarray, least: int = RUN) -> np.ndarray:
+    """Which words of a document stand in a run of at least `least` words that the item has side by side, too."""
+    at: dict[int, list[int]] = {}
+    for k, t in enumerate(item.tolist()):
+        at.setdefault(t, []).append(k)
+    out = np.zeros(len(terms), dtype=bool)
+    before, last = {}, None
+    for i, (t, p) in enumerate(zip(terms.tolist(), places.tolist(), strict=True)):
+        now = {k: (before.get(k - 1, 0) if last is not None and p == last + 1 else 0) + 1 for k in at.get(t, ())}
+        longest = max(now.values(), default=0)
+        if longest >= least:
+            out[i - longest + 1 : i + 1] = True
+        before, last = now, p
+    return out
+
+
+def _accepted(items: Items, r: int, share: float, answers: float, terms: np.ndarray, places: np.ndarray) -> bool:
+    """Whether a window whose words in common make `share` of item r is a leak, not glue."""
+    if share >= SURE or share >= SHARE and answers >= ANSWERS:
+        return True
+    n = len(items.terms[r])
+    return share >= SHARE and common_subsequence(items.masks[r], n, terms[in_runs(items.terms[r], terms, places)].tolist()) >= SHARE * n
+
+
+def _check(items: Items, r: int, terms: np.ndarray, places: np.ndarray, lo: int, hi: int) -> tuple[float, float, bool]:
+    """(share, answers, accepted) of item r in the words lo..hi of a document, in its best window."""
     n, mask = len(items.terms[r]), items.masks[r]
     length = int(n * STRETCH)
     lo = max(0, lo - length)
@@ -241,7 +268,7 @@ def _check(items: Items, r: int, terms: np.ndarray, places: np.ndarray, lo: int,
     own = items.has[r][terms]
     terms, places = terms[own], places[own]
     if len(terms) < SHARE * n or common_subsequence(mask, n, terms.tolist()) < SHARE * n:
-        return 0.0, 0.0
+        return 0.0, 0.0, False
     best, window = 0, (0, 0)
     begins = np.arange(lo, max(lo + 1, hi), 8)
     for a, b in zip(np.searchsorted(places, begins).tolist(), np.searchsorted(places, begins + length).tolist(), strict=True):
@@ -250,8 +277,9 @@ def _check(items: Items, r: int, terms: np.ndarray, places: np.ndarray, lo: int,
             if got > best:
                 best, window = got, (a, b)
     answers = items.answers[r]
-    held = answers.intersection(terms[window[0] : window[1]].tolist())
-    return best / n, len(held) / len(answers) if answers else 1.0
+    a, b = window
+    held = len(answers.intersection(terms[a:b].tolist())) / len(answers) if answers else 1.0
+    return best / n, held, _accepted(items, r, best / n, held, terms[a:b], places[a:b])
 
 
 def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray, cosine: float = COSINE) -> DataFrame:
@@ -286,7 +314,7 @@ def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarra
                 out, ids = [], b["doc_id"].tolist()
                 for (d, r), found in hits.items():
                     t, pl = terms[ends[d] - lengths[d] : ends[d]], places[ends[d] - lengths[d] : ends[d]]
-                    best = (0.0, 0.0)
+                    best = (0.0, 0.0, False)
                     regions: list[list[int]] = []
                     for x, span, _ in sorted(found):
                         if regions and x * TILE <= regions[-1][1]:
@@ -295,7 +323,7 @@ def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarra
                             regions.append([x * TILE, (x + span) * TILE])
                     for lo, hi in regions:
                         best = max(best, _check(its, r, t, pl, lo, hi))
-                    if best[0] >= SURE or best[0] >= SHARE and best[1] >= ANSWERS:
+                    if best[2]:
                         out.append((ids[d], its.ids[r], max(c for _, _, c in found), best[0], best[1]))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _LEAKS.split(", ")])
 

@@ -199,3 +199,14 @@ def test_rule_decides_where_the_chain_is_not_better(frame):
     d = frame("doc_id long, text string, source string", docs)
     lexicon, chain, _ = subjects.fit(d, frame("doc_id long, subject string, rater string", labels), sorted(TOPICS))
     assert lexicon is not None and chain is None
+
+
+def test_half_in_one_piece_needs_no_names(frame):
+    rng = random.Random(3)
+    named = " ".join(f"N{k}x" if k % 4 == 1 else f"a{chr(97 + k // 7)}{chr(97 + k % 7)}" for k in range(38))
+    plain = [f"b{chr(97 + k // 7)}{chr(97 + k % 7)}" for k in range(42)]
+    filler = lambda n: " ".join(f"f{rng.randrange(500)}" for _ in range(n))
+    i = frame("item_id long, text string", [(1, f"{named} {' '.join(plain)}")])
+    docs = [(1, f"{filler(90)} {' '.join(plain)} {filler(90)}"), (2, f"{filler(90)} {' '.join(w if k % 6 else w + ' ' + filler(1) for k, w in enumerate(plain))} {filler(90)}")]
+    docs += [(k, filler(300)) for k in range(10, 200)]
+    assert {r.doc_id for r in leak.leaks(frame("doc_id long, text string", docs), i).collect()} == {1}
