@@ -232,5 +232,6 @@ def read_consolidated(spark: SparkSession, target: str, low: int | None = None,
 
 
 def sort_runs(df: DataFrame, key: str, path: str) -> None:
-    """Writes a table as sorted runs, one per partition: the first step for unsorted input."""
-    df.where(F.col(key).isNotNull()).sortWithinPartitions(key).write.mode("errorifexists").parquet(path)
+    """Writes a table as sorted runs, one per partition: the first step for unsorted input. Null keys are refused, as in consolidate_files."""
+    checked = F.coalesce(F.col(key), F.raise_error(F.lit(f"null keys in {key}")).cast(df.schema[key].dataType))
+    df.withColumn(key, checked).sortWithinPartitions(key).write.mode("errorifexists").parquet(path)

@@ -57,3 +57,12 @@ def test_cut_keys():
     assert compaction.cut_keys([], 10) == [] and compaction.cut_keys([(0, 9, 5)], 10) == []
     cuts = compaction.cut_keys([(0, 999, 100), (0, 999, 100), (500, 999, 200)], 100)
     assert len(cuts) == 3 and cuts == sorted(cuts) and all(0 < c < 1000 for c in cuts)
+
+
+def test_sort_runs_refuses_null_keys(spark, frame, tmp_path):
+    with pytest.raises(Exception, match="null keys in k"):
+        compaction.sort_runs(frame("k long, v string", [(2, "a"), (None, "b")]), "k", str(tmp_path / "bad"))
+    compaction.sort_runs(frame("k long, v string", [(2, "a"), (1, "b"), (2, "c")]), "k", str(tmp_path / "good"))
+    paths = sorted(glob.glob(f"{tmp_path}/good/*.parquet"))
+    compaction.consolidate_files(spark, paths, str(tmp_path / "out"), "k")
+    assert sorted(map(tuple, compaction.read_consolidated(spark, str(tmp_path / "out")).collect())) == [(1, "b"), (2, "a"), (2, "c")]
