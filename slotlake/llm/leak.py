@@ -258,8 +258,8 @@ def _accepted(items: Items, r: int, share: float, answers: float, terms: np.ndar
     return share >= SHARE and common_subsequence(items.masks[r], n, terms[in_runs(items.terms[r], terms, places)].tolist()) >= SHARE * n
 
 
-def _check(items: Items, r: int, terms: np.ndarray, places: np.ndarray, lo: int, hi: int) -> tuple[float, float, bool]:
-    """(share, answers, accepted) of item r in the words lo..hi of a document, in its best window."""
+def _check(items: Items, r: int, terms: np.ndarray, places: np.ndarray, lo: int, hi: int) -> tuple[bool, float, float]:
+    """(accepted, share, answers) of item r in the words lo..hi of a document, in the best of the accepted windows, if any."""
     n, mask = len(items.terms[r]), items.masks[r]
     length = int(n * STRETCH)
     lo = max(0, lo - length)
@@ -268,18 +268,21 @@ def _check(items: Items, r: int, terms: np.ndarray, places: np.ndarray, lo: int,
     own = items.has[r][terms]
     terms, places = terms[own], places[own]
     if len(terms) < SHARE * n or common_subsequence(mask, n, terms.tolist()) < SHARE * n:
-        return 0.0, 0.0, False
-    best, window = 0, (0, 0)
+        return False, 0.0, 0.0
+    best, answers = (False, 0.0, 0.0), items.answers[r]
     begins = np.arange(lo, max(lo + 1, hi), 8)
+    tried = None
     for a, b in zip(np.searchsorted(places, begins).tolist(), np.searchsorted(places, begins + length).tolist(), strict=True):
-        if b - a > best:
-            got = common_subsequence(mask, n, terms[a:b].tolist())
-            if got > best:
-                best, window = got, (a, b)
-    answers = items.answers[r]
-    a, b = window
-    held = len(answers.intersection(terms[a:b].tolist())) / len(answers) if answers else 1.0
-    return best / n, held, _accepted(items, r, best / n, held, terms[a:b], places[a:b])
+        # Every window that could be a leak is tested, not the fullest alone; after one is, only fuller ones.
+        if (a, b) == tried or b - a < SHARE * n or best[0] and b - a <= best[1] * n:
+            continue
+        tried = (a, b)
+        share = common_subsequence(mask, n, terms[a:b].tolist()) / n
+        if share < SHARE or best[0] and share <= best[1]:
+            continue
+        held = len(answers.intersection(terms[a:b].tolist())) / len(answers) if answers else 1.0
+        best = max(best, (_accepted(items, r, share, held, terms[a:b], places[a:b]), share, held))
+    return best
 
 
 def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarray, cosine: float = COSINE) -> DataFrame:
@@ -314,7 +317,7 @@ def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarra
                 out, ids = [], b["doc_id"].tolist()
                 for (d, r), found in hits.items():
                     t, pl = terms[ends[d] - lengths[d] : ends[d]], places[ends[d] - lengths[d] : ends[d]]
-                    best = (0.0, 0.0, False)
+                    best = (False, 0.0, 0.0)
                     regions: list[list[int]] = []
                     for x, span, _ in sorted(found):
                         if regions and x * TILE <= regions[-1][1]:
@@ -323,8 +326,8 @@ def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarra
                             regions.append([x * TILE, (x + span) * TILE])
                     for lo, hi in regions:
                         best = max(best, _check(its, r, t, pl, lo, hi))
-                    if best[2]:
-                        out.append((ids[d], its.ids[r], max(c for _, _, c in found), best[0], best[1]))
+                    if best[0]:
+                        out.append((ids[d], its.ids[r], max(c for _, _, c in found), best[1], best[2]))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _LEAKS.split(", ")])
 
     return coded.where("doc_id is not null").select("doc_id", "tiles", "terms", "places").mapInPandas(find, _LEAKS)

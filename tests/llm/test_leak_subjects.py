@@ -210,3 +210,26 @@ def test_half_in_one_piece_needs_no_names(frame):
     docs = [(1, f"{filler(90)} {' '.join(plain)} {filler(90)}"), (2, f"{filler(90)} {' '.join(w if k % 6 else w + ' ' + filler(1) for k, w in enumerate(plain))} {filler(90)}")]
     docs += [(k, filler(300)) for k in range(10, 200)]
     assert {r.doc_id for r in leak.leaks(frame("doc_id long, text string", docs), i).collect()} == {1}
+
+
+def test_glue_window_does_not_hide_a_leak():
+    import numpy as np
+
+    word = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    # Every fifth word of the item is a name. The glue has 56 words and 2 of 20 names, the leak 54 and 12; no runs.
+    item = [f"N{word(k)}" if k % 5 == 4 else word(k) for k in range(100)]
+    its = leak.Items([(1, "Start " + " ".join(item[1:]))])
+    named, plain = [k for k in range(100) if k % 5 == 4], [k for k in range(1, 100) if k % 5 != 4]
+    glue, true = sorted(named[:2] + plain[:54]), sorted(named[:12] + plain[:42])
+
+    def checked(*parts):
+        at, terms, places = 0, [], []
+        for part in parts:
+            for j, k in enumerate(part):
+                terms.append(its.terms[0][k])
+                places.append(at + j + j // 4)
+            at += 400
+        return leak._check(its, 0, np.array(terms, dtype=np.int32), np.array(places, dtype=np.int32), 0, at)
+
+    assert not checked(glue)[0] and checked(true)[0]
+    assert checked(glue, true)[0] and checked(true, glue)[0]
