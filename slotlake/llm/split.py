@@ -83,10 +83,14 @@ def cut_points(data: bytes | None, length: int, limit: int, overlap: int, least:
     while length - start > limit:
         low, high = start + max(least, overlap + 4 if limit >= 16 else overlap + 1), start + limit
         cut = 0
-        for offsets in kinds:
-            i = int(np.searchsorted(offsets, high, side="right")) - 1
-            if i >= 0 and offsets[i] >= low:
-                cut = int(offsets[i])
+        # A boundary before the least fill is still better than a hard cut; it must lie behind the overlap, or pieces would not advance.
+        for bottom in (low, start + overlap + (4 if limit >= 16 else 1)):
+            for offsets in kinds:
+                i = int(np.searchsorted(offsets, high, side="right")) - 1
+                if i >= 0 and offsets[i] >= bottom:
+                    cut = int(offsets[i])
+                    break
+            if cut:
                 break
         if not cut:
             cut = char_start(data, high) if data is not None else high

@@ -171,3 +171,10 @@ def test_tokens(frame):
     got = {r.doc_id: r.tokens for r in packing.pack_documents(d, 4).where("doc_id < 4").collect()}
     assert got == {1: 4, 2: 0, 3: 0}
     assert packing.fill_report(packing.pack_documents(d, 4)).first().bins >= 1
+
+
+def test_early_boundary_is_better_than_a_hard_cut():
+    data = b"y" * 20 + b" " + b"x" * 150
+    assert split.cut_points(data, len(data), 100, 0, 50)[0] == (0, 21)
+    assert split.cut_points(data, len(data), 100, 8, 50)[0] == (0, 21)
+    assert split.cut_points(data, len(data), 100, 30, 50)[0] == (0, 100)
