@@ -13,23 +13,27 @@ def _small(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.small_objects(table(spark, d, "refs"), table(spark, d, "packed"), table(spark, d, "trim_status"))
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """The small objects as the k-way merge of their sorted runs deals them to containers."""
+    return consolidate.merged_objects(_small(spark, d))
+
+
 def p2_containers(spark: SparkSession, d: str) -> DataFrame:
-    c = consolidate.consolidate(_small(spark, d))
-    return c.select("disk_id", "container_no", "container_size", "first_fid", "last_fid", F.size("entries").cast("long").alias("objects"))
+    return consolidate.container_ranges(_placed(spark, d))
 
 
 def p2_entries(spark: SparkSession, d: str) -> DataFrame:
-    return consolidate.container_entries(consolidate.consolidate(_small(spark, d)))
+    return consolidate.entries_of(_placed(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The objects that the containers hold."""
-    return p2_entries(spark, d).select("disk_id", "fid")
+    return _placed(spark, d).select("disk_id", "fid")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Per disk: small objects found against the count the device reported, and the containers they fill."""
-    c = consolidate.consolidate(_small(spark, d)).groupBy("disk_id").agg(F.sum(F.size("entries")).alias("small_files"), F.count(F.lit(1)).alias("containers"), F.sum("container_size").alias("bytes"))
+    c = consolidate.container_ranges(_placed(spark, d)).groupBy("disk_id").agg(F.sum("objects").alias("small_files"), F.count(F.lit(1)).alias("containers"), F.sum("container_size").alias("bytes"))
     limits = consolidate.latest_thresholds(table(spark, d, "trim_status"))
     return limits.join(c, "disk_id", "left").select("disk_id", "threshold", "reported", *(F.coalesce(k, F.lit(0)).alias(k) for k in ("small_files", "containers", "bytes")))
 
@@ -67,8 +71,9 @@ small AS (
   FROM refs r JOIN lim l ON r.disk_id = l.disk_id
   WHERE (r.target_fid IS NULL OR r.target_fid = r.fid) AND coalesce(r.size, r.stored_size) < l.threshold
     AND NOT EXISTS (SELECT 1 FROM excluded x WHERE x.disk_id = r.disk_id AND x.fid = r.fid)),
-placed AS (SELECT *, sum(size) OVER (PARTITION BY disk_id ORDER BY fid < 0, fid ROWS UNBOUNDED PRECEDING) - size AS lies FROM small),
-numbered AS (SELECT *, CAST(lies // (8388608 - threshold + 1) AS BIGINT) AS container_no FROM placed)
+charged AS (SELECT *, greatest(size + (8388608 - threshold + 1) // 262144, 1) AS charge FROM small),
+placed AS (SELECT *, sum(size) OVER w - size AS lies, sum(charge) OVER w - charge AS place FROM charged WINDOW w AS (PARTITION BY disk_id ORDER BY fid < 0, fid ROWS UNBOUNDED PRECEDING)),
+numbered AS (SELECT *, CAST(place // (8388608 - threshold + 1) AS BIGINT) AS container_no FROM placed)
 """
 
 _LOG_SQL = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -31,17 +32,26 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only on a local master (tests on one machine) a temporary folder is set where the
+    session names none; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named is None and current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="slotlake-"))
     elif current is None:
         spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext.getCheckpointDir()
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has `path` deleted when the session's JVM ends: for files that a lazy result still reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

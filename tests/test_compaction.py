@@ -4,6 +4,7 @@ import random
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from slotlake.operators import compaction
 
@@ -66,3 +67,44 @@ def test_sort_runs_refuses_null_keys(spark, frame, tmp_path):
     paths = sorted(glob.glob(f"{tmp_path}/good/*.parquet"))
     compaction.consolidate_files(spark, paths, str(tmp_path / "out"), "k")
     assert sorted(map(tuple, compaction.read_consolidated(spark, str(tmp_path / "out")).collect())) == [(1, "b"), (2, "a"), (2, "c")]
+
+
+def test_many_runs_need_few_open_files(spark, tmp_path):
+    src = tmp_path / "s"
+    src.mkdir()
+    paths, every = write_runs(src, 150, 20, seed=3)
+    out = compaction.consolidate_files(spark, str(src), str(tmp_path / "d"), "k", target_bytes=8_000, files_per_range=3, fan_in=4)
+    assert sum(r.rows for r in out.collect()) == len(every)
+    assert sorted(map(tuple, compaction.read_consolidated(spark, str(tmp_path / "d")).collect())) == every
+
+
+def test_hot_key_is_spread_and_order_inside_a_row_group_is_checked(spark, tmp_path):
+    src = tmp_path / "s"
+    src.mkdir()
+    for k in range(12):
+        pq.write_table(pa.table({"k": pa.array([1] + [5] * 500 + [9], pa.int64()), "v": [f"{k}-{i}" * 9 for i in range(502)]}), f"{src}/r{k:02d}.parquet")
+    files = compaction.described(spark, str(src), "k").withColumn("grp", F.lit("all"))
+    cuts = compaction.plan(files, 1, 20_000)
+    spread, tasks = compaction.assigned(files, cuts)
+    assert (5,) in cuts["all"][0] and max(cuts["all"][1].values()) > 3
+    assert spread.where("part > 0").count() > 0
+    compaction.consolidate_files(spark, str(src), str(tmp_path / "d"), "k", target_bytes=5_000)
+    assert compaction.read_consolidated(spark, str(tmp_path / "d")).groupBy("k").count().where("k = 5").first()["count"] == 6000
+    pq.write_table(pa.table({"k": pa.array([5, 900, 3, 7, 1], pa.int64())}), f"{src}/bad.parquet")
+    with pytest.raises(ValueError, match="not sorted"):
+        compaction.consolidate_files(spark, [f"{src}/bad.parquet"], str(tmp_path / "e"), "k")
+
+
+def test_two_key_columns(spark, tmp_path):
+    rng = random.Random(5)
+    src = tmp_path / "s"
+    src.mkdir()
+    every = []
+    for n in range(9):
+        rows = sorted((rng.choice([-3, 2**62, 7]), rng.getrandbits(64) - 2**63) for _ in range(300))
+        every += rows
+        pq.write_table(pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())}), f"{src}/r{n}.parquet")
+    done = compaction.consolidate_files(spark, str(src), str(tmp_path / "d"), ["a", "b"], target_bytes=3_000, files_per_range=2).orderBy("low").collect()
+    got = [tuple(r) for f in done for r in zip(*(pq.read_table(f.path)[c].to_pylist() for c in "ab"), strict=True)]
+    assert got == sorted(every) and len(done) > 3
+    assert all(tuple(f.low) <= tuple(f.high) for f in done)

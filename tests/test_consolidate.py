@@ -56,3 +56,15 @@ def test_running_sum(frame):
     for r in got.collect():
         assert r.before == sum(v or 0 for g, k, v in data if g == r.g and k < r.k)
     assert rows(blocked_running_sum(frame("g long, k long, v long", []), ["g"], F.col("k"), [F.col("k")], "v", "b")) == []
+
+
+def test_empty_objects_fill_many_containers(spark):
+    o = spark.range(20_000).select(F.lit(1).cast("long").alias("disk_id"), F.xxhash64("id").alias("fid"), F.lit(0).cast("long").alias("size"), F.lit(10).cast("long").alias("threshold"))
+    c = consolidate.consolidate(o, container_bytes=10_000, entries=1_000).select(F.size("entries").alias("n")).collect()
+    assert sum(r.n for r in c) == 20_000 and max(r.n for r in c) <= 2_000
+
+
+def test_rows_without_a_key_are_left_out(frame):
+    o = [(None, 5, 10, 20), (1, None, 10, 20), (1, -1, 3, 20), (1, 1, -4, None)]
+    got = consolidate.merged_objects(frame("disk_id long, fid long, size long, threshold long", o)).collect()
+    assert sorted((r.disk_id, r.fid, r.size, r.lies, r.container_no) for r in got) == [(1, -1, 3, 0, 0), (1, 1, 0, 0, 0)]
