@@ -1,24 +1,22 @@
-"""Subject areas of documents (problem 7): the problem's rule, and classifier chains decoded by beam search.
+"""Subject areas of documents (problem 7): a classifier chain decoded by beam search.
 
 1. Term features. Labelled documents give sentences; an EM over the subjects of a
    document's labels and a background, per language, learns which words speak for which
    subject, with noisy and missing labels allowed for. Words that speak for one subject
    clearly become the lexicon.
 2. Document features. Every sentence and table row is given the subject its words speak
-   for, or none. Per subject: its share of the sentences that have a subject, whether
-   that is a quarter or more, its count, its part in tables (structure); the source.
-3. The rule: a subject is a document's own from a quarter of its sentences on a subject,
-   as the lexicon reads them.
-4. Classifier chain. One logistic regression per subject over these features and the
+   for, or none. Per subject: its share of the sentences that have a subject, also as
+   the steps of SHARE_STEPS that it reaches, and its count; the part in tables (structure); the source.
+3. Classifier chain. One logistic regression per subject over these features and the
    decisions on the subjects before it in the chain (co-occurrence), each calibrated on
-   pages held out. Its target are the raters' labels. These are noisy, so the true label
-   is a hidden variable: an EM finds the rates of missing and wrong labels with the chain.
-   A beam search over the chain finds the label combination of the highest joint probability.
-5. Rule and chain are compared on labelled pages that neither the lexicon nor the chain
-   has seen. The chain decides only where it agrees with the raters clearly more often;
-   else the rule, which is the problem's own wording, does.
-
-The classifier is fitted on a bounded sample of labelled documents (FIT_DOCUMENTS);
+   pages held out. The weights of a subject's own features are those of all subjects
+   together plus a deviation. The targets are the raters' labels and nothing else: from
+   which share on a subject is one of a document's, the chain learns from them. They are
+   noisy, so the true label is a hidden variable: an EM finds the rates of missing and
+   wrong labels with the chain.
+4. A beam search over the chain finds the label combination of the highest joint probability.
+
+The classifier is fitted on a bounded sample of labelled documents (FIT_DOCUMENTS, FIT_BYTES);
 every document is classified, from its whole text.
 """
 
@@ -26,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,11 +32,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .text import byte_words, characters
 
 #: Most labelled documents the model is fitted on; those with the least hash of doc_id.
 FIT_DOCUMENTS = 6_000
+#: Most bytes of their texts: of the same order, those that still fit.
+FIT_BYTES = 64 << 20
+#: Labelled documents a source needs to be a feature; those of rarer sources have none.
+SOURCE_DOCUMENTS = 20
 #: EM rounds, and what a word needs to enter the lexicon: probability of its subject, expected sentences.
 ROUNDS = 10
 CLEAR = 0.75
@@ -49,15 +53,15 @@ PAGES_PER_PAGE = 400
 LEAST_PAGES = 8
 #: Least evidence (log-odds) for a sentence to be about a subject.
 EVIDENCE = 0.7
-#: A subject is one of a document's from this share of its sentences on a subject.
-QUARTER = 0.25
+#: Steps of a subject's share of the sentences on a subject; the chain learns what each is worth.
+SHARE_STEPS = 20
 BEAM = 6
 #: Rates of missing and of wrong labels that the cleaning of the raters' labels begins with, and its rounds.
 MISSING, WRONG = 0.1, 0.01
-CLEANINGS = 8
-#: The chain must be right more often than the rule by so many standard deviations of their difference.
-CLEARLY = 2.0
-#: Pages are dealt into so many parts: the last is for the comparison, the one before it for calibration.
+CLEANINGS = 6
+#: Ridge on the weights of all subjects together, and on what one link adds to them.
+RIDGE, LINK_RIDGE = 1.0, 5.0
+#: Pages are dealt into so many parts, the last of which is for calibration.
 PARTS = 5
 
 # Frequent words that tell the language of a sentence.
@@ -249,27 +253,28 @@ def features(lexicon: Lexicon, texts: list[str | None], sources: list[str | None
         if s in place:
             source[k, place[s]] = 1
     structure = np.stack([np.log1p(total), rows.sum(axis=1) / np.maximum(total, 1)], axis=1)
-    return np.hstack([share, (share >= QUARTER) & (total > 0)[:, None], np.log1p(count), structure, source]), total
+    return np.hstack([share, np.log1p(count), structure, source]), total
 
 
 def _own(x: np.ndarray, k: int, subjects: int) -> np.ndarray:
-    """The features of subject k: its own share, mark and count, and what is common to all."""
-    return np.hstack([x[:, [k, subjects + k, 2 * subjects + k]], x[:, 3 * subjects :]])
+    """The features of subject k: the steps its share reaches, the share, its count, and what is common to all subjects."""
+    steps = x[:, [k]] * SHARE_STEPS + 1e-9 >= np.arange(1, SHARE_STEPS + 1)
+    return np.hstack([steps, x[:, [k, subjects + k]], x[:, 2 * subjects :]])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton's method; the last is the constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, offset: np.ndarray | float = 0.0, ridge: np.ndarray | float = 1.0, free: float = 1e-3, start: np.ndarray | None = None, rounds: int = 25) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; the last is the constant, with the ridge `free`."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
     penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
+    penalty[-1] = free
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
         g = x.T @ (p - y) + penalty * w
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, g)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
@@ -277,39 +282,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25
 class Chain:
     """Logistic regressions in a row, each seeing the decisions before it, with calibration."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None) -> None:
-        """x: features; y: the raters' labels; held: the documents kept for calibration, each fifth if not given."""
-        self.subjects = y.shape[1]
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray | None = None, linked: bool = True) -> None:
+        """x: features; y: the raters' labels; held: the documents kept for calibration, each fifth if not given.
+
+        linked: False leaves the earlier decisions out, to measure what they do.
+        """
+        self.subjects, self.linked = y.shape[1], linked
         self.order = np.argsort(-y.sum(axis=0), kind="stable").tolist()
         if held is None:
             held = np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), dtype=bool)
-        true = y.astype(float)
+        own = [_own(x, k, self.subjects) for k in range(self.subjects)]
+        true, pooled = y.astype(float), None
         for turn in range(CLEANINGS):
-            p = self._fit(x, true, held)
-            missing = (true * (1 - y)).sum(axis=0) / np.maximum(true.sum(axis=0), 1) if turn else MISSING
-            wrong = ((1 - true) * y).sum(axis=0) / np.maximum((1 - true).sum(axis=0), 1) if turn else WRONG
+            p, pooled = self._fit(own, true, held, pooled)
+            missing = (true * (1 - y)).sum() / max(true.sum(), 1) if turn else MISSING
+            wrong = ((1 - true) * y).sum() / max((1 - true).sum(), 1) if turn else WRONG
             yes, no = p * np.where(y > 0, 1 - missing, missing), (1 - p) * np.where(y > 0, wrong, 1 - wrong)
             true = yes / np.maximum(yes + no, 1e-12)
-        self._fit(x, true, held)
+        self._fit(own, true, held, pooled)
 
-    def _fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """Fits and calibrates the links on y (labels or their probabilities); gives the links' probabilities."""
-        fit = ~held
+    def _fit(self, own: list[np.ndarray], y: np.ndarray, held: np.ndarray, pooled: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Fits and calibrates the links on y (labels or their probabilities); gives the links' probabilities and the pooled weights."""
+        fit, kept = ~held, SHARE_STEPS + 2
+        everything = np.concatenate([o[fit, :kept] for o in own])
+        pooled = _logistic(everything, np.concatenate([y[fit, k] for k in range(self.subjects)]), ridge=RIDGE, start=pooled)
         self.weights, self.scale = [], []
         out = np.zeros(y.shape)
         for j, k in enumerate(self.order):
-            z = np.hstack([_own(x, k, self.subjects), y[:, self.order[:j]]])
-            w = _logistic(z[fit], y[fit, k])
+            z = np.hstack([own[k], y[:, self.order[:j]] * self.linked])
+            w = _logistic(z[fit], y[fit, k], own[k][fit, :kept] @ pooled[:-1] + pooled[-1], LINK_RIDGE, LINK_RIDGE)
+            w[:kept] += pooled[:-1]
+            w[-1] += pooled[-1]
             self.weights.append(w)
             s = z @ w[:-1] + w[-1]
+            c = np.array([1.0, 0.0])
             if held.any():
                 c = _logistic(s[held, None], y[held, k], ridge=0.1)
                 c = c if c[0] > 0.2 and abs(c[1]) < 2 * c[0] else np.array([1.0, 0.0])
-            else:
-                c = np.array([1.0, 0.0])
             self.scale.append(c)
             out[:, k] = 1 / (1 + np.exp(-np.clip(c[0] * s + c[1], -30, 30)))
-        return out
+        return out, pooled
 
     def decode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """(document x subject) 0/1: the combination of the highest joint probability, by beam search."""
@@ -319,7 +331,7 @@ class Chain:
             w, (a, b) = self.weights[j], self.scale[j]
             own = _own(x, k, self.subjects)
             base = own @ w[: own.shape[1]] + w[-1]
-            logit = a * (base[:, None] + path @ w[own.shape[1] : -1]) + b
+            logit = a * (base[:, None] + path @ w[own.shape[1] : -1] * self.linked) + b
             yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
             both = np.concatenate([score + yes, score + no], axis=1)
             width = path.shape[1]
@@ -332,56 +344,40 @@ class Chain:
         return out
 
 
-def rule(x: np.ndarray, subjects: int) -> np.ndarray:
-    """(document x subject) 0/1: the subjects of a quarter or more of the sentences on a subject."""
-    return x[:, subjects : 2 * subjects] > 0
-
-
-def compare(texts: list[str], y: np.ndarray, pages: list[int], of: list[str | None], sources: list[str]) -> tuple[int, int, int]:
-    """(documents, right by the chain only, right by the rule only) on pages held out from lexicon and chain."""
-    part = np.array([zlib.crc32(str(p).encode()) % PARTS for p in pages])
-    seen, tested = np.flatnonzero(part < PARTS - 1), part == PARTS - 1
-    if not tested.any() or not len(seen) or not (part < PARTS - 2).any():
-        return 0, 0, 0
-    lexicon = learn_lexicon([texts[k] for k in seen], y[seen], [pages[k] for k in seen])
-    x, total = features(lexicon, texts, of, sources)
-    used = (part < PARTS - 1) & (total > 0)
-    tested &= total > 0
-    if not (used & (part < PARTS - 2)).any() or not tested.any():
-        return 0, 0, 0
-    chain = Chain(x[used], y[used], part[used] == PARTS - 2)
-    by_chain, by_rule = ((d == (y[tested] > 0)).all(axis=1) for d in (chain.decode(x[tested]), rule(x[tested], y.shape[1])))
-    return int(tested.sum()), int((by_chain & ~by_rule).sum()), int((by_rule & ~by_chain).sum())
-
-
-def fit(documents: DataFrame, labels: DataFrame, names: list[str], most: int = FIT_DOCUMENTS) -> tuple[Lexicon | None, Chain | None, list[str]]:
-    """The lexicon, the chain and the sources known, from at most `most` labelled documents.
-
-    Without labelled documents there is no lexicon; no chain means that the rule decides.
+def sample(documents: DataFrame, labels: DataFrame, names: list[str], most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> DataFrame:
+    """(doc_id, text, source, page, labels) of at most `most` labelled documents with at most `most_bytes` of text together.
 
     Labels count without case and surrounding space; those that name no subject, and
-    repeated ones, do not count. The sample reaches the driver and is bounded by `most`.
+    repeated ones, do not count. Documents come in order of a hash of doc_id; one that
+    would exceed the bytes is left out. Of a repeated document the least copy counts.
     """
     named = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
-    chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = named.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     page = F.coalesce("page_id", "doc_id") if "page_id" in documents.columns else F.col("doc_id")
-    rows = documents.select("doc_id", "text", "source", page.alias("page")).where("text is not null").join(F.broadcast(chosen), "doc_id").limit(2 * most).collect()
-    rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))}.values())
+    one = documents.select("doc_id", "text", "source", page.alias("page")).where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "source", "page", "labels")).alias("r")).select("doc_id", "r.*")
+    # At most `most` narrow rows pass through the window.
+    before = F.sum(F.octet_length("text").cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return one.withColumn("bytes", before).where(F.col("bytes") <= most_bytes).drop("bytes")
+
+
+def fit(documents: DataFrame, labels: DataFrame, names: list[str], most: int = FIT_DOCUMENTS, most_bytes: int = FIT_BYTES) -> tuple[Lexicon | None, Chain | None, list[str]]:
+    """The lexicon, the chain and the sources known, from the sample(), which reaches the driver; none without labelled documents."""
+    rows = sorted(sample(documents, labels, names, most, most_bytes).collect(), key=lambda r: r["doc_id"])
     y = np.zeros((len(rows), len(names)))
     for k, r in enumerate(rows):
         for s in r["labels"]:
             y[k, names.index(s)] = 1
     texts, of, pages = [r["text"] for r in rows], [r["source"] for r in rows], [r["page"] for r in rows]
-    sources = sorted({s for s in of if s is not None})[:64]
+    sources = sorted(s for s, n in Counter(of).items() if s is not None and n >= SOURCE_DOCUMENTS)
     if not rows:
         return None, None, sources
-    lexicon, chain = learn_lexicon(texts, y, pages), None
-    _, won, lost = compare(texts, y, pages, of, sources)
-    if won - lost > CLEARLY * (won + lost) ** 0.5:
-        x, total = features(lexicon, texts, of, sources)
-        some = total > 0
-        chain = Chain(x[some], y[some], np.array([zlib.crc32(str(p).encode()) % PARTS == PARTS - 2 for p in pages])[some])
-    return lexicon, chain, sources
+    lexicon = learn_lexicon(texts, y, pages)
+    x, total = features(lexicon, texts, of, sources)
+    some = total > 0
+    held = np.array([zlib.crc32(str(p).encode()) % PARTS == PARTS - 1 for p in pages])[some]
+    if not some.any():
+        return None, None, sources
+    return lexicon, Chain(x[some], y[some], held if (~held).any() else np.zeros(len(held), dtype=bool)), sources
 
 
 _FOUND = "doc_id long, subject string"
@@ -413,7 +409,7 @@ def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame, mo
                 some = np.flatnonzero(total > 0)
                 if not len(some):
                     continue
-                d, s = np.nonzero(rule(x[some], len(nam)) if ch is None else ch.decode(x[some]))
+                d, s = np.nonzero(ch.decode(x[some]))
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[some[d]], "subject": label[s]})
 
     return documents.select("doc_id", "text", "source").where("doc_id is not null").mapInPandas(classify, _FOUND)

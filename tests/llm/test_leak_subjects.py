@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from slotlake.llm import leak, subjects
 
 
@@ -194,11 +196,23 @@ def test_chain_corrects_the_lexicon_from_the_labels(frame):
     assert len(got & truth) >= 0.97 * len(truth) and len(got & truth) >= 0.97 * len(got)
 
 
-def test_rule_decides_where_the_chain_is_not_better(frame):
-    docs, labels, _ = subject_tables()
-    d = frame("doc_id long, text string, source string", docs)
-    lexicon, chain, _ = subjects.fit(d, frame("doc_id long, subject string, rater string", labels), sorted(TOPICS))
-    assert lexicon is not None and chain is None
+def test_chain_follows_the_labels(frame):
+    docs, labels, truth = subject_tables()
+    d, s = frame("doc_id long, text string, source string", docs), frame("subject string, about string", [(t, "") for t in TOPICS])
+    names, own = sorted(TOPICS), subjects.learn_lexicon([x[1] for x in docs], np.array([[float((k, t) in truth) for t in sorted(TOPICS)] for k, *_ in docs]))
+    x, total = subjects.features(own, [x[1] for x in docs], [x[2] for x in docs], ["a", "b"])
+    y = np.array([[float((k, t) in truth) for t in names] for k, *_ in docs])
+    some = total > 0
+    right = subjects.Chain(x[some], y[some]).decode(x[some])
+    assert (right == (y[some] > 0)).all(axis=1).mean() > 0.97
+    # The chain has nothing but the labels to learn from: other labels, other subjects.
+    other = np.random.default_rng(1).permutation(y[some])
+    assert (subjects.Chain(x[some], other).decode(x[some]) == right).all(axis=1).mean() < 0.7
+    # A document needs half of the sentences if the raters say so.
+    half = (x[some][:, : len(names)] >= 0.5).astype(float)
+    assert (subjects.Chain(x[some], half).decode(x[some]) == (half > 0)).all(axis=1).mean() > 0.97
+    assert subjects.fit(d, frame("doc_id long, subject string, rater string", labels), names)[1] is not None
+    assert subjects.sample(d, frame("doc_id long, subject string, rater string", labels), names, most_bytes=2000).count() < 40
 
 
 def test_half_in_one_piece_needs_no_names(frame):
