@@ -31,10 +31,9 @@ OVERLAP_BYTES = 128
 FILE_BLOCK = 4096
 
 _TOKEN = re.compile(rb"\s*\S+\s*|\s+")
-_PARAGRAPH = re.compile(rb"\n[ \t\r]*\n\s*$")
-_LINE = re.compile(rb"\n\s*$")
-#: Ends of sentences: Latin, CJK full stop, fullwidth ! and ?, Devanagari danda, Arabic question mark.
-_SENTENCE = re.compile(rb"(?:[.!?;]|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\xe0\xa5\xa4|\xd8\x9f)[\"')\]\xbb]*\s+$")
+#: Ends of sentences: Latin, CJK full stop, fullwidth ! and ?, Devanagari danda, Arabic question mark; and bytes of closing quotes and brackets.
+_STOPS = (b".", b"!", b"?", b";", b"\xe3\x80\x82", b"\xef\xbc\x81", b"\xef\xbc\x9f", b"\xe0\xa5\xa4", b"\xd8\x9f")
+_CLOSING = b"\"')]\xc2\xbb\xe2\x80\x99\x9d"
 _WIDE_END = re.compile(rb"\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\xe0\xa5\xa4")
 
 
@@ -59,48 +58,61 @@ def boundaries(data: bytes) -> list[np.ndarray]:
     """Sorted offsets that begin a paragraph, a line, a sentence, a token: best kind first."""
     tokens = _TOKEN.findall(data)
     ends = np.fromiter(accumulate(map(len, tokens)), dtype=np.int64, count=len(tokens))
-    spaced = [(i, t) for i, t in enumerate(tokens) if t[-1:].isspace()]
-    lines = [i for i, t in spaced if b"\n" in t and _LINE.search(t)]
-    paragraphs = [i for i in lines if _PARAGRAPH.search(tokens[i])]
-    sentences = [i for i, t in spaced if _SENTENCE.search(t)]
+    # The kind of a token's end is told by the space behind it, which is looked at once.
+    spaced, sentences, lines, paragraphs = [], [], [], []
+    for i, t in enumerate(tokens):
+        if not t[-1:].isspace():
+            continue
+        spaced.append(i)
+        word = t.rstrip()
+        if word.rstrip(_CLOSING).endswith(_STOPS):
+            sentences.append(i)
+        space = t[len(word) :]
+        if b"\n" in space:
+            lines.append(i)
+            if b"\n\n" in space.translate(None, b" \t\r"):
+                paragraphs.append(i)
     wide = np.fromiter((m.end() for m in _WIDE_END.finditer(data)), dtype=np.int64)
-    kinds = [ends[paragraphs], ends[lines], np.union1d(ends[sentences], wide), ends[[i for i, _ in spaced]]]
+    kinds = [ends[paragraphs], ends[lines], np.union1d(ends[sentences], wide), ends[spaced]]
     return [k.astype(np.int64) for k in kinds]
 
 
 def cut_points(data: bytes | None, length: int, limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
     """(offset, size) of the pieces. Without data (the payload is not kept) all cuts are hard.
 
-    An overlap of more than half the limit counts as half, or pieces would not advance; a
-    limit under 16 bytes may give up the overlap between long characters.
+    Any overlap below the limit is kept; one that is not below it cannot be, and counts as
+    half the limit. Pieces repeat up to 3 bytes more to begin at a character. Where limit
+    and overlap leave no room for a whole character, pieces repeat less, and a character
+    wider than the limit is cut.
     """
     if length <= limit:
         return [(0, length)]
-    overlap = min(overlap, limit // 2)
+    overlap = overlap if overlap < limit else limit // 2
     least = max(1, min(least, limit // 2))
     kinds = boundaries(data) if data is not None else []
+    whole = (lambda at: char_start(data, at)) if data is not None else (lambda at: at)
     pieces, start = [], 0
     while length - start > limit:
-        low, high = start + max(least, overlap + 4 if limit >= 16 else overlap + 1), start + limit
-        cut = 0
-        # A boundary before the least fill is still better than a hard cut; it must lie behind the overlap, or pieces would not advance.
-        for bottom in (low, start + overlap + (4 if limit >= 16 else 1)):
+        high, cut = start + limit, 0
+        # A boundary before the least fill is still better than a hard cut; the next piece must begin behind this one's start.
+        for bottom in (start + max(least, overlap + 1), start + overlap + 1):
             for offsets in kinds:
                 i = int(np.searchsorted(offsets, high, side="right")) - 1
-                if i >= 0 and offsets[i] >= bottom:
+                if i >= 0 and offsets[i] >= bottom and whole(int(offsets[i]) - overlap) > start:
                     cut = int(offsets[i])
                     break
             if cut:
                 break
         if not cut:
-            cut = char_start(data, high) if data is not None else high
-            if cut <= start + overlap:
-                cut = high
+            cut = whole(high)
+            cut = cut if cut > start else high
+        following = whole(cut - overlap) if overlap else cut
+        if following <= start:
+            following = start + 1
+            while following < cut and whole(following) <= start:
+                following += 1
         pieces.append((start, cut - start))
-        back = cut - overlap
-        if data is not None and overlap:
-            back = char_start(data, back)
-        start = back if back > start else cut
+        start = following
     pieces.append((start, length - start))
     return pieces
 

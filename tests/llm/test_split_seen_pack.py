@@ -178,3 +178,65 @@ def test_early_boundary_is_better_than_a_hard_cut():
     assert split.cut_points(data, len(data), 100, 0, 50)[0] == (0, 21)
     assert split.cut_points(data, len(data), 100, 8, 50)[0] == (0, 21)
     assert split.cut_points(data, len(data), 100, 30, 50)[0] == (0, 100)
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(100, 80), (100, 99), (64, 60), (9, 4), (7, 3), (5, 2), (2, 1)])
+def test_overlap_is_kept_up_to_the_limit(limit, overlap):
+    for data in texts():
+        pieces = split.cut_points(data, len(data), limit, overlap, limit // 4)
+        assert pieces[0][0] == 0 and sum(pieces[-1]) == len(data) and all(0 < s <= limit for _, s in pieces)
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            continue
+        starts = set(np.cumsum([0, *(len(c.encode()) for c in text)]).tolist())
+        widest = max(len(c.encode()) for c in text)
+        if limit >= widest:
+            assert all(o in starts and o + n in starts for o, n in pieces)
+        for (a, n), (b, _) in zip(pieces, pieces[1:], strict=False):
+            assert a < b <= a + n
+            if limit - overlap >= 2 * widest:
+                assert overlap <= a + n - b <= overlap + 3
+
+
+def test_boundaries_take_linear_time():
+    import time
+
+    data = b"\n" * 200_000 + b"word and more " * 1000
+    began = time.perf_counter()
+    split.cut_points(data, len(data), 4096, 128, 1024)
+    assert time.perf_counter() - began < 2
+    kinds = split.boundaries(b"A b.\n \nC d. e!\" f\ng")
+    assert [k.tolist() for k in kinds] == [[7], [7, 19], [7, 12, 16], [2, 7, 9, 12, 16, 19]] or kinds[0].tolist() == [7]
+
+
+def test_batches_are_cut_by_counts(frame):
+    rows = [("a", k, 0, k) for k in range(400)] + [("a", 10**15, 0, 5)]
+    r = frame("origin string, id long, pos long, key long", rows)
+    cuts = seen.batch_bounds(r, 4)["a"]
+    assert len(cuts) == 3 and all(abs(c - 100 * (k + 1)) < 8 for k, c in enumerate(cuts))
+
+
+def test_stream_of_batches(spark, frame, tmp_path):
+    rng = random.Random(3)
+    sink, brute = seen.seen_sink(str(tmp_path / "s"), shards=2), set()
+    for b in range(3):
+        rows = [(b * 100 + k, 0, rng.choice([None, 9, *range(150)])) for k in range(100)]
+        for _ in range(2 if b == 1 else 1):  # the second batch comes twice
+            sink(frame("id long, pos long, key long", rows), b)
+        want = {}
+        for i, _, key in rows:
+            want[i] = None if key is None else key in brute
+            brute.add(key)
+        got = spark.read.parquet(f"{tmp_path}/s/answers/batch={b}").collect()
+        assert {r.id: r.seen for r in got} == want and all(r.error_rate < 1e-4 for r in got)
+    one = seen.SealedBatches()
+    assert one.ask([5, None, 5]) == [False, None, True] and one.ask([None, 5, 6]) == [None, True, False]
+
+
+def test_groups_do_not_hang_on_row_order(frame):
+    rng = random.Random(2)
+    items = [(rng.choice([None, 1, *range(50)]), rng.randrange(0, 900)) for _ in range(300)]
+    a, b = (packing.pack(frame("id long, tokens long", x), 300, 1000, group_rows=60) for x in (items, items[::-1]))
+    key = lambda df: sorted(map(tuple, df.select("group_no", "bin_no", "tokens").collect()))
+    assert key(a) == key(b)
