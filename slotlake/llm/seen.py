@@ -13,7 +13,7 @@ with a third of all rows costs no more than any other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from . import fuse
 
-#: Sealed batches the records are cut into.
+#: Sealed batches the records are cut into at least, and records of a batch beyond that.
 GENERATIONS = 8
+BATCH_ROWS = 50_000_000
 #: Records for which one shard of filters is added.
 SHARD_ROWS = 250_000
 
@@ -43,17 +44,19 @@ def records_of(puts: DataFrame | None, chunks: DataFrame | None) -> DataFrame:
     return rows.where("id is not null and pos is not null").groupBy("origin", "id", "pos").agg(F.min("key").alias("key"))
 
 
-def batch_bounds(records: DataFrame, generations: int = GENERATIONS) -> dict[str, tuple[int, int]]:
-    """Per origin the least id and the number of ids in a batch. The origins are few and named by the caller."""
-    ends = records.groupBy("origin").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).collect()
-    return {r["origin"]: (r["lo"], max(1, -(-(r["hi"] - r["lo"] + 1) // generations))) for r in ends}
+def batch_bounds(records: DataFrame, generations: int = GENERATIONS) -> dict[str, list[int]]:
+    """Per origin the ids at which a new batch begins: quantiles of the ids, so that batches have about equal rows. The origins are few and named by the caller."""
+    marks = [k / generations for k in range(1, generations)]
+    ends = records.groupBy("origin").agg(F.percentile_approx("id", F.array(*map(F.lit, marks)) if marks else F.lit(0.5), 10_000).alias("q")).collect()
+    return {r["origin"]: sorted(set(r["q"])) if marks else [] for r in ends}
 
 
-def first_of_batch(records: DataFrame, bounds: dict[str, tuple[int, int]], shards: int) -> DataFrame:
+def first_of_batch(records: DataFrame, bounds: dict[str, list[int]], shards: int) -> DataFrame:
     """(shard, origin, key, gen, first): one row for each key of each batch. Null keys have no answer."""
     gen = F.lit(1)
-    for origin, (lo, width) in bounds.items():
-        gen = F.when(F.col("origin") == origin, F.floor((F.col("id") - lo) / width) + 1).otherwise(gen)
+    for origin, cuts in bounds.items():
+        for k, at in enumerate(cuts):
+            gen = F.when((F.col("origin") == origin) & (F.col("id") > at), k + 2).otherwise(gen)
     rows = records.where("key is not null").select("origin", "key", gen.cast("int").alias("gen"), F.struct("id", "pos").alias("at"))
     firsts = rows.groupBy("origin", "key", "gen").agg(F.min("at").alias("first"))
     return firsts.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "origin", "key", "gen", "first")
@@ -103,23 +106,26 @@ def probe(firsts: DataFrame, filters: DataFrame) -> DataFrame:
     return flat.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(ask, _ANSWERS)
 
 
-def _stages(records: DataFrame, known: DataFrame, rows: int, generations: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _stages(records: DataFrame, known: DataFrame, rows: int, generations: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     shards = max(8, -(-rows // SHARD_ROWS))
-    firsts = first_of_batch(records, batch_bounds(records, generations), shards)
+    bounds = batch_bounds(records, max(generations, -(-rows // BATCH_ROWS)))
+    firsts = first_of_batch(records, bounds, shards)
     before = known.where("fid is not null").select(F.pmod(F.xxhash64("fid"), F.lit(shards)).cast("int").alias("shard"), F.lit("").alias("origin"), F.col("fid").alias("key"), F.lit(0).alias("gen")).distinct()
-    return firsts, before, seal(firsts.select("shard", "origin", "key", "gen").unionByName(before), bits)
+    return firsts, before, seal(firsts.select("shard", "origin", "key", "gen").unionByName(before), bits), sorted(bounds)
 
 
-def _checked(firsts: DataFrame, before: DataFrame, filters: DataFrame) -> DataFrame:
-    """probe() with seen: what an exact look into the stored batches says of each yes. A no stands."""
+def _checked(firsts: DataFrame, before: DataFrame, filters: DataFrame, origins: list[str]) -> DataFrame:
+    """probe() with seen: what an exact look into the stored batches says of each yes. A no stands.
+
+    A key's earliest batch, per origin, is one row for each key, which the yes rows meet once.
+    """
     asked = probe(firsts, filters)
-    yes = asked.where("maybe")
     stored = firsts.select("origin", "key", "gen").unionByName(before.select("origin", "key", "gen"))
-    s = stored.select(F.col("key").alias("k"), F.col("origin").alias("o"), F.col("gen").alias("g"))
-    earlier = (F.col("key") == F.col("k")) & ((F.col("g") == 0) | (F.col("o") == F.col("origin")) & (F.col("g") < F.col("gen")))
-    right = yes.join(s, earlier, "left_semi").withColumn("seen", F.lit(True))
-    wrong = yes.join(s, earlier, "left_anti").withColumn("seen", F.lit(False))
-    return asked.where("not maybe").withColumn("seen", F.lit(False)).unionByName(right).unionByName(wrong)
+    earliest = stored.groupBy(F.col("key").alias("k")).agg(F.min("gen").alias("any"), *(F.min(F.when(F.col("origin") == o, F.col("gen"))).alias(f"gen_{i}") for i, o in enumerate(origins)))
+    own = F.coalesce(*(F.when(F.col("origin") == o, F.col(f"gen_{i}")) for i, o in enumerate(origins)), F.lit(None).cast("int"))
+    yes = asked.where("maybe").join(earliest, F.col("key") == F.col("k"), "left")
+    yes = yes.select(*asked.columns, (F.coalesce(F.col("any") == 0, F.lit(False)) | F.coalesce(own < F.col("gen"), F.lit(False))).alias("seen"))
+    return asked.where("not maybe").withColumn("seen", F.lit(False)).unionByName(yes)
 
 
 def answers(records: DataFrame, known: DataFrame, rows: int, generations: int = GENERATIONS, bits: int = fuse.BITS) -> DataFrame:
@@ -128,19 +134,19 @@ def answers(records: DataFrame, known: DataFrame, rows: int, generations: int =
     Only the first record of a key in a batch that no filter knows, or whose yes does
     not stand, is new; every other record with a key was seen. `rows` sizes the shards.
     """
-    firsts, before, filters = _stages(records, known, rows, generations, bits)
-    new = _checked(firsts, before, filters).where("not seen").select("origin", "id", "pos", F.lit(True).alias("new"))
+    firsts, before, filters, origins = _stages(records, known, rows, generations, bits)
+    new = _checked(firsts, before, filters, origins).where("not seen").select("origin", "id", "pos", F.lit(True).alias("new"))
     joined = records.join(new, ["origin", "id", "pos"], "left")
     return joined.select("origin", "id", "pos", "key", F.when(F.col("key").isNotNull(), F.col("new").isNull()).alias("seen"))
 
 
 def error_report(records: DataFrame, known: DataFrame, rows: int, generations: int = GENERATIONS, bits: int = fuse.BITS) -> DataFrame:
     """Per origin and batch: keys asked, expected compounded error rate, yes answers, wrong ones and their measured rate."""
-    firsts, before, filters = _stages(records, known, rows, generations, bits)
+    firsts, before, filters, origins = _stages(records, known, rows, generations, bits)
     wrong = F.count_if(F.col("maybe") & ~F.col("seen"))
     new = F.count_if(~F.col("seen"))
     return (
-        _checked(firsts, before, filters)
+        _checked(firsts, before, filters, origins)
         .groupBy("origin", "gen")
         .agg(F.count(F.lit(1)).alias("keys"), F.max("error_rate").alias("expected_rate"), F.count_if("maybe").alias("yes"), wrong.alias("wrong_yes"), (wrong / F.greatest(new, F.lit(1))).alias("measured_rate"))
     )
@@ -155,17 +161,43 @@ class SealedBatches:
     def __init__(self, bits: int = fuse.BITS) -> None:
         self.bits, self.filters = bits, []
 
-    def ask(self, keys: Iterator[int]) -> list[bool]:
-        """Whether each key was seen, in order; then the batch is sealed."""
-        k = np.fromiter((x for x in keys), dtype=np.int64)
+    def ask(self, keys: Iterable[int | None]) -> list[bool | None]:
+        """Whether each key was seen, in order (None for a null key); then the batch is sealed."""
+        given = list(keys)
+        k = np.fromiter((x for x in given if x is not None), dtype=np.int64)
         seen = np.ones(len(k), dtype=bool)
         _, first = np.unique(k, return_index=True)
         seen[first] = False
         for p in self.filters:
             seen |= p.contains(k)
         self.filters.append(fuse.Probe(fuse.build(k, self.bits)))
-        return seen.tolist()
+        answers_ = iter(seen.tolist())
+        return [None if x is None else next(answers_) for x in given]
 
     @property
     def error_rate(self) -> float:
         return fuse.compounded([p.error_rate for p in self.filters])
+
+
+def seen_sink(path: str, shards: int = 8, bits: int = fuse.BITS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for a stream of (id, pos, key): answers go to path/answers, the sealed batch's filters to path/filters.
+
+    A batch asks the filters of all batches before it; its own keys are decided exactly
+    (the first in order of id and pos is new). Only filters are kept of earlier batches,
+    so a yes may be wrong at error_rate. A batch that runs again overwrites what it wrote.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        records = df.select(F.lit("").alias("origin"), "id", "pos", "key")
+        firsts = first_of_batch(records, {}, shards).withColumn("gen", F.lit(batch + 1))
+        sealed = seal(firsts.select("shard", "origin", "gen", "key"), bits)
+        earlier = spark.read.schema(_FILTERS).parquet(*(f"{path}/filters/batch={b}" for b in range(batch))) if batch else sealed.limit(0)
+        asked = probe(firsts, earlier).where("not maybe").select("id", "pos", "key", F.lit(True).alias("new"))
+        # A shard without an earlier filter answers no; the rate is that of a shard with all of them.
+        rate = fuse.compounded([2.0**-bits] * batch)
+        out = records.drop("origin").join(asked, ["id", "pos", "key"], "left")
+        out.select("id", "pos", "key", F.when(F.col("key").isNotNull(), F.col("new").isNull()).alias("seen"), F.lit(rate).alias("error_rate")).write.mode("overwrite").parquet(f"{path}/answers/batch={batch}")
+        sealed.write.mode("overwrite").parquet(f"{path}/filters/batch={batch}")
+
+    return write
