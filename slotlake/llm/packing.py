@@ -85,14 +85,16 @@ def pack(items: DataFrame, rows: int, capacity: int = CAPACITY, group_rows: int
 
     An item larger than the capacity is cut into full pieces and a rest; no other is
     split. Items without tokens take no room but get a bin; null ids are kept. Groups are drawn by a hash of
-    id and row position, so repeated ids spread too. `rows` (the number of items) only
+    id, tokens and the number of the copy, so repeated ids spread too and the groups do not
+    hang on how the rows lie. `rows` (the number of items) only
     sets the number of groups; an empty table gives no rows.
     """
     groups = max(1, -(-rows // group_rows))
     tokens = F.coalesce(F.col("tokens"), F.lit(0))
     pieces = F.greatest(F.ceil(tokens / capacity), F.lit(1))
     # A null id travels as a flag: pandas would turn the whole column into floats.
-    cut = items.select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNotNull().alias("named"), tokens.alias("t"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("int").alias("group_no"), F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)).alias("piece_no"))
+    copies = items.select("id", tokens.alias("tokens")).groupBy("id", "tokens").agg(F.count(F.lit(1)).alias("n")).select("id", "tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    cut = copies.select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNotNull().alias("named"), F.col("tokens").alias("t"), F.pmod(F.xxhash64("id", "tokens", "copy", F.lit(seed)), F.lit(groups)).cast("int").alias("group_no"), F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)).alias("piece_no"))
     cut = cut.select("group_no", "id", "named", "piece_no", (F.col("piece_no") * capacity).alias("token_start"), F.least(F.col("t") - F.col("piece_no") * capacity, F.lit(capacity).cast("long")).alias("tokens"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
