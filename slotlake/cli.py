@@ -95,7 +95,9 @@ def main(argv: list[str] | None = None) -> int:
         elif a.verb == "blk":
             return images_verb(spark, a)
         else:
-            disks = images.pool_state(images.find_devices(spark, [r["device_path"] for r in images.read_pool(spark, store.settings.pan_path).collect()]), store.settings.chd_target_p)
+            pool = images.read_pool(spark, store.settings.pan_path).select("pool_pos", "device_path")
+            found = images.find_devices(spark, [r["device_path"] for r in pool.collect()])
+            disks = images.pool_state(found.join(pool, "device_path"), store.settings.chd_target_p)
             if a.verb == "bonnie":
                 r = placement.bonnie(disks, store.settings.max_put).first()
                 print(json.dumps({"ch_d_pow2": r["ch_d_pow2"], "bytes": r["bytes"]}))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.address import address, floor_log2, slot_count
-from ..functions.fid import sample_fids
+from ..functions.fid import sample_fids, xxh3_jumps
+from ..session import broadcast_if_small, cut
 from ..types import CHD_SAMPLES, CHD_TARGET_P, ENTRY_BYTES, INDEX_BYTES, MAX_PUT, SLOT_BYTES
 
-#: Most disks of a pool that route() takes.
-POOL_DISKS = 4096
 #: Slots per bucket of the interval join.
 BUCKET = 64
 
@@ -57,6 +56,12 @@ def free_of(rows: DataFrame, taken: DataFrame, group: list[str]) -> DataFrame:
     return rows.join(hit.select(*group, "fid").distinct(), [*group, "fid"], "left_anti")
 
 
+def any_overlap(rows: DataFrame, taken: DataFrame, group: list[str]) -> DataFrame:
+    """The rows that overlap a taken extent of their group, each once."""
+    hit = overlap_pairs(rows, taken.select(*group, "start", "end"), group).select("l.*")
+    return rows.join(hit.select(*group, "fid").distinct(), [*group, "fid"], "left_semi")
+
+
 def _block(at: str, width: int) -> Column:
     """The block of a position; never null, so that a join on it adds no filter and both its sides share a shuffle."""
     return F.coalesce(F.floor(F.col(at) / width), F.lit(0).cast("long"))
@@ -123,7 +128,7 @@ def chd(disks: DataFrame, taken: DataFrame, p: float | None = CHD_TARGET_P) -> D
         x = pdf[pdf["start"].notna()]
         return pd.DataFrame({"disk_id": pdf["disk_id"].iloc[:1], "chd": [chd_bytes(int(pdf["disk_id"].iloc[0]), int(pdf["slots"].iloc[0]), x["start"], x["end"], p)]})
 
-    one = taken.select("disk_id", "start", "end").distinct()
+    one = occupied_runs(taken)
     return disks.select("disk_id", "slots").join(one, "disk_id", "left").groupBy("disk_id").applyInPandas(estimate, "disk_id long, chd long")
 
 
@@ -131,52 +136,67 @@ def disk_slots(devices: DataFrame) -> DataFrame:
     return devices.withColumn("slots", slot_count(F.col("size_bytes")))
 
 
-def can_write(size: Column, chd_: Column, faulted: Column) -> Column:
-    return (size > 0) & (F.floor(chd_ / SLOT_BYTES) * SLOT_BYTES >= size) & (chd_ > 0) & ~faulted
+def can_write(size: Column, slots: Column, faulted: Column) -> Column:
+    """Whether a disk could hold an object of this size at all: not faulted, and the whole grid is large enough. A full disk is."""
+    return (size > 0) & (size <= slots * SLOT_BYTES) & ~faulted
+
+
+def _step(size: Column) -> Column:
+    """A rising step function of sizes above 0: 16 steps for each power of two."""
+    power = floor_log2(size)
+    return (power * 16 + F.floor(size / F.pow(F.lit(2.0), power) * 16) - 16).cast("int")
+
+
+def choices(disks: DataFrame, small_bytes: int) -> DataFrame:
+    """(tier, below, upto, disk_id): the disk that a size in (below, upto] goes to, for the zram and for the disk tier.
+
+    disks: disk_id, pool_pos, is_zram, faulted, slots, chd. Per tier at most two rows for each disk.
+    """
+    d = disks.where(~F.col("faulted") & (F.col("slots") > 0)).select("disk_id", "pool_pos", F.when(F.col("is_zram"), "zram").otherwise("disk").alias("tier"), (F.col("slots") * SLOT_BYTES).alias("most"), "chd")
+    d = d.withColumn("room", F.least("chd", "most"))
+    first = F.min_by("disk_id", F.struct("pool_pos", "disk_id"))
+    t = W.partitionBy("tier")
+    fit = d.where("room > 0").groupBy("tier", "room").agg(first.alias("disk_id")).select("tier", F.lag("room", 1, 0).over(t.orderBy("room")).alias("below"), F.col("room").alias("upto"), "disk_id")
+    # An ordinary disk that can hold the object, though its estimate is too small: the one with the most room.
+    rest = d.where("tier = 'disk'").withColumn("top", F.max("room").over(t))
+    steps = rest.groupBy("tier", "most", "top").agg(F.max(F.struct("chd", (-F.col("pool_pos")).alias("p"), (-F.col("disk_id").cast("decimal(20,0)")).alias("i"))).alias("b"))
+    w = t.orderBy(F.col("most").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rest = steps.select("tier", F.greatest("top", F.lag("most", 1, 0).over(t.orderBy("most"))).alias("below"), F.col("most").alias("upto"), (-F.max("b").over(w)["i"]).cast("long").alias("disk_id"))
+    every = fit.unionByName(rest).where("upto > below")
+    small = F.least("upto", F.lit(min(small_bytes - 1, 2**63 - 1)))
+    return every.select("tier", "below", F.when(F.col("tier") == "zram", small).otherwise(F.col("upto")).alias("upto"), "disk_id").where("upto > below")
 
 
 def route(requests: DataFrame, disks: DataFrame, small_bytes: int) -> DataFrame:
     """(req_id, size, disk_id, tier): the disk each size goes to, null where none can take it.
 
-    disks: disk_id, pool_pos, is_zram, faulted, chd - a catalog of at most POOL_DISKS, which
-    becomes an expression: no join, no shuffle. A small object takes the zram disk with the least sufficient
-    room, else, as any other, the ordinary disk with the least sufficient room; if no
-    ordinary disk has enough by its estimate, the one with the most. Ties go to the first
-    in the pool.
+    disks: disk_id, pool_pos, is_zram, faulted, slots, chd. A small object takes the zram
+    disk with the least sufficient room, else, as any other, the ordinary disk with the
+    least sufficient room; if no ordinary disk has enough by its estimate, the one with
+    the most of those whose grid can hold it. Ties go to the first in the pool. The
+    catalog becomes a table of size ranges, which requests meet in the steps of their
+    size: an equi-join, broadcast if the table is small.
     """
-    pool = disks.select("pool_pos", "disk_id", "is_zram", "faulted", "chd").orderBy("pool_pos", "disk_id").limit(POOL_DISKS + 1).collect()
-    if len(pool) > POOL_DISKS:
-        raise ValueError(f"a pool has at most {POOL_DISKS} disks")
-    usable = [r for r in pool if not r["faulted"] and r["chd"] > 0]
-
-    def best_fit(of: list, otherwise: int | None) -> Column:
-        """The disk with the least sufficient room as a chain of bounds, rising with the room."""
-        chain, bound = F.when(F.lit(False), F.lit(None).cast("long")), 0
-        for r in sorted(of, key=lambda r: (r["chd"], r["pool_pos"], r["disk_id"])):
-            room = r["chd"] // SLOT_BYTES * SLOT_BYTES
-            if room > bound:
-                chain, bound = chain.when(F.col("size") <= room, F.lit(r["disk_id"])), room
-        return chain.otherwise(F.lit(otherwise).cast("long"))
-
-    zram, ordinary = ([r for r in usable if r["is_zram"] is z] for z in (True, False))
-    most = min(ordinary, key=lambda r: (-r["chd"], r["pool_pos"], r["disk_id"]), default=None)
-    z = F.when(F.col("size") < small_bytes, best_fit(zram, None))
-    b = best_fit(ordinary, most["disk_id"] if most else None)
-    fine = F.col("size") > 0
-    x = requests.select("req_id", "size", F.when(fine, z).alias("z"), F.when(fine, b).alias("b"))
-    return x.select("req_id", "size", F.coalesce("z", "b").alias("disk_id"), F.when(F.col("z").isNotNull(), "zram").when(F.col("b").isNotNull(), "disk").alias("tier"))
+    c = broadcast_if_small(choices(disks, small_bytes).select("*", F.explode(F.sequence(_step(F.col("below") + 1), _step(F.col("upto")))).alias("step")))
+    at = lambda tier: c.where(F.col("tier") == tier).select("step", "below", "upto", F.col("disk_id").alias(tier))
+    x = requests.select("req_id", "size", F.when(F.col("size") > 0, _step(F.col("size"))).alias("step"))
+    for tier in ("zram", "disk"):
+        r = at(tier)
+        x = x.join(r, (x["step"] == r["step"]) & (x["size"] > r["below"]) & (x["size"] <= r["upto"]), "left").select(x["*"], r[tier])
+    return x.select("req_id", "size", F.coalesce("zram", "disk").alias("disk_id"), F.when(F.col("zram").isNotNull(), "zram").when(F.col("disk").isNotNull(), "disk").alias("tier"))
 
 
 def bonnie(disks: DataFrame, max_put: int = MAX_PUT) -> DataFrame:
-    """(ch_d_pow2, bytes): the largest room of a writable ordinary disk, capped, as a power of two; 0 where none."""
-    top = F.max(F.when(~F.col("is_zram") & ~F.col("faulted"), F.least("chd", F.lit(max_put))))
+    """(ch_d_pow2, bytes): the largest room of a writable ordinary disk as a power of two, capped at max_put if that is above 0; 0 where none."""
+    room = F.least("chd", F.lit(max_put)) if max_put > 0 else F.col("chd")
+    top = F.max(F.when(~F.col("is_zram") & can_write(F.lit(1), F.col("slots"), F.col("faulted")), room))
     p = disks.agg(F.coalesce(top, F.lit(0)).alias("room")).select(floor_log2(F.col("room")).alias("ch_d_pow2"))
     return p.select("ch_d_pow2", F.pow(F.lit(2.0), F.col("ch_d_pow2")).cast("long").alias("bytes"))
 
 
 def health(disks: DataFrame, degraded: bool = False) -> DataFrame:
-    """(ok): at least one disk, none faulted, each with room for one byte, pool not degraded."""
-    fine = F.bool_and(~F.col("faulted") & (F.col("chd") >= SLOT_BYTES))
+    """(ok): at least one disk, none faulted, each able to hold one byte (full ones are), pool not degraded."""
+    fine = F.bool_and(can_write(F.lit(1), F.col("slots"), F.col("faulted")))
     return disks.agg((F.coalesce(fine, F.lit(False)) & F.lit(not degraded)).alias("ok"))
 
 
@@ -194,83 +214,129 @@ def logical_sizes(refs: DataFrame) -> DataFrame:
     return own.groupBy("disk_id", "fid").agg(F.max(F.coalesce("size", "stored_size")).alias("size")).join(aliases, ["disk_id", "fid"], "left_anti")
 
 
-def place_in_order(requests: DataFrame, slots: int, rounds: int = 64) -> DataFrame:
-    """(seq, fid, start, end, status) of direct puts on one disk, as if placed one by one in seq order.
-
-    status: ok, duplicate (its fid came before), extent (an accepted earlier extent is in
-    the way), or the reason of address(). Computed in rounds over the sparse collision
-    graph: a row is accepted when every earlier row it overlaps is rejected, rejected when
-    one is accepted. The number of rounds is the longest chain of decisions, which slot
-    hashing keeps short; past `rounds` it raises rather than guesses.
-    """
-    from ..session import cut
-
-    first = requests.groupBy("fid").agg(F.min("seq").alias("first"))
-    x = requests.join(first, "fid").withColumn("_dup", F.col("seq") != F.col("first")).drop("first")
-    e = cut(extents(x, F.lit(slots)))
-    live = e.where("not _dup and reason is null").withColumn("g", F.lit(0))
-    pairs = cut(conflicts(live.select("g", "seq", "start", "end"), ["g"], "seq").select("a", "b"))
-    open_, rejected = pairs, None
-    taken = None
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
-        # Nodes with no undecided earlier neighbour are accepted; their later neighbours go.
-        blocked = open_.select(F.col("b").alias("a")).distinct()
-        accepted = open_.select("a").distinct().join(blocked, "a", "left_anti")
-        gone = open_.join(accepted, "a", "left_semi").select(F.col("b").alias("seq")).distinct()
-        rejected = gone if rejected is None else rejected.unionByName(gone)
-        rejected = cut(rejected.distinct())
-        dead = rejected.select(F.col("seq").alias("a"))
-        open_ = open_.join(accepted, "a", "left_anti").join(dead, "a", "left_anti").join(dead.withColumnRenamed("a", "b"), "b", "left_anti")
-        open_ = cut(open_)
-        taken = accepted
-    else:
-        raise RuntimeError(f"placement undecided after {rounds} rounds")
-    del taken
-    bad = rejected.withColumn("_bad", F.lit(True)) if rejected is not None else e.select("seq", F.lit(True).alias("_bad")).limit(0)
-    y = e.join(bad, "seq", "left")
-    status = F.when(F.col("_dup"), "duplicate").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_bad"), "extent").otherwise("ok")
-    return y.select("seq", "fid", "start", "end", status.alias("status"))
-
-
-def put_fold(requests: pd.DataFrame, slots: int, payload_of=None, max_jumps: int = 255) -> pd.DataFrame:
-    """The exact ordered fold on one disk with jump retries, for one batch of narrow rows.
-
-    requests: seq, fid, size and jumps (a list of jump fids for rows that may collide).
-    Order-dependent by nature: a retry changes what later rows meet. Batches are those a
-    single disk admits at a time, bounded by its slots.
-    """
-    from bisect import bisect_left, insort
-
-    taken: list[tuple[int, int]] = []
-    known: set[int] = set()
-    out = []
-    for r in requests.sort_values("seq").itertuples():
-        size, fid = int(r.size_), int(r.fid)
-        if fid in known:
-            out.append((r.seq, fid, fid, 0, "duplicate", None))
-            continue
-        tries = [fid, *(r.jumps if r.jumps is not None else [])[:max_jumps]]
-        done = None
-        for j, f in enumerate(tries):
-            stored = size + (1 if j else 0)
-            need = -(-stored // SLOT_BYTES)
-            if need == 0 or need > slots:
-                break
-            if j and f in known:
+_PLACED = "disk_id long, seq long, fid long, target_fid long, jumps_taken int, status string, slot long"
+#: Jump fids worked out for a request that needs them: first so many, then all.
+JUMPS_FIRST = 16
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Puts of rows in order of (disk_id, seq), one by one; a disk's state is its slots (one byte each) and its fids."""
+    disk, free, fids = None, np.zeros(0, dtype=bool), set()
+    for b in batches:
+        out = []
+        for d, seq, fid, size, slots, reason, jumps, all_jumps in zip(b["disk_id"], b["seq"], b["fid"], b["size"], b["slots"], b["reason"], b["jumps"], b["all_jumps"], strict=True):
+            if d != disk:
+                disk, free, fids = d, np.ones(int(slots), dtype=bool), set()
+            if reason is not None:
+                # A taken extent is a row of its own and comes first.
+                if reason == "taken":
+                    free[int(fid) : int(fid) + int(size)] = False
+                else:
+                    out.append((d, seq, fid, fid, 0, reason, None))
+                continue
+            if fid in fids:
+                out.append((d, seq, fid, fid, 0, "duplicate", None))
                 continue
-            start = (f & (2**64 - 1)) % (slots - need + 1)
-            k = bisect_left(taken, (start, -1))
-            before = taken[k - 1][1] >= start if k else False
-            after = taken[k][0] <= start + need - 1 if k < len(taken) else False
-            if not before and not after:
-                insort(taken, (start, start + need - 1))
-                known.update({fid, f})
-                done = (r.seq, fid, f, j, "ok", start)
+            done = None
+            for j, f in enumerate([fid, *(jumps if jumps is not None else ())]):
+                need = -(-(int(size) + (j > 0)) // SLOT_BYTES)
+                if need > slots:
+                    break
+                if j and f in fids:
+                    continue
+                start = (int(f) & (2**64 - 1)) % (int(slots) - need + 1)
+                if free[start : start + need].all():
+                    free[start : start + need] = False
+                    fids.update((fid, f))
+                    done = (d, seq, fid, f, j, "ok", start)
+                    break
+            tried = 0 if jumps is None else len(jumps)
+            out.append(done or (d, seq, fid, fid, tried, "more" if tried < all_jumps else "jump_exhausted" if all_jumps else "extent", None))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _PLACED.split(", ")]).astype({"slot": "Int64"})
+
+
+def put_in_order(requests: DataFrame, taken: DataFrame | None = None, max_jumps: int = 0, jump_fids: Callable[[Column, int], Column] | None = None) -> DataFrame:
+    """(disk_id, seq, fid, target_fid, jumps_taken, status, slot) of puts as if placed one by one in seq order, per disk.
+
+    requests: disk_id, slots (of the disk), seq (unique), fid, size, payload (read only where a
+    jump is tried). taken: disk_id, start, end of extents that are there before. A put
+    lands on the slots of its fid; an extent in the way makes it jump: the payload with one
+    byte behind it under jump fids 1, 2, ... up to max_jumps, with the fid as an alias.
+    status: ok, duplicate (its fid, or as a fid the target of an earlier jump, is there),
+    extent (without jumps), jump_exhausted, or the reason of address().
+
+    Of requests with the same fid and size only the first is placed; the others are
+    duplicates if one of the fid was placed before them, else they fail as it did. A disk
+    is placed by one task, as each put depends on those before; the rows that pass
+    through it are narrow and stream, and what it keeps is bounded by the disk's slots.
+    Jump fids are worked out only for requests that turn out to need them: the order is
+    replayed until none asks for more.
+    """
+    of = jump_fids or (lambda payload, n: xxh3_jumps(payload, F.lit(n)))
+    q = requests.where("seq is not null and disk_id is not null and fid is not null").withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
+    base = cut(q.groupBy("disk_id", "fid", "size").agg(F.min("seq").alias("seq"), F.max("slots").cast("long").alias("slots")).withColumn("reason", address(F.col("slots"), F.col("fid"), F.col("size"))["reason"]))
+    slots = base.groupBy("disk_id").agg(F.max("slots").alias("slots"))
+    first = F.lit(-(2**63)).cast("long")
+    before = slots.limit(0).select("disk_id", F.lit(0).cast("long").alias("fid"), F.lit(0).cast("long").alias("size"), first.alias("seq"), "slots", F.lit("taken").alias("reason"))
+    if taken is not None:
+        before = taken.where("start is not null and end is not null").join(slots, "disk_id").select("disk_id", F.col("start").alias("fid"), (F.col("end") - F.col("start") + 1).alias("size"), first.alias("seq"), "slots", F.lit("taken").alias("reason"))
+    before = before.withColumn("jumps", F.lit(None).cast("array<long>")).withColumn("all_jumps", F.lit(0))
+    known = base.limit(0).select("disk_id", "seq", F.array().cast("array<long>").alias("jumps"))
+    disks = max(1, slots.count())
+    for tries in dict.fromkeys((min(JUMPS_FIRST, max_jumps), max_jumps)):
+        while True:
+            rows = base.join(known, ["disk_id", "seq"], "left").withColumn("all_jumps", F.lit(max_jumps)).unionByName(before)
+            placed = cut(rows.repartition(disks, "disk_id").sortWithinPartitions("disk_id", "seq").mapInPandas(_fold, _PLACED))
+            asking = placed.where((F.col("status") == "more") & (F.col("jumps_taken") < tries)).select("disk_id", "seq")
+            if not max_jumps or asking.isEmpty():
                 break
-        out.append(done or (r.seq, fid, fid, max(0, len(tries) - 1), "jump_exhausted" if len(tries) > 1 else "extent", None))
-    return pd.DataFrame(out, columns=["seq", "fid", "target_fid", "jumps_taken", "status", "slot"])
+            new = q.select("disk_id", "seq", "payload").join(asking, ["disk_id", "seq"], "left_semi").select("disk_id", "seq", of(F.col("payload"), tries).alias("jumps"))
+            known = cut(known.join(asking, ["disk_id", "seq"], "left_anti").unionByName(new))
+    p = placed.join(base.select("disk_id", "seq", "size"), ["disk_id", "seq"])
+    outcome = p.select("disk_id", "fid", "size", F.struct("seq", "target_fid", "jumps_taken", "status", "slot").alias("p"))
+    stored = p.where("status = 'ok'").select("disk_id", "target_fid", "fid", "seq").select("disk_id", "seq", F.explode(F.array_distinct(F.array("fid", "target_fid"))).alias("fid")).groupBy("disk_id", "fid").agg(F.min("seq").alias("stored"))
+    x = q.select("disk_id", "seq", "fid", "size").join(outcome, ["disk_id", "fid", "size"]).join(stored, ["disk_id", "fid"], "left")
+    own = F.col("seq") == F.col("p.seq")
+    again = F.when(own, F.col("p.status")).when(F.col("p.status").isin("empty", "too_large", "no_slots"), F.col("p.status")).when(F.col("stored") < F.col("seq"), "duplicate").otherwise(F.col("p.status"))
+    x = x.withColumn("again", again)
+    return x.select("disk_id", "seq", "fid", F.when(own, F.col("p.target_fid")).otherwise(F.col("fid")).alias("target_fid"), F.when(F.col("again") == "duplicate", 0).otherwise(F.col("p.jumps_taken")).alias("jumps_taken"), F.col("again").alias("status"), F.when(own, F.col("p.slot")).alias("slot"))
+
+
+def place_in_order(requests: DataFrame, slots: int) -> DataFrame:
+    """(seq, fid, start, end, status) of direct puts (seq, fid, size) on one disk: put_in_order() without jumps."""
+    placed = put_in_order(requests.select(F.lit(0).cast("long").alias("disk_id"), F.lit(slots).cast("long").alias("slots"), "seq", "fid", "size"))
+    a = requests.select("seq", address(F.lit(slots).cast("long"), F.col("fid"), F.col("size")).alias("a"))
+    return placed.join(a, "seq").select("seq", "fid", F.col("a.slot").alias("start"), (F.col("a.slot") + F.col("a.need") - 1).alias("end"), "status")
+
+
+def transitions(extents_: DataFrame, events: DataFrame) -> DataFrame:
+    """(disk_id, fid, start, end, state) of reserved extents after events (disk_id, fid, seq, event): pending, confirmed or released.
+
+    The last of confirm and release counts; a release after a confirm has no effect, as
+    only a pending extent can be released.
+    """
+    e = events.where("event in ('confirm', 'release')").groupBy("disk_id", "fid").agg(F.min_by("event", "seq").alias("event"))
+    state = F.when(F.col("event") == "confirm", "confirmed").when(F.col("event") == "release", "released").otherwise("pending")
+    return extents_.join(e, ["disk_id", "fid"], "left").select("disk_id", "fid", "start", "end", state.alias("state"))
+
+
+def current_chd(disks: DataFrame, states: DataFrame, p: float | None = CHD_TARGET_P) -> DataFrame:
+    """chd() over the extents that are confirmed or pending."""
+    return chd(disks, states.where("state in ('confirmed', 'pending')"), p)
+
+
+def occupied_runs(taken: DataFrame, block_slots: int = 1 << 20) -> DataFrame:
+    """(disk_id, start, end): a disk's taken slots as runs that neither touch nor overlap, except where a block of slots ends.
+
+    Every extent is cut at block ends and merged per block, so a large disk is many tasks;
+    a block has at most block_slots / 2 runs.
+    """
+    b = taken.where("start is not null and end >= start").select("disk_id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / block_slots), F.floor(F.col("end") / block_slots))).alias("block"))
+    b = b.select("disk_id", "block", F.greatest("start", F.col("block") * block_slots).alias("start"), F.least("end", (F.col("block") + 1) * block_slots - 1).alias("end")).distinct()
+    w = W.partitionBy("disk_id", "block").orderBy("start", "end")
+    top = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
+    x = b.withColumn("new", F.when(top.isNull() | (F.col("start") > top + 1), 1).otherwise(0)).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return x.groupBy("disk_id", "block", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("disk_id", "start", "end")
 
 
 def contested(rows: DataFrame, block_slots: int = 1 << 20) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..types import ATOMIC_LIMIT, MAX_PUT
 
 
@@ -50,20 +54,51 @@ def admit(requests: DataFrame, known: DataFrame | None = None, max_put: int = MA
     return x.select("seq", "fid", status.alias("status"))
 
 
-def gate(requests: DataFrame, taken: DataFrame) -> DataFrame:
+#: Requests that one task may decide in order.
+IN_ORDER = 100_000
+
+
+def gate(requests: DataFrame, taken: DataFrame, in_order: int = IN_ORDER) -> DataFrame:
     """Requests (seq, fid, alias_for) with granted: all of {fid, alias} free of taken fids and of earlier granted ones.
 
-    Both keys of a request go through one first-arrival aggregate. A request is granted if
-    it is the first to name each of its keys; one that loses on a key held by a request
-    which itself was refused is still refused (it must ask again), as in a gate that
-    keeps reservations until the batch ends.
+    A refused request holds none of its keys. A request of a single key leaves that key
+    held, whether it is granted or not, so all later ones are refused at once: what is left
+    to decide in order are requests of two keys and the single ones they meet. These are
+    decided in rounds: the first on each of its keys is granted, those it meets are
+    refused; the last `in_order` are decided by one task. alias_for null or 0 means none; a
+    null fid is no key, and a request without a key is not granted. seq is unique.
     """
-    keys = requests.select("seq", F.explode(F.array_compact(F.array("fid", F.nullif("alias_for", F.lit(0))))).alias("key"))
-    first = keys.groupBy("key").agg(F.min("seq").alias("first")).join(taken.select(F.col("fid").alias("key")).distinct(), "key", "left_anti")
-    won = keys.join(first, (keys["key"] == first["key"]) & (keys["seq"] == first["first"]), "left_semi").groupBy("seq").agg(F.count(F.lit(1)).alias("won"))
-    want = keys.groupBy("seq").agg(F.count(F.lit(1)).alias("want"))
-    x = want.join(won, "seq", "left").select("seq", (F.coalesce("won", F.lit(0)) == F.col("want")).alias("granted"))
-    return requests.join(x, "seq", "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
+    pairs = requests.select("seq", F.array_distinct(F.array_compact(F.array("fid", F.nullif("alias_for", F.lit(0))))).alias("k")).select("seq", F.size("k").alias("n"), F.explode("k").alias("key"))
+    info = pairs.where("n = 1").groupBy("key").agg(F.min("seq").alias("single")).unionByName(taken.where("fid is not null").select(F.col("fid").alias("key"), F.lit(-(2**63)).cast("long").alias("single")))
+    info = info.groupBy("key").agg(F.min("single").alias("single"))
+    x = pairs.join(info, "key", "left").withColumn("late", F.coalesce(F.col("single") < F.col("seq"), F.lit(False)))
+    double = x.where("n = 2")
+    open2 = double.join(double.where("late").select("seq"), "seq", "left_anti").select("seq", "key")
+    open1 = x.where("n = 1 and not late").select("seq", "key")
+    meets = open2.select("key").distinct()
+    undecided = cut(open2.unionByName(open1.join(meets, "key", "left_semi")))
+    granted = open1.join(meets, "key", "left_anti").select("seq")
+    while undecided.limit(in_order + 1).count() > in_order:
+        first = undecided.groupBy("key").agg(F.min("seq").alias("first"))
+        won = cut(undecided.join(first, "key").groupBy("seq").agg(F.bool_and(F.col("seq") == F.col("first")).alias("w")).where("w").select("seq"))
+        held = undecided.join(won, "seq", "left_semi").select("key").distinct()
+        decided = undecided.join(held, "key", "left_semi").select("seq").distinct()
+        undecided = cut(undecided.join(decided, "seq", "left_anti"))
+        granted = granted.unionByName(won)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*batches, pd.DataFrame({"seq": [], "key": []}, dtype="int64")])
+        held: set[int] = set()
+        out = []
+        for seq, keys in rows.groupby("seq", sort=True)["key"]:
+            k = set(keys.tolist())
+            if not k & held:
+                held |= k
+                out.append(seq)
+        yield pd.DataFrame({"seq": pd.Series(out, dtype="int64")})
+
+    granted = granted.unionByName(undecided.coalesce(1).mapInPandas(decide, "seq long"))
+    return requests.join(granted.withColumn("granted", F.lit(True)), "seq", "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
 
 
 def stream_faults(parts: DataFrame, totals: DataFrame) -> DataFrame:

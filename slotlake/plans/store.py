@@ -87,10 +87,10 @@ def slot_padding(s, d):
     return _docs(s, d).select("doc_id", F.octet_length(p).cast("long").alias("padded"), parse.all_zero(tail).alias("zero_tail"))
 
 
-def _ref_extents(s: SparkSession, d: str) -> DataFrame:
+def _ref_extents(s: SparkSession, d: str, slots: int = DISK_SLOTS) -> DataFrame:
     r = table(s, d, "refs").where("disk_id is not null and fid is not null and (target_fid is null or target_fid = fid)")
     r = r.groupBy("disk_id", "fid").agg(F.max(F.coalesce("stored_size", "size")).alias("size"))
-    return placement.extents(r, F.lit(DISK_SLOTS).cast("long"))
+    return placement.extents(r, F.lit(slots).cast("long"))
 
 
 _EXTENTS_SQL = f"""
@@ -366,71 +366,6 @@ def put_batch(s, d):
     return writes.admit(table(s, d, "put_requests"), table(s, d, "stored_fids"))
 
 
-@query(
-    f"""WITH {_PUTS_SQL}, k AS (SELECT seq, fid AS key FROM puts WHERE fid IS NOT NULL UNION ALL SELECT seq, alias_for FROM puts WHERE alias_for <> 0),
-w AS (SELECT key, min(seq) AS seq FROM k WHERE key NOT IN (SELECT fid FROM stored_fids WHERE fid IS NOT NULL) GROUP BY key),
-g AS (SELECT k.seq, bool_and(w.seq IS NOT NULL) AS granted FROM k LEFT JOIN w ON k.key = w.key AND k.seq = w.seq GROUP BY k.seq)
-SELECT p.seq, coalesce(g.granted, FALSE) AS granted FROM puts p LEFT JOIN g ON p.seq = g.seq"""
-)
-def put_gate(s, d):
-    return writes.gate(_puts(s, d), table(s, d, "stored_fids")).select("seq", "granted")
-
-
-def _disks(s: SparkSession, d: str) -> DataFrame:
-    """A pool of the disks in trim_status: room from the reported files, every third a RAM disk."""
-    t = table(s, d, "trim_status").where("disk_id is not null").groupBy("disk_id").agg(F.min("device_path").alias("device_path"), F.max("last_threshold_bytes").alias("t"))
-    rank = F.pmod(F.xxhash64(F.lit(1)), F.lit(1)).cast("int")
-    return t.select("disk_id", "device_path", (rank + F.pmod("disk_id", F.lit(1_000_003)).cast("int")).alias("pool_pos"), (F.pmod("disk_id", F.lit(3)) == 0).alias("is_zram"), F.lit(False).alias("faulted"), (F.col("t") * (F.pmod("disk_id", F.lit(64)) + 1)).alias("chd"))
-
-
-_DISKS_SQL = """
-disks AS (SELECT disk_id, min(device_path) AS device_path, (disk_id % 1000003 + 1000003) % 1000003 AS pool_pos, (disk_id % 3 + 3) % 3 = 0 AS is_zram, max(last_threshold_bytes) * ((disk_id % 64 + 64) % 64 + 1) AS chd FROM trim_status WHERE disk_id IS NOT NULL GROUP BY disk_id)
-"""
-
-_ROUTE_SQL = f"""
-{_PUTS_SQL}, {_DISKS_SQL}, sz AS (SELECT DISTINCT total_size AS size FROM puts WHERE total_size > 0),
-c AS (SELECT z.size, d.*, chd // 4096 * 4096 >= z.size AS fits FROM sz z, disks d WHERE chd > 0),
-zr AS (SELECT size, arg_min(disk_id, chd * 10000000 + pool_pos) AS z FROM c WHERE is_zram AND fits AND size < 262144 GROUP BY size),
-od AS (SELECT size, disk_id AS b FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY fits DESC, CASE WHEN fits THEN chd ELSE -chd END, pool_pos, disk_id) AS k FROM c WHERE NOT is_zram) WHERE k = 1)
-"""
-
-
-@query(f"WITH {_ROUTE_SQL} SELECT p.seq AS req_id, p.total_size AS size, coalesce(zr.z, od.b) AS disk_id, CASE WHEN zr.z IS NOT NULL THEN 'zram' WHEN od.b IS NOT NULL THEN 'disk' END AS tier FROM puts p LEFT JOIN zr ON p.total_size = zr.size LEFT JOIN od ON p.total_size = od.size")
-def tier_route(s, d):
-    r = _puts(s, d).select(F.col("seq").alias("req_id"), F.col("total_size").alias("size"))
-    return placement.route(r, _disks(s, d), address.small_file_bytes(6))
-
-
-@query(f"WITH {_DISKS_SQL}, m AS (SELECT coalesce(max(least(chd, 268435456)), 0) AS room FROM disks WHERE NOT is_zram) SELECT CAST(CASE WHEN room > 0 THEN length(bin(room)) - 1 ELSE 0 END AS INT) AS ch_d_pow2, CAST(1 AS BIGINT) << CAST(CASE WHEN room > 0 THEN length(bin(room)) - 1 ELSE 0 END AS INT) AS bytes FROM m")
-def bonnie(s, d):
-    return placement.bonnie(_disks(s, d))
-
-
-@query(f"WITH {_DISKS_SQL} SELECT coalesce(bool_and(chd >= 4096), FALSE) AS ok FROM disks")
-def health(s, d):
-    return placement.health(_disks(s, d))
-
-
-@query(f"WITH {_DISKS_SQL} SELECT count(*) AS disks, count(*) * 16776960 AS max_entries, count(*) * 16776960 * 64 AS max_ram_bytes FROM disks")
-def index_capacity(s, d):
-    return placement.index_capacity(_disks(s, d))
-
-
-@query()
-def chd_estimate(s, d):
-    """Room estimate of every disk over the extents of its refs."""
-    e = _ref_extents(s, d).where("start is not null")
-    disks = e.select("disk_id").distinct().withColumn("slots", F.lit(DISK_SLOTS).cast("long"))
-    return placement.chd(disks, e)
-
-
-@query()
-def place_documents(s, d):
-    """Every document put in order of doc_id on one disk: ok, duplicate or in the way of an earlier one."""
-    r = _doc_objects(s, d).select(F.col("doc_id").alias("seq"), "fid", "size")
-    return placement.place_in_order(r, 1 << 24)
-
-
 def _chunks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks")
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.codecs import HEADER_BYTES, HEADER_VERSION, decode_entries, decode_header, encode_entry, encode_header, parse_snapshot_meta, snapshot_meta
 from ..functions.parse import parse_id
@@ -220,14 +221,21 @@ def restore_snapshot(path: str, image: str) -> None:
 
 
 def pool_state(devices: DataFrame, p: float | None = None) -> DataFrame:
-    """The disks of matching images as placement wants them: disk_id, pool_pos, is_zram, faulted, chd."""
+    """The disks of matching images as placement wants them: disk_id, pool_pos, is_zram, faulted, slots, chd.
+
+    A disk whose log a strict replay refuses is faulted. pool_pos is that of the devices,
+    or the order of their paths.
+    """
     from ..functions.address import slot_count
     from ..functions.parse import is_zram_path
     from ..operators import placement
-    from ..operators.indexlog import replay_refs
+    from ..operators.indexlog import replay_refs, strict_violations
 
-    d = devices.where("status = 'match'").withColumn("slots", slot_count(F.col("size_bytes")))
-    stored = replay_refs(read_index(d)).where("target_fid = fid").select("disk_id", "fid", F.col("stored_size").alias("size"))
+    pos = F.col("pool_pos") if "pool_pos" in devices.columns else F.row_number().over(W.orderBy("device_path")) - 1
+    d = devices.where("status = 'match'").withColumn("slots", slot_count(F.col("size_bytes"))).withColumn("pool_pos", pos)
+    log = read_index(d)
+    stored = replay_refs(log).where("target_fid = fid").select("disk_id", "fid", F.col("stored_size").alias("size"))
     e = placement.extents(stored.join(d.select("disk_id", "slots"), "disk_id"), F.col("slots")).where("start is not null")
     c = placement.chd(d.select("disk_id", "slots"), e.select("disk_id", "start", "end"), p)
-    return d.join(c, "disk_id").select("disk_id", F.col("device_path"), F.lit(0).alias("pool_pos"), is_zram_path(F.col("device_path")).alias("is_zram"), F.lit(False).alias("faulted"), "chd")
+    bad = strict_violations(log).select("disk_id").distinct().withColumn("bad", F.lit(True))
+    return d.join(c, "disk_id").join(bad, "disk_id", "left").select("disk_id", "device_path", "pool_pos", is_zram_path(F.col("device_path")).alias("is_zram"), F.coalesce("bad", F.lit(False)).alias("faulted"), "slots", "chd")

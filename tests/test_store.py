@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -75,24 +74,70 @@ def test_chd(frame):
     assert {r.disk_id: r.chd for r in got.collect()} == want
 
 
-POOL = "disk_id long, pool_pos int, is_zram boolean, faulted boolean, chd long"
+POOL = "disk_id long, pool_pos int, is_zram boolean, faulted boolean, slots long, chd long"
+
+
+def routed(pool, size, small):
+    """The disk for a size, by the rules one after another."""
+    can = [x for x in pool if not x[3] and 0 < size <= x[4] * SLOT_BYTES]
+    fit = [x for x in can if x[5] >= size]
+    zram = [x for x in fit if x[2]] if size < small else []
+    if zram:
+        return min(zram, key=lambda x: (x[5], x[1]))[0], "zram"
+    best = [x for x in fit if not x[2]]
+    rest = [x for x in can if not x[2]]
+    if best:
+        return min(best, key=lambda x: (x[5], x[1]))[0], "disk"
+    return (min(rest, key=lambda x: (-x[5], x[1]))[0], "disk") if rest else (None, None)
 
 
 def test_routing(frame):
-    pool = [(1, 0, False, False, 16 * SLOT_BYTES), (2, 1, False, False, 32 * SLOT_BYTES), (3, 2, True, False, 8 * SLOT_BYTES), (4, 3, False, True, 99 * SLOT_BYTES)]
-    sizes = [1, 2 * SLOT_BYTES, 17 * SLOT_BYTES, 33 * SLOT_BYTES, 0, None]
+    pool = [(1, 0, False, False, 64, 16 * SLOT_BYTES), (2, 1, False, False, 64, 32 * SLOT_BYTES), (3, 2, True, False, 64, 8 * SLOT_BYTES), (4, 3, False, True, 999, 99 * SLOT_BYTES)]
+    sizes = [1, 2 * SLOT_BYTES, 17 * SLOT_BYTES, 33 * SLOT_BYTES, 0, None, 65 * SLOT_BYTES, 1 << 40]
     r = frame("req_id long, size long", list(enumerate(sizes)))
     got = {x.req_id: (x.disk_id, x.tier) for x in placement.route(r, frame(POOL, pool), 2 * SLOT_BYTES).collect()}
-    assert got == {0: (3, "zram"), 1: (1, "disk"), 2: (2, "disk"), 3: (2, "disk"), 4: (None, None), 5: (None, None)}
-    full = [(d, p, z, f, 0) for d, p, z, f, _ in pool]
-    assert all(x.disk_id is None for x in placement.route(r, frame(POOL, full), 2 * SLOT_BYTES).collect())
+    assert got == {0: (3, "zram"), 1: (1, "disk"), 2: (2, "disk"), 3: (2, "disk"), 4: (None, None), 5: (None, None), 6: (None, None), 7: (None, None)}
+    # Full disks stay in the pool: they are the last resort, and healthy.
+    full = [(*x[:5], 0) for x in pool]
+    assert [x.disk_id for x in placement.route(r, frame(POOL, full), 2 * SLOT_BYTES).orderBy("req_id").collect()] == [1, 1, 1, 1, None, None, None, None]
     assert all(x.disk_id is None for x in placement.route(r, frame(POOL, []), 2 * SLOT_BYTES).collect())
     assert tuple(placement.bonnie(frame(POOL, pool), 100 * SLOT_BYTES).first()) == (17, 1 << 17)
+    assert tuple(placement.bonnie(frame(POOL, pool), 5 * SLOT_BYTES).first()) == (14, 1 << 14) and tuple(placement.bonnie(frame(POOL, pool), 0).first()) == (17, 1 << 17)
     assert tuple(placement.bonnie(frame(POOL, [])).first()) == (0, 1)
-    assert [placement.health(frame(POOL, p)).first()[0] for p in (pool, pool[:3], full, [])] == [False, True, False, False]
+    assert [placement.health(frame(POOL, p)).first()[0] for p in (pool, pool[:3], full[:3], [])] == [False, True, True, False]
     assert placement.health(frame(POOL, pool[:3]), degraded=True).first()[0] is False
 
 
+def test_routing_against_the_rules(frame):
+    rng = random.Random(4)
+    for _ in range(3):
+        pool = [(d, p, rng.random() < 0.3, rng.random() < 0.1, s := rng.randrange(0, 40), SLOT_BYTES * rng.randrange(0, s + 1)) for p, d in enumerate(rng.sample(range(99), 12))]
+        sizes = [rng.randrange(1, 45 * SLOT_BYTES) for _ in range(150)] + [k * SLOT_BYTES + j for k in range(1, 40) for j in (0, 1)]
+        got = {x.req_id: (x.disk_id, x.tier) for x in placement.route(frame("req_id long, size long", list(enumerate(sizes))), frame(POOL, pool), 9 * SLOT_BYTES).collect()}
+        assert got == {k: routed(pool, n, 9 * SLOT_BYTES) for k, n in enumerate(sizes)}
+
+
+def test_gate(frame):
+    def one_by_one(requests, taken):
+        held, out = set(taken), set()
+        for seq, fid, alias in sorted(requests):
+            keys = {k for k in (fid, alias or None) if k is not None}
+            if keys and not keys & held:
+                held |= keys
+                out.add(seq)
+        return out
+
+    schema = "seq long, fid long, alias_for long"
+    a = [(1, 1, None), (2, 2, 1), (3, 2, 0)]
+    assert {r.seq for r in writes.gate(frame(schema, a), frame("fid long", [])).where("granted").collect()} == {1, 3} == one_by_one(a, [])
+    rng = random.Random(9)
+    many = [(k, rng.choice([None, 7, *range(60)]), rng.choice([None, 0, 7, *range(60)])) for k in range(200)] + [(200 + k, 100 + k, 101 + k) for k in range(40)]
+    for in_order in (0, 10_000):
+        got = writes.gate(frame(schema, many), frame("fid long", [(3,), (None,), (3,)]), in_order)
+        assert {r.seq for r in got.where("granted").collect()} == one_by_one(many, [3]) and got.count() == len(many)
+    assert writes.gate(frame(schema, []), frame("fid long", [])).count() == 0
+
+
 def fold(requests, slots):
     taken, known, out = [], set(), {}
     for seq, fid, size in sorted(requests):
@@ -100,7 +145,6 @@ def fold(requests, slots):
         if fid in known:
             out[seq] = "duplicate"
             continue
-        known.add(fid)
         if not 0 < need <= slots:
             out[seq] = "empty" if need == 0 else "too_large"
             continue
@@ -109,6 +153,7 @@ def fold(requests, slots):
             out[seq] = "extent"
         else:
             taken.append((a, a + need - 1))
+            known.add(fid)
             out[seq] = "ok"
     return out
 
@@ -122,10 +167,52 @@ def test_placement_in_order(frame):
     assert placement.place_in_order(frame("seq long, fid long, size long", []), 10).count() == 0
 
 
-def test_jump_fold():
-    x = placement.put_fold(pd.DataFrame({"seq": [1, 2, 3, 4], "fid": [5, 15, 5, 25], "size_": [1, 1, 1, 1], "jumps": [None, [15, 6], None, []]}), 10)
-    assert x["status"].tolist() == ["ok", "ok", "duplicate", "extent"]
-    assert x["jumps_taken"].tolist()[1] == 2 and x["slot"].tolist()[1] == 6
+def test_jumps_in_order(frame):
+    """Against the same puts one after another; jump fids are the payload's numbers, one after another."""
+    rng = random.Random(6)
+
+    def of(payload, n):
+        return F.slice(F.from_json(payload.cast("string"), "array<long>"), 1, n)
+
+    req, taken = [], [(0, 1, 3), (1, 0, 0), (0, None, None)]
+    for k in range(120):
+        disk, fid, size = rng.randrange(2), rng.randrange(10**6), rng.randrange(1, 3 * SLOT_BYTES)
+        if k % 9 == 8:
+            disk, _, _, fid, size, jumps = req[rng.randrange(len(req))]
+        else:
+            jumps = str([rng.choice([req[rng.randrange(len(req))][3]] if req and rng.random() < 0.2 else [rng.randrange(10**6)]) for _ in range(20)]).encode()
+        req.append((disk, 90, k, fid, size, jumps))
+    out, state = {}, {d: (set(), [(a, b) for e, a, b in taken if e == d and a is not None]) for d in (0, 1)}
+    for disk, slots, seq, fid, size, jumps in req:
+        fids, ext = state[disk]
+        if fid in fids:
+            out[seq] = ("duplicate", 0, fid)
+            continue
+        out[seq] = ("jump_exhausted", 20, fid)
+        for j, f in enumerate([fid, *__import__("json").loads(jumps)]):
+            need = -(-(size + (j > 0)) // SLOT_BYTES)
+            a = f % (slots - need + 1)
+            if (j and f in fids) or any(x <= a + need - 1 and a <= y for x, y in ext):
+                continue
+            ext.append((a, a + need - 1))
+            fids |= {fid, f}
+            out[seq] = ("ok", j, f)
+            break
+    got = placement.put_in_order(frame("disk_id long, slots long, seq long, fid long, size long, payload binary", req), frame("disk_id long, start long, end long", taken), 20, of)
+    assert {r.seq: (r.status, r.jumps_taken, r.target_fid) for r in got.collect()} == out
+    assert {s for s, *_ in out.values()} == {"ok", "duplicate", "jump_exhausted"} and max(j for s, j, _ in out.values() if s == "ok") > 10
+
+
+def test_extent_states(frame):
+    ext = frame("disk_id long, fid long, start long, end long", [(1, k, 4 * k, 4 * k + 1) for k in range(4)])
+    ev = frame("disk_id long, fid long, seq long, event string", [(1, 0, 1, "confirm"), (1, 0, 2, "release"), (1, 1, 1, "release"), (1, 2, 1, "open"), (9, 3, 1, "confirm"), (1, 1, None, None)])
+    s = placement.transitions(ext, ev)
+    assert {r.fid: r.state for r in s.collect()} == {0: "confirmed", 1: "released", 2: "pending", 3: "pending"}
+    live = [(0, 1), (8, 9), (12, 13)]
+    assert placement.current_chd(frame("disk_id long, slots long", [(1, 64)]), s).first().chd == chd_brute(1, 64, live)
+    for block in (3, 1 << 20):
+        r = {(x.start, x.end) for x in placement.occupied_runs(frame("disk_id long, start long, end long", [(1, 0, 4), (1, 2, 9), (1, 10, 10), (1, 12, 12), (1, None, None)]), block).collect()}
+        assert {k for a, b in r for k in range(a, b + 1)} == {*range(11), 12} and sum(b - a + 1 for a, b in r) == 12
 
 
 def test_histogram(frame):
