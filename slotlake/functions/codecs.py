@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +50,22 @@ def decode_size(data: bytes) -> int:
     return int.from_bytes(data[:7], "little")
 
 
+def little_endian(x: Column, size: int) -> Column:
+    """The lowest `size` bytes of a LONG, little-endian, as BINARY."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(size))))
+
+
+def size7_bytes(x: Column) -> Column:
+    """encode_size on a column; null beyond 56 bits."""
+    return F.when((x >= 0) & (x <= JUMP_SENTINEL), little_endian(x, 7))
+
+
+def size7_value(data: Column) -> Column:
+    """decode_size on a column."""
+    h = F.hex(data)
+    return F.conv(F.concat(*(F.substring(h, 2 * i + 1, 2) for i in reversed(range(7)))), 16, 10).cast("long")
+
+
 def encode_entry(fid: int, size: int, code: int) -> bytes:
     """16 bytes; a non-zero code needs a sentinel size that goes with it."""
     if not 0 <= code <= 255:
@@ -117,12 +134,25 @@ def header_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield _frame([(None if x is None else decode_header(bytes(x))) or {} for x in b], HEADER_TYPE)
 
 
+@F.pandas_udf(T.BinaryType())
+def header_bytes_udf(capacity_gb: pd.Series, disk_id: pd.Series, note: pd.Series) -> pd.Series:
+    """(capacity_gb, disk_id, note) -> the header's bytes; a null note is empty."""
+    return pd.Series([encode_header(int(c), int(d), n or "") for c, d, n in zip(capacity_gb, disk_id, note, strict=True)])
+
+
 def encode_packed(disk_id: int, container_fid: int, container_size: int, entries: list[tuple[int, int, int]], nonce: int = 0) -> bytes:
     """A packed table; entries are (fid, offset, size)."""
     head = _PACKED.pack(PACKED_MAGIC, PACKED_VERSION, _PACKED.size, disk_id & _U64, container_fid & _U64, container_size, len(entries), nonce)
     return head + b"".join(_PACKED_ENTRY.pack(f & _U64, o, s) for f, o, s in entries)
 
 
+@F.pandas_udf(T.BinaryType())
+def packed_bytes_udf(disk_id: pd.Series, container_fid: pd.Series, container_size: pd.Series, nonce: pd.Series, entries: pd.Series) -> pd.Series:
+    """(disk_id, container_fid, container_size, nonce, entries) -> a packed table's bytes."""
+    rows = zip(disk_id, container_fid, container_size, nonce, entries, strict=True)
+    return pd.Series([encode_packed(int(d), int(c), int(n), [(e["fid"], e["byte_offset"], e["size"]) for e in x], int(k)) for d, c, n, k, x in rows])
+
+
 def packed_fault(data: bytes | None) -> str | None:
     """Why a packed table is not valid: the first rule it breaks, or None."""
     if data is None or len(data) < _PACKED.size:
@@ -296,3 +326,15 @@ def parse_snapshot_meta(text: str) -> tuple[int, str]:
     if len(parts) != 2 or len(parts[1]) != 64 or not parts[0].isdigit():
         raise ValueError("snapshot side file")
     return int(parts[0]), parts[1].lower()
+
+
+def snapshot_meta_text(size: Column, sha256: Column) -> Column:
+    """snapshot_meta on columns."""
+    return F.concat(size.cast("string"), F.lit(" "), sha256, F.lit("\n"))
+
+
+def snapshot_meta_columns(text: Column) -> tuple[Column, Column]:
+    """(size, sha256) of a side file's text; both null where malformed."""
+    parts = F.split(F.trim(F.regexp_replace(text, "[\\s]+", " ")), " ")
+    ok = (F.size(parts) == 2) & (F.length(parts[1]) == 64) & parts[0].rlike("^[0-9]{1,18}$")
+    return F.when(ok, parts[0].try_cast("long")), F.when(ok, F.lower(parts[1]))

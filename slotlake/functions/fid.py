@@ -85,3 +85,12 @@ def auto_disk_id(path: str, size: int, salt: bytes) -> int:
     """A disk id from size, path and 16 random bytes, which the caller gives."""
     digest = hashlib.sha256(size.to_bytes(8, "little") + path.encode() + salt).digest()
     return signed(int.from_bytes(digest[:8], "little"))
+
+
+def auto_disk_id_column(path: Column, size: Column, salt: Column) -> Column:
+    """auto_disk_id on columns (salt BINARY)."""
+    from .codecs import little_endian
+
+    h = F.sha2(F.concat(little_endian(size, 8), path.cast("binary"), salt), 256)
+    half = lambda i: F.conv(F.concat(*(F.substring(h, 2 * k + 1, 2) for k in reversed(range(i, i + 4)))), 16, 10).cast("long")
+    return F.shiftleft(half(4), 32).bitwiseOR(half(0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..types import ANCHOR_CODE, ENTRY_BYTES, INDEX_BYTES, JUMP_SENTINEL, PACKED_SENTINEL, SLOT_BYTES
+from ..types import ANCHOR_CODE, ENTRY_BYTES, INDEX_BYTES, JUMP_SENTINEL, PACKED_SENTINEL
 from .changefeed import BLOCK_BITS, committed_changes, entry_kind, latest_records, ordered_entries
 from .consolidate import valid_entries
 from .prefix import blocked_running_sum
@@ -176,10 +176,6 @@ def restore(spark, path: str, disk_id: int, expected: int | None = None, force:
     return spark.read.parquet(path).where(F.col("disk_id") == disk_id)
 
 
-def aligned_slots(size: Column) -> Column:
-    return F.ceil(size / SLOT_BYTES)
-
-
 def anchor_rows(records: DataFrame) -> DataFrame:
     """The two log rows that publish a packed table: its anchor and its real entry."""
     head = F.struct(F.lit(0).alias("sub"), F.col("fid"), F.lit(PACKED_SENTINEL).alias("size"), F.lit(ANCHOR_CODE).alias("jump_code"))

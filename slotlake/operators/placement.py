@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.address import address, floor_log2, slot_count
+from ..functions.address import address, floor_log2, overlaps, slot_count
 from ..functions.fid import sample_fids, xxh3_jumps
 from ..session import broadcast_if_small, cut
 from ..types import CHD_SAMPLES, CHD_TARGET_P, ENTRY_BYTES, INDEX_BYTES, MAX_PUT, SLOT_BYTES
@@ -37,7 +37,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, group: list[str], bucket: i
         *(F.col(g).alias(f"_{g}") for g in group), F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("_bucket"), F.struct(*df.columns).alias(name)
     )
     j = spread(left, "l").join(spread(right, "r"), [*(f"_{g}" for g in group), "_bucket"])
-    return j.where((F.col("l.start") <= F.col("r.end")) & (F.col("r.start") <= F.col("l.end")) & (F.col("_bucket") == F.floor(F.greatest("l.start", "r.start") / bucket))).select("l", "r")
+    return j.where(overlaps(F.col("l.start"), F.col("l.end"), F.col("r.start"), F.col("r.end")) & (F.col("_bucket") == F.floor(F.greatest("l.start", "r.start") / bucket))).select("l", "r")
 
 
 def conflicts(rows: DataFrame, group: list[str], key: str) -> DataFrame:

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..types import MANIFEST_MAGIC, STREAM_CHUNK
 
-#: Ranges of one object that are cut in one row; more messages than this come from a second explode.
-MESSAGES_MOST = 1 << 20
-
 
 def normal_range(size: Column, start: Column, end: Column) -> tuple[Column, Column, Column]:
     """(start, end, status) of a byte range [start, end): end 0, null or beyond the size means the size.
@@ -89,9 +86,9 @@ def is_manifest(payload: Column) -> Column:
     return F.substring(payload, 1, len(MANIFEST_MAGIC)) == F.lit(MANIFEST_MAGIC).cast("binary")
 
 
-def verify_content(expected: DataFrame, stored: DataFrame) -> DataFrame:
-    """(fid, status) of expected (fid, payload) against what is stored: ok, not_found, size or content."""
+def verify_content(expected: DataFrame, stored: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(fid, status) of expected (fid, payload) against what is stored: ok, not_found, size or content; with the columns to keep of expected."""
     s = stored.select("fid", F.col("payload").alias("have")).dropDuplicates(["fid"])
     x = expected.join(s, "fid", "left")
     status = F.when(F.col("have").isNull(), "not_found").when(F.octet_length("have") != F.octet_length("payload"), "size").when(F.col("have") != F.col("payload"), "content").otherwise("ok")
-    return x.select("fid", status.alias("status"))
+    return x.select("fid", *(keep or []), status.alias("status"))

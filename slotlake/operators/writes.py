@@ -37,6 +37,18 @@ def request_fault(max_put: int = MAX_PUT) -> Column:
     )
 
 
+def error_class(status: Column) -> Column:
+    """conflict, not_found, resource_exhausted, invalid_argument or other, by a status text; null for ok and null."""
+    code = F.split(status, ":")[0]
+    named = F.when(code.isin("already_exists", "duplicate", "extent", "jump_exhausted"), "conflict").when(code.isin("not_found", "resource_exhausted", "invalid_argument"), code)
+    return F.when(status.isNotNull() & (status != "ok"), F.coalesce(named, F.lit("other")))
+
+
+def atomic_fault(size: Column) -> Column:
+    """Why an atomic put of a payload is refused: empty, or too_large above 16 MiB; null if it is not."""
+    return F.when(size.isNull() | (size <= 0), "empty").when(size > ATOMIC_LIMIT, "too_large")
+
+
 def admit(requests: DataFrame, known: DataFrame | None = None, max_put: int = MAX_PUT) -> DataFrame:
     """(seq, fid, status): the first request of each fid is accepted, later ones are duplicates.
 

@@ -56,18 +56,6 @@ def fid_dedup(s, d):
     return x.select("doc_id", hex_fid(F.col("fid")).alias("fid"), "first", "is_duplicate")
 
 
-@query()
-def fid_xxh3(s, d):
-    x = _docs(s, d).select("doc_id", fid.xxh3("payload").alias("fid"), F.octet_length("payload").cast("long").alias("size"))
-    return x.select("doc_id", parse.fid_text(F.col("fid")).alias("fid"), "size")
-
-
-@query()
-def jump_fids(s, d):
-    x = _docs(s, d).select("doc_id", fid.xxh3_jumps("payload", F.lit(3)).alias("fids"))
-    return x.select("doc_id", F.posexplode("fids").alias("jump", "fid"))
-
-
 _ADDRESS_SQL = f"""
 addr AS (SELECT doc_id, CAST(ceil(size / 4096.0) AS BIGINT) AS need, ufid, size, CASE WHEN size = 0 THEN 'empty' WHEN ceil(size / 4096.0) > {DOC_SLOTS} THEN 'too_large' END AS reason FROM docs),
 placed AS (SELECT doc_id, need, reason, CASE WHEN reason IS NULL THEN CAST(ufid % CAST({DOC_SLOTS} - need + 1 AS UBIGINT) AS BIGINT) END AS slot FROM addr)
@@ -442,27 +430,6 @@ def dedup_ratio(s, d):
     return chunking.dedup_ratio(_chunks(s, d), table(s, d, "stored_fids"))
 
 
-@query(
-    """WITH c AS (SELECT fid, max(octet_length(payload)) AS n FROM chunks WHERE fid IS NOT NULL AND payload IS NOT NULL GROUP BY fid),
-e AS (SELECT file_id, idx, max(fid) AS fid, max(size) AS size FROM chunks WHERE file_id IS NOT NULL AND idx IS NOT NULL GROUP BY ALL)
-SELECT e.file_id, e.idx, CASE WHEN c.n IS NULL THEN 'not_found' WHEN e.size <> c.n THEN 'size' WHEN e.size IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM e LEFT JOIN c ON e.fid = c.fid"""
-)
-def verify_content(s, d):
-    """Declared chunk sizes against the stored bytes of their fid."""
-    c = _chunks(s, d)
-    have = c.where("fid is not null and payload is not null").groupBy("fid").agg(F.max(F.octet_length("payload")).alias("n"))
-    x = _whole_chunks(s, d).select("file_id", "idx", "fid", "size").join(have, "fid", "left")
-    status = F.when(F.col("n").isNull(), "not_found").when(F.col("size") != F.col("n"), "size").when(F.col("size").isNull(), "unknown").otherwise("ok")
-    return x.select("file_id", "idx", status.alias("status"))
-
-
-@query()
-def chunk_identity(s, d):
-    """Chunks whose fid is not the XXH3 of their payload."""
-    c = _chunks(s, d).where("payload is not null and fid is not null").select("file_id", "idx", "fid", fid.xxh3("payload").alias("computed"))
-    return c.groupBy((F.col("fid") == F.col("computed")).alias("same")).agg(F.count(F.lit(1)).alias("chunks"))
-
-
 # Two catalogs of the same disks: those that ever trimmed, and those whose trim was triggered, on a partition now.
 _POOLS_SQL = """
 old AS (SELECT disk_id, min(device_path) AS device_path FROM trim_status WHERE last_success_at IS NOT NULL GROUP BY disk_id),
