@@ -7,8 +7,8 @@
    heavily weighted rows so that the space cannot lose what only they say. The range
    finder and the projection run distributed over a bounded sample of documents; only
    term x rank sums reach the driver.
-3. Every passage (2 or 4 neighbouring tiles, at every tile) of every document is
-   projected and compared with every item by cosine.
+3. Every passage (neighbouring tiles, at every tile, in lengths that follow those of the
+   items) of every document is projected and compared with every item by cosine.
 4. Candidates are checked by the longest common subsequence of words in a window little
    longer than the item, and by the answer-bearing words (names and numbers) among the
    words in common, which parts a leak from a text that only shares its glue words;
@@ -27,12 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import delete_at_end, shared_dir
 from .text import byte_words, characters
 
-#: Words per tile; passages are SPANS tiles long.
+#: Words per tile. Passages are powers of two of tiles long, as the items' lengths want it.
 TILE = 32
-SPANS = (2, 4)
 #: Terms in more than this share of the tiles carry no weight.
 COMMON = 0.05
 #: Least cosine of a candidate.
@@ -41,8 +40,8 @@ COSINE = 0.6
 ITEM_WEIGHT = 30.0
 OVERSAMPLE = 32
 FIT_TILES = 60_000
-#: Items compared at a time; a larger set is handled in blocks.
-ITEM_BLOCK = 512
+#: Items that share a latent space; a larger set is handled in blocks, so memory does not grow with it.
+ITEM_BLOCK = 256
 #: Share of an item's words that makes a leak, window length over item length.
 SHARE = 0.5
 STRETCH = 1.25
@@ -107,6 +106,15 @@ def common_subsequence(mask: dict[int, int], n: int, terms: list[int]) -> int:
     return n - v.bit_count()
 
 
+def spans(lengths: list[int]) -> list[int]:
+    """Lengths of passages, in tiles, for items of these numbers of words: two powers of two each, the longer one at least the item's length."""
+    out = set()
+    for n in lengths:
+        top = 2 if n <= TILE else max(4, 1 << (-(-n // TILE) - 1).bit_length())
+        out |= {top // 2, top}
+    return sorted(out)
+
+
 _CODED = "doc_id long, tiles long, terms binary, places binary, df binary"
 
 
@@ -290,6 +298,7 @@ def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarra
     q = items.counts * weights @ basis
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
     sent = coded.sparkSession.sparkContext.broadcast((items, weights, basis, q.astype(np.float32)))
+    wanted = spans([len(t) for t in items.terms])
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         its, w, b0, q0 = sent.value
@@ -304,16 +313,17 @@ def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarra
                 y = project(tile, terms, w, b0, count)
                 doc = np.repeat(np.arange(len(b)), n)
                 hits: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
-                for span in SPANS:
-                    p = y.copy()
-                    for j in range(1, span):
-                        if count > j:
-                            p[:-j] += y[j:] * (doc[:-j] == doc[j:])[:, None]
-                    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-                    for k in range(0, len(q0), ITEM_BLOCK):
-                        c = p @ q0[k : k + ITEM_BLOCK].T
-                        for x, r in zip(*np.nonzero(c >= cosine), strict=True):
-                            hits.setdefault((int(doc[x]), int(r) + k), []).append((int(x - first[doc[x]]), span, float(c[x, r])))
+                # Sums over a power of two of tiles come from those over half as many.
+                p, width = y, 1
+                for span in wanted:
+                    while width < span:
+                        longer = p.copy()
+                        if count > width:
+                            longer[:-width] += p[width:] * (doc[:-width] == doc[width:])[:, None]
+                        p, width = longer, 2 * width
+                    c = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)) @ q0.T
+                    for x, r in zip(*np.nonzero(c >= cosine), strict=True):
+                        hits.setdefault((int(doc[x]), int(r)), []).append((int(x - first[doc[x]]), span, float(c[x, r])))
                 out, ids = [], b["doc_id"].tolist()
                 for (d, r), found in hits.items():
                     t, pl = terms[ends[d] - lengths[d] : ends[d]], places[ends[d] - lengths[d] : ends[d]]
@@ -333,20 +343,35 @@ def search(coded: DataFrame, items: Items, weights: np.ndarray, basis: np.ndarra
     return coded.where("doc_id is not null").select("doc_id", "tiles", "terms", "places").mapInPandas(find, _LEAKS)
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, cosine: float = COSINE, fit_tiles: int = FIT_TILES) -> DataFrame:
+def leaks(documents: DataFrame, eval_items: DataFrame, cosine: float = COSINE, fit_tiles: int = FIT_TILES, block: int = ITEM_BLOCK) -> DataFrame:
     """The documents that carry at least half of a test item as one passage, with each such item.
 
-    eval_items is the held-out set, a bounded table. Each (doc_id, item_id) comes once, also
-    for repeated rows of either table. No items or no documents give no rows; documents
-    without doc_id are left out. The coded corpus is written to the shared folder, which
-    cuts the lineage for the three passes over it.
+    eval_items is the held-out set; it passes the driver in blocks of `block` items, each
+    with a latent space of its own. Each (doc_id, item_id) comes once, also for repeated
+    rows of either table. No items or no documents give no rows; documents without doc_id
+    are left out. The corpus, coded for a block, is written to the shared folder, which cuts
+    the lineage for the three passes over it; it is deleted when the session ends.
     """
+    found, held = documents.sparkSession.createDataFrame([], _LEAKS), []
+    rows = eval_items.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
+    for r in rows.toLocalIterator():
+        held.append((r["item_id"], r["text"]))
+        if len(held) == block:
+            found = found.unionByName(_leaks_of(documents, Items(held), cosine, fit_tiles))
+            held = []
+    if held:
+        found = found.unionByName(_leaks_of(documents, Items(held), cosine, fit_tiles))
+    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "share", "answers")))
+
+
+def _leaks_of(documents: DataFrame, items: Items, cosine: float, fit_tiles: int) -> DataFrame:
+    """The leaks of one block of items."""
     spark = documents.sparkSession
-    items = Items([(r["item_id"], r["text"]) for r in eval_items.select("item_id", "text").collect()])
     empty = spark.createDataFrame([], _LEAKS)
     if not items.ids:
         return empty
     path = f"{shared_dir(spark)}/leak-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
     encode(documents.where("doc_id is not null"), items.vocab).write.option("compression", "zstd").parquet(path)
     coded = spark.read.schema(_CODED).parquet(path)
     size = len(items.vocab)
@@ -361,8 +386,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame, cosine: float = COSINE, f
     # In a corpus of a few tiles every term is common; then none is dropped.
     weights = np.where(df > max(COMMON * tiles, 50), 0.0, np.maximum(weights, 1e-3)).astype(np.float32)
     basis = fit_space(coded, items, weights, tiles, fit_tiles)
-    found = search(coded, items, weights, basis, cosine)
-    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("cosine", "share", "answers")))
+    return search(coded, items, weights, basis, cosine)
 
 
 def _sum_df(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:

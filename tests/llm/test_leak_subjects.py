@@ -247,3 +247,27 @@ def test_glue_window_does_not_hide_a_leak():
 
     assert not checked(glue)[0] and checked(true)[0]
     assert checked(glue, true)[0] and checked(true, glue)[0]
+
+
+def test_blocks_of_items_and_pieces_of_short_ones(frame):
+    """Pieces of short and long items, against an exhaustive search (every passage a candidate); the same in blocks of items."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+    stock = [word() for _ in range(3000)]
+    items, docs, planted = [], [], set()
+    for i, n in enumerate([8, 8, 8, 8, 12, 12, 12, 12, 30, 30, 70, 70, 120, 400]):
+        text = [word() for _ in range(n)]
+        items.append((i, " ".join(text)))
+        for k in range(4):
+            part = text if k == 0 else text[: max(1, round(0.65 * n))] if k % 2 else text[n - round(0.65 * n) :]
+            d = len(docs)
+            docs.append((d, " ".join(rng.choices(stock, k=rng.randrange(20, 400)) + part + rng.choices(stock, k=rng.randrange(20, 400)))))
+            planted.add((d, i))
+    docs += [(1000 + k, " ".join(rng.choices(stock, k=300))) for k in range(60)]
+    d, t = frame("doc_id long, text string", docs), frame("item_id long, text string", items)
+    pairs = lambda df: {(r.doc_id, r.item_id) for r in df.collect()}
+    every = pairs(leak.leaks(d, t, cosine=-2.0))
+    assert every == planted
+    assert len(pairs(leak.leaks(d, t)) & every) >= 0.95 * len(every)
+    assert len(pairs(leak.leaks(d, t, block=5)) & every) >= 0.95 * len(every)
+    assert leak.spans([49, 64, 65, 127, 128]) == [2, 4] and leak.spans([8, 129, 400]) == [1, 2, 4, 8, 16]
