@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from ..types import CHD_SAMPLES, MAX_JUMPS, signed
 
 
+#: Nonces tried for a container and for a packed table.
+NONCES = 256
+
+
 def content_fid(data: bytes) -> int:
     """The fid of a payload as a signed LONG: XXH3-64, seed 0."""
     return signed(xxhash.xxh3_64_intdigest(data))
@@ -74,11 +78,29 @@ def file_fid(path: str, block: int = 1 << 20) -> tuple[int, int]:
 
 
 def nonce_fids(payload: bytes, tries: int = 256) -> Iterator[tuple[int, bytes]]:
-    """(fid, payload) of a container as it is, then with 8-byte counters 1, 2, ... appended one after another."""
+    """(fid, payload) of a container as it is, then with 8-byte counters 1, 2, ... appended one after another; hashed once."""
+    h, tail = xxhash.xxh3_64(payload), b""
     for nonce in range(tries):
         if nonce:
-            payload += nonce.to_bytes(8, "little")
-        yield content_fid(payload), payload
+            step = nonce.to_bytes(8, "little")
+            h.update(step)
+            tail += step
+        yield signed(h.intdigest()), payload + tail
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def container_fids(payload: pd.Series) -> pd.Series:
+    """BINARY -> the fids of nonce_fids(), as they come, without the payloads."""
+
+    def of(data: bytes) -> list[int]:
+        h = xxhash.xxh3_64(data)
+        out = [signed(h.intdigest())]
+        for nonce in range(1, NONCES):
+            h.update(nonce.to_bytes(8, "little"))
+            out.append(signed(h.intdigest()))
+        return out
+
+    return payload.map(lambda x: of(bytes(x)))
 
 
 def auto_disk_id(path: str, size: int, salt: bytes) -> int:

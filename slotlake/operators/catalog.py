@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.codecs import HEADER_VERSION
-from ..types import GRID_START, SLOT_BYTES
+from ..types import CAPACITY_UNIT, GRID_START, SLOT_BYTES
 
 
 def select_device(pool: DataFrame, wanted: str = "") -> DataFrame:
@@ -35,7 +35,7 @@ def device_faults(devices: DataFrame) -> DataFrame:
 
 def init_fault(devices: DataFrame, force: bool = False) -> DataFrame:
     """(device_path, fault) of devices to be initialised: too_small, capacity, has_header, has_index (the last two unless forced)."""
-    fault = F.when(F.col("size_bytes") < GRID_START + SLOT_BYTES, "too_small").when(F.floor(F.col("size_bytes") / (1 << 30)) > 65535, "capacity")
+    fault = F.when(F.col("size_bytes") < GRID_START + SLOT_BYTES, "too_small").when(F.floor(F.col("size_bytes") / CAPACITY_UNIT) > 65535, "capacity")
     if not force:
         fault = fault.when(F.col("version").isNotNull(), "has_header").when(F.col("index_entries") > 0, "has_index")
     return devices.select("device_path", fault.alias("fault"))

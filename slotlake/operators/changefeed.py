@@ -44,8 +44,7 @@ def ordered_entries(log: DataFrame) -> DataFrame:
     Redelivered rows collapse before the shuffle. Rows without disk_id or seq have no
     place in the order and are left out. A null size or jump_code is read from kind;
     what stays unreadable (also a null fid) becomes a stray entry: size -1, code 1,
-    which closes an open pair without effect. If copies differ, the least value of each
-    column counts.
+    which closes an open pair without effect. If copies differ, the least whole row counts.
     """
     kind = F.col("kind") if "kind" in log.columns else F.lit(None).cast("string")
     size = F.coalesce(F.col("size"), F.when(kind == "tombstone", 0).when(kind == "jump", JUMP_SENTINEL).when(kind == "anchor", PACKED_SENTINEL))
@@ -54,8 +53,7 @@ def ordered_entries(log: DataFrame) -> DataFrame:
     rows = log.where(F.col("disk_id").isNotNull() & F.col("seq").isNotNull()).select(
         "disk_id", "seq", F.coalesce("fid", F.lit(0)).alias("fid"), F.when(bad, -1).otherwise(size).cast("long").alias("size"), F.when(bad, 1).otherwise(code).cast("int").alias("code")
     )
-    # Plain columns keep this a hash aggregate; a struct would make it sort.
-    return rows.groupBy("disk_id", "seq").agg(F.min("fid").alias("fid"), F.min("size").alias("size"), F.min("code").alias("code"))
+    return rows.groupBy("disk_id", "seq").agg(F.min(F.struct("fid", "size", "code")).alias("r")).select("disk_id", "seq", "r.*")
 
 
 def _blocks(entries: DataFrame, block_bits: int) -> DataFrame:
@@ -157,7 +155,7 @@ def committed_changes(log: DataFrame, sealed: bool = True, first_seq: int = 1, b
 def latest_records(log: DataFrame, sealed: bool = True, first_seq: int = 1, block_bits: int = BLOCK_BITS) -> DataFrame:
     """The record of every fid on every disk after all visible changes.
 
-    Stray entries (a code without its sentinel) change nothing; see log_violations().
+    Stray entries (a code without its sentinel) change nothing; see indexlog.strict_violations().
     """
     changes = committed_changes(log, sealed, first_seq, block_bits).where("op != 'stray'")
     last = changes.groupBy("disk_id", "fid").agg(F.max(F.struct("pos", "op", "seq", "size", "actual_fid", "actual_size", "jump_code", "jump", "packed")).alias("r"))
@@ -178,3 +176,10 @@ def watermarks(log: DataFrame, first_seq: int = 1, block_bits: int = BLOCK_BITS)
     mark = F.when(F.col("log_start") != first_seq, F.lit(first_seq - 1)).when(F.col("gap_seq").isNotNull(), F.col("gap_prev")).otherwise(F.col("last_seq"))
     disk = disk.withColumn("watermark", mark.cast("long"))
     return disk.select("disk_id", "entries", "last_seq", "watermark", (F.col("entries") - F.greatest(F.col("watermark") - first_seq + 1, F.lit(0))).alias("held"), "end_seq")
+
+
+def arrived_by(log: DataFrame, share: float) -> DataFrame:
+    """The rows of a log that had come when `share` of the time over which it came had passed; rows without a time have not."""
+    t = F.unix_micros("arrived_at")
+    lo, hi = log.agg(F.min(t), F.max(t)).first()
+    return log.limit(0) if lo is None else log.where(t <= lo + int((hi - lo) * share))

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..types import ANCHOR_CODE, ENTRY_BYTES, INDEX_BYTES, JUMP_SENTINEL, PACKED_SENTINEL
-from .changefeed import BLOCK_BITS, committed_changes, entry_kind, latest_records, ordered_entries
+from ..session import cut
+from .changefeed import BLOCK_BITS, _blocks, _edges, committed_changes, entry_kind, latest_records, ordered_entries
 from .consolidate import valid_entries
 from .prefix import blocked_running_sum
 
 
 def with_kind(log: DataFrame) -> DataFrame:
-    """The ordered entries of a log with their kind, each seq once, up to its terminator."""
-    e = ordered_entries(log)
-    end = e.where("fid = 0 and size = 0 and code = 0").groupBy("disk_id").agg(F.min("seq").alias("end_seq"))
-    live = e.join(end, "disk_id", "left").where("end_seq is null or seq < end_seq").drop("end_seq")
-    return live.withColumn("kind", entry_kind(F.col("size"), F.col("code")))
+    """The ordered entries of a log with their kind, each seq once, up to its terminator. The end of a log comes with the summaries of its blocks."""
+    rows = _blocks(ordered_entries(log), BLOCK_BITS)
+    live = rows.join(_edges(rows).select("disk_id", "block", "end_seq"), ["disk_id", "block"]).where("end_seq is null or seq < end_seq")
+    return live.select("disk_id", "seq", "fid", "size", "code", entry_kind(F.col("size"), F.col("code")).alias("kind"))
 
 
 def index_end(log: DataFrame) -> DataFrame:
@@ -86,14 +86,48 @@ def strict_violations(log: DataFrame) -> DataFrame:
     pairs = _broken(x, {"indicator_twice": pending & F.col("ind"), "stray_code": (F.col("kind") == "stray") & ~pending})
     tail = x.where("kind != 'tombstone'").groupBy("disk_id").agg(F.max(F.struct("seq", "ind", "fid")).alias("t"))
     dangling = tail.where("t.ind").select(F.lit("dangling").alias("rule"), "disk_id", F.col("t.seq").alias("seq"), F.col("t.fid").alias("fid"))
-    # A fid's own changes in order; keys are spread by (disk, fid).
-    life = committed_changes(log).where("op != 'stray'").select("disk_id", "fid", "pos", "op", "jump", "packed")
-    k = W.partitionBy("disk_id", "fid").orderBy("pos")
-    again = life.withColumn("was", F.lag("op").over(k)).where("op = 'put' and was = 'put' and not packed and not jump")
+    # A fid's own changes in order: per block of the log, then from block to block, so that
+    # a fid with a third of all changes is many tasks.
+    life = committed_changes(log).where("op != 'stray'").select("disk_id", "fid", F.shiftright("pos", BLOCK_BITS).alias("block"), "pos", "op", "jump", "packed")
+    k = W.partitionBy("disk_id", "fid", "block").orderBy("pos")
+    first = F.row_number().over(k) == 1
+    inner = life.withColumn("was", F.lag("op").over(k)).withColumn("first", first)
+    ends = life.groupBy("disk_id", "fid", "block").agg(F.max(F.struct("pos", "op")).alias("last"))
+    ends = ends.select("disk_id", "fid", "block", F.lag("last.op").over(W.partitionBy("disk_id", "fid").orderBy("block")).alias("before"))
+    edge = inner.where("first").drop("was").join(ends, ["disk_id", "fid", "block"]).withColumnRenamed("before", "was")
+    again = inner.where("not first").select("disk_id", "fid", "pos", "op", "was", "jump", "packed").unionByName(edge.select("disk_id", "fid", "pos", "op", "was", "jump", "packed"))
+    again = again.where("op = 'put' and was = 'put' and not packed and not jump")
     duplicate = again.select(F.lit("duplicate_fid").alias("rule"), "disk_id", F.col("pos").alias("seq"), "fid")
     return duplicate.unionByName(pairs).unionByName(dangling)
 
 
+def replay_refusals(log: DataFrame, packed: DataFrame, slots: Column) -> DataFrame:
+    """(rule, disk_id, fid) of what a strict replay refuses beyond strict_violations(): overlap, packed_table.
+
+    overlap: an object whose extent begins inside that of an earlier one; slots: an
+    expression over disk_id. packed_table: a live packed table that cannot be read: none of
+    that name, no container, or an entry that is not valid.
+    """
+    from . import placement
+
+    refs = replay_refs(log)
+    own = refs.where("target_fid = fid").select("disk_id", "fid", F.col("stored_size").alias("size"))
+    over = placement.occupancy_violations(placement.extents(own, slots).where("start is not null")).select(F.lit("overlap").alias("rule"), "disk_id", "fid")
+    bad_entry = F.exists(F.coalesce("entries", F.array().cast("array<struct<fid:bigint,byte_offset:bigint,size:bigint>>")), lambda e: F.coalesce((e["size"] <= 0) | (e["byte_offset"] + e["size"] > F.col("container_size")), F.lit(True)))
+    sound = packed.groupBy("disk_id", F.col("table_fid").alias("fid")).agg(F.bool_and(~bad_entry & (F.coalesce("container_size", F.lit(0)) > 0)).alias("sound"))
+    tables = latest_records(log).where("packed").select("disk_id", "fid").join(sound, ["disk_id", "fid"], "left").where("not coalesce(sound, false)")
+    return over.unionByName(tables.select(F.lit("packed_table").alias("rule"), "disk_id", "fid"))
+
+
+def compacted(log: DataFrame) -> DataFrame:
+    """compact_entries(), written once and validated; ValueError with the first faults if it must not replace the log."""
+    e = cut(compact_entries(log))
+    bad = validate_compacted(e).limit(5).collect()
+    if bad:
+        raise ValueError(f"compacted log: {[tuple(r) for r in bad]}")
+    return e
+
+
 def compact_entries(log: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """The compacted log (disk_id, seq, fid, size, jump_code): one entry per plain record, two per pair, in seq order.
 
@@ -170,10 +204,13 @@ def backup(log: DataFrame, path: str) -> None:
 
 
 def restore(spark, path: str, disk_id: int, expected: int | None = None, force: bool = False) -> DataFrame:
-    """One disk's log from a backup; a backup of another disk only with force."""
+    """One disk's log from a backup; a backup of another disk only with force, and a backup without the disk not at all."""
     if expected is not None and expected != disk_id and not force:
         raise ValueError("the backup belongs to another disk")
-    return spark.read.parquet(path).where(F.col("disk_id") == disk_id)
+    log = spark.read.parquet(path).where(F.col("disk_id") == disk_id)
+    if log.isEmpty():
+        raise ValueError("the backup has no such disk")
+    return log.withColumn("disk_id", F.col("disk_id").cast("long"))
 
 
 def anchor_rows(records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.address import floor_log2
 from ..types import TRIM_BATCH, TRIM_MAX_THRESHOLD, TRIM_MIN_FILES, TRIM_MIN_THRESHOLD, TRIM_RATIO
+from . import placement
 from .prefix import blocked_running_sum
 
 #: seq values per block of the running sums.
@@ -98,21 +99,37 @@ def tombstones(candidates: DataFrame) -> DataFrame:
     return candidates.select("disk_id", "fid", F.lit(0).cast("long").alias("size"), F.lit(0).alias("jump_code"))
 
 
-def cycle(log: DataFrame, packed: DataFrame, thresholds: DataFrame, payloads: DataFrame, limit: int = TRIM_BATCH[0], least_files: int = TRIM_MIN_FILES, ratio: float = TRIM_RATIO) -> tuple[DataFrame, DataFrame, DataFrame]:
+def free_nonce(candidates: DataFrame, known: DataFrame, taken: DataFrame, slots: int) -> DataFrame:
+    """(disk_id, nonce, fid): each disk's first candidate (nonce, fid, size) whose fid is new there and whose extent is free.
+
+    A disk whose candidates are all in conflict has no row. known: disk_id, fid; taken:
+    disk_id, start, end. Candidates are few: one container or table for each disk, with
+    at most 256 nonces.
+    """
+    new = placement.extents(candidates.join(known.select("disk_id", "fid").distinct(), ["disk_id", "fid"], "left_anti"), F.lit(slots).cast("long")).where("start is not null")
+    free = placement.free_of(new, taken, ["disk_id"])
+    return free.groupBy("disk_id").agg(F.min(F.struct("nonce", "fid")).alias("r")).select("disk_id", "r.nonce", "r.fid")
+
+
+def cycle(log: DataFrame, packed: DataFrame, thresholds: DataFrame, payloads: DataFrame, limit: int = TRIM_BATCH[0], least_files: int = TRIM_MIN_FILES, ratio: float = TRIM_RATIO, slots: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One trim pass over all disks: (new log rows, new packed tables, containers with payload).
 
     Disks whose small files are too many get one container of at most `limit` bytes: the
     new rows publish the container, its table behind an anchor, and a tombstone for each
-    object packed, numbered behind the log's last seq in this order, so that a log cut
-    anywhere still reads every object. payloads: fid, payload. A disk with an object whose
-    bytes are missing or of another length is left alone. Rewrite the log with
-    indexlog.compact_entries() afterwards.
+    object packed, numbered behind the log's end in this order, so that a log cut
+    anywhere still reads every object. With `slots`, container and table must find their
+    fid new on the disk and their slots free: a container in conflict gets counters
+    appended, a table another nonce, up to 256 times; a disk without a free place is left
+    alone. The tables are read back from their bytes and held against the objects (size
+    and digest) before anything is given out; a disk where they differ is left alone.
+    payloads: fid, payload. A disk with an object whose bytes are missing or of another
+    length is left alone, too. Rewrite the log with indexlog.compacted() afterwards.
     """
-    from ..functions.codecs import encode_packed
-    from ..functions.fid import xxh3
-    from .changefeed import latest_records, ordered_entries
-    from .indexlog import anchor_rows
+    from ..functions.codecs import encode_packed, packed_udf
+    from ..functions.fid import NONCES, container_fids, content_fid
     from ..session import cut
+    from .changefeed import latest_records
+    from .indexlog import anchor_rows, replay_refs, with_kind
 
     # Lineage is cut where a result feeds several others, or plans would double at each step.
     log = cut(log)
@@ -120,20 +137,50 @@ def cycle(log: DataFrame, packed: DataFrame, thresholds: DataFrame, payloads: Da
     fires = trigger(all_, thresholds, least_files, ratio).where("fires").select("disk_id", "threshold")
     small = all_.join(fires, "disk_id").where("size < threshold").select("disk_id", "fid", "seq", "size")
     chosen = batch(small, limit, ["disk_id"]).select("disk_id", "fid", "seq", "size", "byte_offset")
-    full = chosen.join(payloads.dropDuplicates(["fid"]), "fid", "left")
+    full = cut(chosen.join(payloads.dropDuplicates(["fid"]), "fid", "left"))
     broken = full.where("payload is null or octet_length(payload) != size").select("disk_id").distinct()
-    boxes = containers(full.join(broken, "disk_id", "left_anti"), ["disk_id"]).withColumn("container_fid", xxh3("payload"))
+    boxes = cut(containers(full.join(broken, "disk_id", "left_anti"), ["disk_id"]))
+    refs = cut(replay_refs(log, packed))
+    taken = placement.extents(refs.where("target_fid = fid").select("disk_id", "fid", F.col("stored_size").alias("size")), F.lit(slots or 1).cast("long")).where("start is not null")
+
+    def placed(candidates: DataFrame) -> DataFrame:
+        if slots is None:
+            return candidates.where("nonce = 0").select("disk_id", "nonce", "fid")
+        return free_nonce(candidates, refs, taken, slots)
+
+    tries = boxes.select("disk_id", F.posexplode(container_fids("payload")).alias("nonce", "fid"), "container_size").select("disk_id", "nonce", "fid", (F.col("container_size") + 8 * F.col("nonce")).alias("size"))
+    place = cut(placed(tries)).select("disk_id", F.col("nonce").alias("tail"), F.col("fid").alias("container_fid"))
+    counters = F.unhex(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.col("tail")), lambda k: F.concat(F.lpad(F.hex(k.bitwiseAND(F.lit(255))), 2, "0"), F.lit("00000000000000")))))
+    longer = F.when(F.col("tail") > 0, F.concat("payload", counters)).otherwise(F.col("payload"))
+    boxes = boxes.join(place, "disk_id").withColumn("payload", longer).withColumn("container_size", F.octet_length("payload").cast("long"))
+
+    @F.udf("array<struct<nonce:int,fid:long,size:long>>")
+    def table_fids(disk, fid, size, entries):
+        rows = [(e["fid"], e["byte_offset"], e["size"]) for e in entries]
+        blobs = ((n, encode_packed(disk, fid, size, rows, n)) for n in range(NONCES if slots is not None else 1))
+        return [(n, content_fid(b), len(b)) for n, b in blobs]
 
     @F.udf("binary")
-    def table(disk, fid, size, entries):
-        return bytearray(encode_packed(disk, fid, size, [(e["fid"], e["byte_offset"], e["size"]) for e in entries]))
-
-    boxes = boxes.withColumn("table", table("disk_id", "container_fid", "container_size", "entries")).withColumn("table_fid", xxh3("table"))
-    boxes = cut(boxes.join(ordered_entries(log).groupBy("disk_id").agg(F.max("seq").alias("last")), "disk_id"))
+    def table(disk, fid, size, entries, nonce):
+        return bytearray(encode_packed(disk, fid, size, [(e["fid"], e["byte_offset"], e["size"]) for e in entries], nonce))
+
+    boxes = cut(boxes)
+    if slots is not None:
+        own = placement.extents(boxes.select("disk_id", F.col("container_fid").alias("fid"), F.col("container_size").alias("size")), F.lit(slots).cast("long"))
+        taken = cut(taken.select("disk_id", "start", "end").unionByName(own.select("disk_id", "start", "end")))
+    tries = boxes.select("disk_id", F.inline(table_fids("disk_id", "container_fid", "container_size", "entries")))
+    place = placed(tries).select("disk_id", "nonce", F.col("fid").alias("table_fid"))
+    boxes = cut(boxes.join(place, "disk_id").withColumn("table", table("disk_id", "container_fid", "container_size", "entries", "nonce")))
+    # What the table and the container give back must be what was packed.
+    read = boxes.select("disk_id", "container_fid", "payload", packed_udf("table").alias("p")).where("p.fault is null and p.disk_id = disk_id and p.container_fid = container_fid")
+    entries = read.select("disk_id", "payload", F.inline("p.entries")).select("disk_id", "fid", "size", F.md5(F.substring(F.col("payload"), (F.col("byte_offset") + 1).cast("int"), F.col("size").cast("int"))).alias("digest"))
+    wrong = verify(entries, full.join(boxes.select("disk_id"), "disk_id", "left_semi").select("disk_id", "fid", "size", F.md5("payload").alias("digest"))).select("disk_id").distinct()
+    ends = with_kind(log).groupBy("disk_id").agg(F.max("seq").alias("last"))
+    boxes = cut(boxes.join(wrong, "disk_id", "left_anti").join(ends, "disk_id"))
     plain = boxes.select("disk_id", "last", F.inline(F.array(F.struct(F.lit(1).alias("at"), F.col("container_fid").alias("fid"), F.col("container_size").alias("size")), F.struct(F.lit(2).alias("at"), F.col("table_fid").alias("fid"), F.octet_length("table").cast("long").alias("size")))))
     rows = plain.select("disk_id", (F.col("last") + F.col("at")).alias("seq"), "fid", "size", F.lit(0).alias("jump_code"))
     anchors = anchor_rows(boxes.select("disk_id", F.col("table_fid").alias("fid"), F.octet_length("table").cast("long").alias("size"))).join(boxes.select("disk_id", "last"), "disk_id")
     rows = rows.unionByName(anchors.select("disk_id", (F.col("last") + 3 + F.col("sub")).alias("seq"), "fid", "size", "jump_code"))
     dead = boxes.select("disk_id", "last", F.posexplode("entries").alias("n", "e")).select("disk_id", (F.col("last") + 5 + F.col("n")).alias("seq"), F.col("e.fid").alias("fid"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("jump_code"))
-    tables = boxes.select("table_fid", "disk_id", "container_fid", "container_size", F.lit(0).cast("long").alias("nonce"), "entries", "table")
+    tables = boxes.select("table_fid", "disk_id", "container_fid", "container_size", F.col("nonce").cast("long").alias("nonce"), "entries", "table")
     return rows.unionByName(dead), tables, boxes.select("disk_id", F.col("container_fid").alias("fid"), F.col("container_size").alias("size"), "payload")

@@ -9,8 +9,7 @@ from ..functions import address, codecs, fid, parse
 from ..operators import catalog, chunking, indexlog, reads, trim, writes
 from ..sources.tables import table
 from ..types import hex_fid
-from .pool import _U
-from .store import _ADMIT_SQL, _CHUNK_SQL, _DOCS_SQL, _PUTS_SQL, _chunks, _docs, _whole_chunks, query
+from .store import _ADMIT_SQL, _CHUNK_SQL, _DOCS_SQL, _PUTS_SQL, _U, _chunks, _docs, _whole_chunks, query
 from .xxh3_sql import xxh3_sql
 
 _HEX16 = "lower(lpad(hex(u), 16, '0'))"

@@ -55,7 +55,17 @@ def p4_watermarks(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.watermarks(table(spark, d, "index_log"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_containers, p2_entries, p2_report, p4_found, p4_records, p4_committed, p4_watermarks)}
+def p4_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The records that could be shown when three quarters of the time had passed: what had come by then, up to the first gap."""
+    log = changefeed.arrived_by(table(spark, d, "index_log"), 0.75)
+    return changefeed.latest_records(log, sealed=False).select("disk_id", "fid", "seq")
+
+
+def p4_as_of_watermarks(spark: SparkSession, d: str) -> DataFrame:
+    return changefeed.watermarks(changefeed.arrived_by(table(spark, d, "index_log"), 0.75))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_containers, p2_entries, p2_report, p4_found, p4_records, p4_committed, p4_watermarks, p4_as_of, p4_as_of_watermarks)}
 
 _SMALL_SQL = """
 lim AS (SELECT disk_id, last_threshold_bytes AS threshold, last_small_files AS reported FROM (
@@ -98,7 +108,18 @@ _COMMITTED_SQL = _LOG_SQL.replace(
 live AS (SELECT o.* FROM (SELECT o1.* FROM one o1 JOIN marks m ON o1.disk_id = m.disk_id WHERE o1.seq <= m.mark) o""",
 )
 
+_WATERMARKS_SQL = """
+WITH one AS (SELECT DISTINCT disk_id, seq, fid, size, jump_code FROM index_log),
+g AS (SELECT *, seq - row_number() OVER (PARTITION BY disk_id ORDER BY seq) AS shift FROM one)
+SELECT disk_id, count(*) AS entries, max(seq) AS last_seq, coalesce(max(seq) FILTER (WHERE shift = 0), 0) AS watermark,
+  count(*) - coalesce(max(seq) FILTER (WHERE shift = 0), 0) AS held, min(seq) FILTER (WHERE fid = 0 AND size = 0 AND jump_code = 0) AS end_seq
+FROM g GROUP BY disk_id"""
+
+_ARRIVED = "(SELECT * FROM index_log WHERE epoch_us(arrived_at) <= (SELECT min(epoch_us(arrived_at)) + CAST(floor((max(epoch_us(arrived_at)) - min(epoch_us(arrived_at))) * 0.75) AS BIGINT) FROM index_log))"
+
 ORACLE = {
+    "p4_as_of": f"WITH {_COMMITTED_SQL.replace('FROM index_log', f'FROM {_ARRIVED}')} SELECT disk_id, fid, seq FROM last",
+    "p4_as_of_watermarks": _WATERMARKS_SQL.replace("FROM index_log", f"FROM {_ARRIVED}"),
     "p4_committed": f"WITH {_COMMITTED_SQL} SELECT disk_id, fid, seq FROM last",
     "p2_found": f"WITH {_SMALL_SQL} SELECT disk_id, fid FROM small",
     "p2_containers": f"WITH {_SMALL_SQL} SELECT disk_id, container_no, CAST(sum(size) AS BIGINT) AS container_size, first(fid ORDER BY lies) AS first_fid, last(fid ORDER BY lies) AS last_fid, count(*) AS objects FROM numbered GROUP BY ALL",
@@ -106,10 +127,5 @@ ORACLE = {
     "p2_report": f"WITH {_SMALL_SQL} SELECT l.disk_id, l.threshold, l.reported, count(n.fid) AS small_files, count(DISTINCT n.container_no) AS containers, CAST(coalesce(sum(n.size), 0) AS BIGINT) AS bytes FROM lim l LEFT JOIN numbered n ON n.disk_id = l.disk_id GROUP BY ALL",
     "p4_found": f"WITH {_LOG_SQL} SELECT disk_id, fid, seq FROM last",
     "p4_records": f"WITH {_LOG_SQL} SELECT disk_id, fid, size, actual_fid, actual_size, jump_code, seq, jump, packed FROM last",
-    "p4_watermarks": """
-WITH one AS (SELECT DISTINCT disk_id, seq, fid, size, jump_code FROM index_log),
-g AS (SELECT *, seq - row_number() OVER (PARTITION BY disk_id ORDER BY seq) AS shift FROM one)
-SELECT disk_id, count(*) AS entries, max(seq) AS last_seq, coalesce(max(seq) FILTER (WHERE shift = 0), 0) AS watermark,
-  count(*) - coalesce(max(seq) FILTER (WHERE shift = 0), 0) AS held, min(seq) FILTER (WHERE fid = 0 AND size = 0 AND jump_code = 0) AS end_seq
-FROM g GROUP BY disk_id""",
+    "p4_watermarks": _WATERMARKS_SQL,
 }

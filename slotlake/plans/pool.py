@@ -9,7 +9,7 @@ from ..functions import address
 from ..functions.fid import md5_fid
 from ..operators import placement, writes
 from ..sources.tables import table
-from .store import _DOCS_SQL, _PUTS_SQL, DISK_SLOTS, _doc_objects, _puts, _ref_extents, query
+from .store import _DOCS_SQL, _PUTS_SQL, _U, DISK_SLOTS, _doc_objects, _puts, _ref_extents, query
 from .xxh3_sql import xxh3_sql
 
 #: Slots of the disks of the pool, and of the disk on which puts jump; jumps tried there.
@@ -17,9 +17,6 @@ POOL_SLOTS = 1 << 20
 JUMP_SLOTS = 1 << 14
 JUMPS = 8
 
-_U = lambda c: f"CAST(CASE WHEN {c} < 0 THEN CAST({c} AS HUGEINT) + 18446744073709551616 ELSE CAST({c} AS HUGEINT) END AS UBIGINT)"
-
-
 def _extents_sql(slots: int, name: str = "ext") -> str:
     return f"""
 objs AS (SELECT disk_id, fid, max(coalesce(stored_size, size)) AS size FROM refs WHERE disk_id IS NOT NULL AND fid IS NOT NULL AND (target_fid IS NULL OR target_fid = fid) GROUP BY disk_id, fid),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import formats, general, pool, store  # noqa: F401
+from . import formats, general, logs, pool, store  # noqa: F401
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

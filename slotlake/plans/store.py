@@ -23,6 +23,9 @@ FIXED = 1024
 CDC = (256, 1024, 4096)
 TRIM_BYTES = 8 << 20
 
+#: SQL of a LONG read as unsigned.
+_U = lambda c: f"CAST(CASE WHEN {c} < 0 THEN CAST({c} AS HUGEINT) + 18446744073709551616 ELSE CAST({c} AS HUGEINT) END AS UBIGINT)"
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from ..functions.codecs import HEADER_BYTES, HEADER_VERSION, decode_entries, decode_header, encode_entry, encode_header, parse_snapshot_meta, snapshot_meta
 from ..functions.parse import parse_id
 from ..operators.changefeed import entry_kind
-from ..types import ENTRY_BYTES, GRID_START, INDEX_BYTES, INDEX_START
+from ..types import CAPACITY_UNIT, ENTRY_BYTES, GRID_START, INDEX_BYTES, INDEX_START
 
 _POOL = "version int, devices array<struct<status:string,device_path:string,disk_id:string,version:int,size_bytes:long>>"
 _BLOCK = 4 << 20
@@ -36,6 +36,7 @@ def write_pool(pool: DataFrame, path: str) -> None:
 
     rows = pool.orderBy("pool_pos").collect()  # a catalog of devices
     devices = [{"status": r["status"], "device_path": r["device_path"], "disk_id": f"0x{r['disk_id'] & (2**64 - 1):X}", "version": r["version"], "size_bytes": r["size_bytes"]} for r in rows]
+    path = path.removeprefix("file:")
     tmp = f"{path}.tmp"
     with open(tmp, "w") as f:
         json.dump({"version": 1, "devices": devices}, f, indent=2)
@@ -98,7 +99,7 @@ def read_index(devices: DataFrame) -> DataFrame:
 
 def init_image(path: str, disk_id: int, size_bytes: int, note: str = "", force: bool = False) -> None:
     """A new image with an empty index; refuses one that has a header or entries unless forced."""
-    if size_bytes < GRID_START + 4096 or size_bytes >> 30 > 65535:
+    if size_bytes < GRID_START + 4096 or size_bytes // CAPACITY_UNIT > 65535:
         raise ValueError("size out of bounds")
     if os.path.exists(path) and not force:
         with open(path, "rb") as f:
@@ -107,12 +108,12 @@ def init_image(path: str, disk_id: int, size_bytes: int, note: str = "", force:
             raise ValueError("already initialised")
     with open(path, "r+b" if os.path.exists(path) else "w+b") as f:
         f.truncate(size_bytes)
-        f.write(encode_header(size_bytes >> 30, disk_id, note, HEADER_VERSION))
+        f.write(encode_header(size_bytes // CAPACITY_UNIT, disk_id, note, HEADER_VERSION))
         f.seek(INDEX_START)
         f.write(bytes(4096))
 
 
-def write_index(path: str, entries: list[tuple[int, int, int]]) -> None:
+def write_index(path: str, entries: Iterable[tuple[int, int, int]]) -> None:
     """Writes (fid, size, code) entries and a terminator to an image's index."""
     data = b"".join(encode_entry(*e) for e in entries)
     if len(data) > INDEX_BYTES:
@@ -122,6 +123,26 @@ def write_index(path: str, entries: list[tuple[int, int, int]]) -> None:
         f.write(data + bytes(min(ENTRY_BYTES, INDEX_BYTES - len(data))))
 
 
+def write_images(log: DataFrame, folder: str) -> DataFrame:
+    """(disk_id, path): a device image with its index for every disk of a log (disk_id, seq, fid, size, code or jump_code).
+
+    One task writes one disk's index, which the format bounds at 16 bytes for each of its
+    entries; a larger log is refused.
+    """
+    code = "code" if "code" in log.columns else "jump_code"
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        disk, n = int(pdf["disk_id"].iloc[0]), len(pdf)
+        os.makedirs(folder.removeprefix("file:"), exist_ok=True)
+        path = os.path.join(folder.removeprefix("file:"), f"0x{disk & (2**64 - 1):X}")
+        init_image(path, disk, GRID_START + 4096 * (n + 1), f"entries {n}", force=True)
+        write_index(path, zip(pdf["fid"].tolist(), pdf["size"].tolist(), pdf["code"].tolist(), strict=True))
+        return pd.DataFrame({"disk_id": [disk], "path": [path]})
+
+    return log.select("disk_id", "seq", "fid", "size", F.col(code).alias("code")).groupBy("disk_id").applyInPandas(write, "disk_id long, path string")
+
+
 def write_snapshot(image: str, folder: str, disk_id: int) -> bool:
     """A zstd snapshot of an image with its side file; False if the last one has the same size and hash.
 

@@ -11,6 +11,7 @@ GRID_START = 0x10000000
 INDEX_START = 4096
 INDEX_BYTES = GRID_START - INDEX_START
 ENTRY_BYTES = 16
+CAPACITY_UNIT = 1_000_000_000
 JUMP_SENTINEL = 2**56 - 1
 PACKED_SENTINEL = 2**56 - 2
 ANCHOR_CODE = 0xFF
