@@ -361,10 +361,30 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks")
 
 
-@query()
+def _cdc_sql() -> str:
+    """FastCDC of the documents: the gear hash in doublings over neighbouring bytes, then cut after cut."""
+    gear = ", ".join(f"{x}::UBIGINT" for x in chunking.gear_table().tolist())
+    least, target, most = CDC
+    bits = target.bit_length() - 1
+    mask = lambda n: f"{((1 << n) - 1) << (64 - n)}::UBIGINT"
+    steps = f"gear0 AS (SELECT doc_id, i, ([{gear}])[CAST(('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT + 1 AS BIGINT)] AS x FROM (SELECT doc_id, hex(encode(text)) AS h, unnest(range(size)) AS i FROM docs))"
+    for k in range(6):
+        n = 1 << k
+        steps += f",\ngear{k + 1} AS (SELECT doc_id, i, CAST((x::UHUGEINT + coalesce(lag(x, {n}) OVER (PARTITION BY doc_id ORDER BY i), 0)::UHUGEINT * {1 << n}::UHUGEINT % {1 << 64}::UHUGEINT) % {1 << 64}::UHUGEINT AS UBIGINT) AS x FROM gear{k})"
+    return f"""{steps},
+easy AS (SELECT doc_id, list(i + 1 ORDER BY i) AS l FROM gear6 WHERE x & {mask(bits - chunking.NORMAL)} = 0 GROUP BY doc_id),
+hard AS (SELECT doc_id, list(i + 1 ORDER BY i) AS l FROM gear6 WHERE x & {mask(bits + chunking.NORMAL)} = 0 GROUP BY doc_id),
+marks AS (SELECT d.doc_id, d.size, coalesce(e.l, []) AS e, coalesce(h.l, []) AS h FROM docs d LEFT JOIN easy e ON e.doc_id = d.doc_id LEFT JOIN hard h ON h.doc_id = d.doc_id WHERE d.size > 0),
+cuts(doc_id, idx, a, b) AS (SELECT doc_id, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM marks
+  UNION ALL SELECT c.doc_id, idx + 1, c.b, CASE WHEN m.size - c.b <= {least} THEN m.size ELSE
+    coalesce(list_filter(h, lambda x: x >= c.b + {least} AND x < least(c.b + {target}, m.size))[1], list_filter(e, lambda x: x >= greatest(least(c.b + {target}, m.size), c.b + {least}) AND x <= least(c.b + {most}, m.size))[1], least(c.b + {most}, m.size)) END
+  FROM cuts c JOIN marks m ON m.doc_id = c.doc_id WHERE c.b < m.size)"""
+
+
+@query(f"WITH RECURSIVE {_DOCS_SQL}, {_cdc_sql()} SELECT c.doc_id AS file_id, idx, md5(unhex(substr(hex(encode(text)), CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)))) AS digest, a AS byte_offset, b - a AS size FROM cuts c JOIN docs d ON d.doc_id = c.doc_id WHERE idx >= 0")
 def cdc_chunks(s, d):
     x = _docs(s, d).withColumnRenamed("doc_id", "file_id")
-    return chunking.chunk(x, *CDC).select("file_id", "idx", "fid", "byte_offset", "size")
+    return chunking.chunk(x, *CDC).select("file_id", "idx", F.md5("payload").alias("digest"), "byte_offset", "size")
 
 
 @query(

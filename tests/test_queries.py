@@ -15,4 +15,4 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, con, name):
-    assert same(spark, con, registry.queries()[name], registry.oracle_sql().get(name))
+    assert same(spark, con, registry.queries()[name], registry.oracle_sql()[name])
