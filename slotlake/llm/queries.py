@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -27,28 +29,33 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return cuts.groupBy("max_bytes").agg(F.count_if(F.col("no") == 0).alias("chunks"), F.count(F.lit(1)).alias("pieces"), F.min("cut.piece_size").alias("least"), F.max("cut.piece_size").alias("largest"))
 
 
-def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+def _seen(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int, DataFrame]:
     puts, chunks = table(spark, d, "put_requests"), table(spark, d, "chunks")
     rows = puts.count() + chunks.count()  # from the files' footers
-    return seen.records_of(puts, chunks), table(spark, d, "stored_fids"), rows
+    return seen.records_of(puts, chunks), table(spark, d, "stored_fids"), rows, seen.rows_of(puts, chunks)
+
+
+def _asked(f: Callable, spark: SparkSession, d: str) -> DataFrame:
+    records, known, rows, delivered = _seen(spark, d)
+    return f(records, known, rows, delivered=delivered)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return seen.answers(*_seen(spark, d)).where("seen").select("origin", "id", "pos")
+    return _asked(seen.answers, spark, d).where("seen").select("origin", "id", "pos")
 
 
 def p3_answers(spark: SparkSession, d: str) -> DataFrame:
-    return seen.answers(*_seen(spark, d))
+    return _asked(seen.answers, spark, d)
 
 
 def p3_filter_errors(spark: SparkSession, d: str) -> DataFrame:
     """The filters' expected and measured rate of wrong answers, per origin and batch."""
-    return seen.error_report(*_seen(spark, d))
+    return _asked(seen.error_report, spark, d)
 
 
 def p3_store_errors(spark: SparkSession, d: str) -> DataFrame:
     """How the store's own answers (jump_results.is_duplicate) compare: right, wrong, missing and the share of wrong ones."""
-    truth = seen.answers(*_seen(spark, d)).where("origin = 'put_requests' and key is not null").select(F.col("id").alias("seq"), "seen")
+    truth = _asked(seen.answers, spark, d).where("origin = 'put_requests' and key is not null").select(F.col("id").alias("seq"), "seen")
     told = table(spark, d, "jump_results").where("seq is not null").groupBy("seq").agg(F.max("is_duplicate").alias("is_duplicate"))
     x = told.join(truth, "seq")
     right, wrong = F.count_if(F.col("is_duplicate") == F.col("seen")), F.count_if(F.col("is_duplicate") != F.col("seen"))

@@ -29,19 +29,24 @@ BATCH_ROWS = 50_000_000
 SHARD_ROWS = 250_000
 
 
-def records_of(puts: DataFrame | None, chunks: DataFrame | None) -> DataFrame:
-    """(origin, id, pos, key): put requests (seq, 0) and chunks (file_id, idx), each once.
-
-    Redelivered rows collapse; of copies with different fids the least non-null one
-    counts. Rows with a null id or pos are left out: they have no place in the order.
-    """
+def rows_of(puts: DataFrame | None, chunks: DataFrame | None) -> DataFrame:
+    """(origin, id, pos, key): put requests (seq, 0) and chunks (file_id, idx) as they were delivered; those with a null id or pos are left out."""
     parts = []
     if puts is not None:
         parts.append(puts.select(F.lit("put_requests").alias("origin"), F.col("seq").alias("id"), F.lit(0).cast("long").alias("pos"), F.col("fid").alias("key")))
     if chunks is not None:
         parts.append(chunks.select(F.lit("chunks").alias("origin"), F.col("file_id").alias("id"), F.col("idx").cast("long").alias("pos"), F.col("fid").alias("key")))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return rows.where("id is not null and pos is not null").groupBy("origin", "id", "pos").agg(F.min("key").alias("key"))
+    return rows.where("id is not null and pos is not null")
+
+
+def records_of(puts: DataFrame | None, chunks: DataFrame | None) -> DataFrame:
+    """The rows_of() each once.
+
+    Redelivered rows collapse; of copies with different fids the least non-null one
+    counts. Rows with a null id or pos are left out: they have no place in the order.
+    """
+    return rows_of(puts, chunks).groupBy("origin", "id", "pos").agg(F.min("key").alias("key"))
 
 
 def batch_bounds(records: DataFrame, generations: int = GENERATIONS) -> dict[str, list[int]]:
@@ -106,9 +111,9 @@ def probe(firsts: DataFrame, filters: DataFrame) -> DataFrame:
     return flat.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(ask, _ANSWERS)
 
 
-def _stages(records: DataFrame, known: DataFrame, rows: int, generations: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+def _stages(records: DataFrame, known: DataFrame, rows: int, generations: int, bits: int, delivered: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     shards = max(8, -(-rows // SHARD_ROWS))
-    bounds = batch_bounds(records, max(generations, -(-rows // BATCH_ROWS)))
+    bounds = batch_bounds(records if delivered is None else delivered, max(generations, -(-rows // BATCH_ROWS)))
     firsts = first_of_batch(records, bounds, shards)
     before = known.where("fid is not null").select(F.pmod(F.xxhash64("fid"), F.lit(shards)).cast("int").alias("shard"), F.lit("").alias("origin"), F.col("fid").alias("key"), F.lit(0).alias("gen")).distinct()
     return firsts, before, seal(firsts.select("shard", "origin", "key", "gen").unionByName(before), bits), sorted(bounds)
@@ -128,21 +133,22 @@ def _checked(firsts: DataFrame, before: DataFrame, filters: DataFrame, origins:
     return asked.where("not maybe").withColumn("seen", F.lit(False)).unionByName(yes)
 
 
-def answers(records: DataFrame, known: DataFrame, rows: int, generations: int = GENERATIONS, bits: int = fuse.BITS) -> DataFrame:
+def answers(records: DataFrame, known: DataFrame, rows: int, generations: int = GENERATIONS, bits: int = fuse.BITS, delivered: DataFrame | None = None) -> DataFrame:
     """(origin, id, pos, key, seen) for every record; seen is null for a null key.
 
     Only the first record of a key in a batch that no filter knows, or whose yes does
-    not stand, is new; every other record with a key was seen. `rows` sizes the shards.
+    not stand, is new; every other record with a key was seen. `rows` sizes the shards. The batches are cut by
+    the ids of `delivered` (rows_of(), which need no shuffle) if given, else of the records.
     """
-    firsts, before, filters, origins = _stages(records, known, rows, generations, bits)
+    firsts, before, filters, origins = _stages(records, known, rows, generations, bits, delivered)
     new = _checked(firsts, before, filters, origins).where("not seen").select("origin", "id", "pos", F.lit(True).alias("new"))
     joined = records.join(new, ["origin", "id", "pos"], "left")
     return joined.select("origin", "id", "pos", "key", F.when(F.col("key").isNotNull(), F.col("new").isNull()).alias("seen"))
 
 
-def error_report(records: DataFrame, known: DataFrame, rows: int, generations: int = GENERATIONS, bits: int = fuse.BITS) -> DataFrame:
+def error_report(records: DataFrame, known: DataFrame, rows: int, generations: int = GENERATIONS, bits: int = fuse.BITS, delivered: DataFrame | None = None) -> DataFrame:
     """Per origin and batch: keys asked, expected compounded error rate, yes answers, wrong ones and their measured rate."""
-    firsts, before, filters, origins = _stages(records, known, rows, generations, bits)
+    firsts, before, filters, origins = _stages(records, known, rows, generations, bits, delivered)
     wrong = F.count_if(F.col("maybe") & ~F.col("seen"))
     new = F.count_if(~F.col("seen"))
     return (
