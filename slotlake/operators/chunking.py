@@ -137,18 +137,24 @@ def inspect(manifests_: DataFrame) -> DataFrame:
     return manifests_.select("file_id", F.posexplode("chunks").alias("no", "c")).select("file_id", F.col("no").cast("long").alias("no"), "c.fid", "c.byte_offset", "c.size")
 
 
-def sparse_range(manifests_: DataFrame, ranges: DataFrame) -> DataFrame:
+def sparse_range(manifests_: DataFrame, ranges: DataFrame, bucket: int = 1 << 24) -> DataFrame:
     """(req_id, file_id, no, fid, skip, take): the chunks a range touches, and which of their bytes.
 
     ranges: req_id, file_id, range_start, range_end; end 0, null or beyond means the end. An
     empty or inverted range touches nothing, without error. Chunks without offset or size
-    have no place and are skipped. Chunks are pruned before any payload is joined.
+    have no place and are skipped. Chunks and ranges meet in buckets of the file's bytes,
+    an equi-join of narrow rows: a range never carries a file's whole list, and a file
+    with a third of all chunks is many keys. Chunks are pruned before any payload is joined.
     """
-    r = ranges.join(manifests_, "file_id")
+    c = manifests_.select("file_id", F.posexplode("chunks").alias("no", "c")).where("c.byte_offset is not null and c.size > 0").select("file_id", "no", F.col("c.fid").alias("fid"), F.col("c.byte_offset").alias("a"), (F.col("c.byte_offset") + F.col("c.size")).alias("b"))
+    c = c.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / bucket), F.floor((F.col("b") - 1) / bucket))))
+    r = ranges.select("req_id", "file_id", F.coalesce("range_start", F.lit(0)).alias("s"), "range_end").join(manifests_.select("file_id", "total_size"), "file_id")
     end = F.when(F.col("range_end").isNull() | (F.col("range_end") == 0) | (F.col("range_end") > F.col("total_size")), F.col("total_size")).otherwise(F.col("range_end"))
-    x = r.select("req_id", "file_id", F.coalesce("range_start", F.lit(0)).alias("s"), end.alias("e"), F.posexplode("chunks").alias("no", "c"))
-    lo, hi = F.greatest("s", "c.byte_offset"), F.least(F.col("e"), F.col("c.byte_offset") + F.col("c.size"))
-    return x.where((hi > lo) & F.col("c.byte_offset").isNotNull() & F.col("c.size").isNotNull()).select("req_id", "file_id", F.col("no").cast("long").alias("no"), "c.fid", (lo - F.col("c.byte_offset")).alias("skip"), (hi - lo).alias("take"))
+    r = r.select("req_id", "file_id", "s", end.alias("e")).where("e > s")
+    r = r.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s") / bucket), F.floor((F.col("e") - 1) / bucket))))
+    lo, hi = F.greatest("s", "a"), F.least("e", "b")
+    x = r.join(c, ["file_id", "bucket"]).where((hi > lo) & (F.col("bucket") == F.floor(lo / bucket)))
+    return x.select("req_id", "file_id", F.col("no").cast("long").alias("no"), "fid", (lo - F.col("a")).alias("skip"), (hi - lo).alias("take"))
 
 
 def read_sparse(touched: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -192,6 +192,15 @@ def scrub(packed: DataFrame, refs: DataFrame) -> DataFrame:
     return one.join(stored, ["disk_id", "table_fid"], "left").select("disk_id", "table_fid", "stored", n.cast("long").alias("entries"), bad.cast("long").alias("bad_entries"), reason.alias("reason"))
 
 
+def without_tables(log: DataFrame, tables: DataFrame) -> DataFrame:
+    """The log with a tombstone behind its end for every packed table of tables (disk_id, table_fid): what a scrub drops."""
+    e = with_kind(log).select("disk_id", "seq", "fid", "size", F.col("code").alias("jump_code"))
+    ends = e.groupBy("disk_id").agg(F.max("seq").alias("last"))
+    n = F.row_number().over(W.partitionBy("disk_id").orderBy("table_fid"))
+    dead = tables.distinct().join(ends, "disk_id").select("disk_id", (F.col("last") + n).alias("seq"), F.col("table_fid").alias("fid"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("jump_code"))
+    return e.unionByName(dead)
+
+
 def scrub_fix(records: DataFrame, report: DataFrame) -> DataFrame:
     """The records without the packed tables that a scrub found bad."""
     bad = report.where("reason is not null").select("disk_id", F.col("table_fid").alias("fid"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from ..functions.codecs import HEADER_BYTES, HEADER_VERSION, decode_entries, decode_header, encode_entry, encode_header, parse_snapshot_meta, snapshot_meta
 from ..functions.parse import parse_id
 from ..operators.changefeed import entry_kind
-from ..types import CAPACITY_UNIT, ENTRY_BYTES, GRID_START, INDEX_BYTES, INDEX_START
+from ..types import CAPACITY_UNIT, ENTRY_BYTES, GRID_START, INDEX_BYTES, INDEX_START, SLOT_BYTES
 
 _POOL = "version int, devices array<struct<status:string,device_path:string,disk_id:string,version:int,size_bytes:long>>"
 _BLOCK = 4 << 20
@@ -46,8 +46,18 @@ def write_pool(pool: DataFrame, path: str) -> None:
 _DEVICES = "device_path string, status string, disk_id long, version int, capacity_gb int, size_bytes long, note string"
 
 
-def find_devices(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Images at the paths with status match, no_header or error; only headers are read, in parallel."""
+#: Names of devices that a folder is searched for, as the first letters of a name.
+PREFIXES = ("sd", "nvme", "mmcblk", "vd", "zram")
+
+
+def device_paths(folder: str, include: tuple[str, ...] = ()) -> list[str]:
+    """Paths in a folder whose names begin like a device's or like one of `include`, sorted."""
+    return sorted(e.path for e in os.scandir(folder) if e.name.startswith(PREFIXES + tuple(include)) and not e.is_dir())
+
+
+def find_devices(spark: SparkSession, paths: list[str], include: tuple[str, ...] = ()) -> DataFrame:
+    """Images at the paths with status match, no_header or error; only headers are read, in parallel. Folders are searched for device names."""
+    paths = [p for given in paths for p in (device_paths(given, include) if os.path.isdir(given) else [given])]
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -260,3 +270,71 @@ def pool_state(devices: DataFrame, p: float | None = None) -> DataFrame:
     c = placement.chd(d.select("disk_id", "slots"), e.select("disk_id", "start", "end"), p)
     bad = strict_violations(log).select("disk_id").distinct().withColumn("bad", F.lit(True))
     return d.join(c, "disk_id").join(bad, "disk_id", "left").select("disk_id", "device_path", "pool_pos", is_zram_path(F.col("device_path")).alias("is_zram"), F.coalesce("bad", F.lit(False)).alias("faulted"), "slots", "chd")
+
+
+def read_objects(devices: DataFrame, objects: DataFrame) -> DataFrame:
+    """(disk_id, fid, size, payload) of objects (disk_id, fid, size) from the images of their disks; null where they reach beyond the grid.
+
+    devices: disk_id, device_path, size_bytes. Each task reads the bytes of its objects only.
+    """
+    from ..functions.address import address, slot_count
+
+    at = objects.join(devices.where("status = 'match'").select("disk_id", "device_path", "size_bytes"), "disk_id")
+    at = at.select("disk_id", "device_path", "fid", "size", address(slot_count(F.col("size_bytes")), F.col("fid"), F.col("size"))["addr"].alias("addr"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, n, addr in zip(b["device_path"], b["size"], b["addr"], strict=True):
+                data = None
+                if pd.notna(addr):
+                    with open(path, "rb") as f:
+                        f.seek(int(addr))
+                        data = f.read(int(n))
+                out.append(data if data is not None and len(data) == int(n) else None)
+            yield pd.DataFrame({"disk_id": b["disk_id"], "fid": b["fid"], "size": b["size"], "payload": out})
+
+    return at.mapInPandas(read, "disk_id long, fid long, size long, payload binary")
+
+
+def write_object(path: str, fid: int, payload: bytes) -> None:
+    """Writes an object's bytes to its slots in an image, padded with zeros."""
+    size = os.path.getsize(path)
+    slots, need = max(0, (size - GRID_START) // SLOT_BYTES), -(-len(payload) // SLOT_BYTES)
+    if not 0 < need <= slots:
+        raise ValueError("the object does not fit")
+    with open(path, "r+b") as f:
+        f.seek(GRID_START + (fid & (2**64 - 1)) % (slots - need + 1) * SLOT_BYTES)
+        f.write(payload.ljust(need * SLOT_BYTES, b"\0"))
+
+
+def scrub_images(devices: DataFrame, log: DataFrame) -> DataFrame:
+    """(disk_id, table_fid, size, reason, head, zero_filled) of every live packed table, read from its image.
+
+    reason: address, short, magic, version, header_size, container_size, length, entry_size,
+    entry_range or disk_id, the first rule that its bytes break; null if it is sound. head:
+    its first 16 bytes in hex; zero_filled: whether they are all zero.
+    """
+    from ..functions.codecs import packed_udf
+    from ..operators.changefeed import latest_records
+
+    tables = latest_records(log).where("packed").select("disk_id", "fid", F.col("actual_size").alias("size"))
+    x = read_objects(devices, tables).withColumn("p", packed_udf("payload"))
+    reason = F.when(F.col("payload").isNull(), "address").when(F.col("p.fault").isNotNull(), F.col("p.fault")).when(F.col("p.disk_id") != F.col("disk_id"), "disk_id")
+    head = F.substring(F.hex("payload"), 1, 32)
+    return x.select("disk_id", F.col("fid").alias("table_fid"), "size", reason.alias("reason"), head.alias("head"), F.coalesce(head.rlike("^0*$"), F.lit(False)).alias("zero_filled"))
+
+
+def rewrite_index(spark: SparkSession, devices: DataFrame, log: DataFrame, backup: str | None = None) -> None:
+    """Writes a compacted log into its images, after a backup of what they have and a check of what is written.
+
+    devices: those of the log's disks, a catalog. A log that breaks a rule of compacted logs is refused.
+    """
+    from ..operators import indexlog
+
+    new = indexlog.compacted(log)
+    if backup:
+        indexlog.backup(read_index(devices).drop("kind"), backup)
+    for r in devices.where("status = 'match'").select("disk_id", "device_path").collect():
+        rows = new.where(F.col("disk_id") == r["disk_id"]).orderBy("seq").select("fid", "size", "jump_code").toLocalIterator()
+        write_index(r["device_path"], [(x["fid"], x["size"], x["jump_code"]) for x in rows])
