@@ -113,9 +113,9 @@ def p1_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Per origin: whether wrong answers stay within ten times the expected rate (or one in a thousand, for few keys)."""
+    """Per origin: whether the wrong answers of every batch stay within ten times the number expected, and five."""
     r = p3_filter_errors(spark, d)
-    return r.groupBy("origin").agg(F.bool_and(F.col("measured_rate") <= F.greatest(10 * F.col("expected_rate"), F.lit(1e-3))).alias("within"))
+    return r.groupBy("origin").agg(F.bool_and(F.col("wrong_yes") <= 10 * F.col("expected_rate") * F.col("keys") + 5).alias("within"))
 
 
 def p5_checks(spark: SparkSession, d: str) -> DataFrame:
