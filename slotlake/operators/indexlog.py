@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..types import ANCHOR_CODE, ENTRY_BYTES, INDEX_BYTES, JUMP_SENTINEL, PACKED_SENTINEL
-from ..session import cut
+from ..session import broadcast_if_small, cut
 from .changefeed import BLOCK_BITS, _blocks, _edges, committed_changes, entry_kind, latest_records, ordered_entries
 from .consolidate import valid_entries
 from .prefix import blocked_running_sum
@@ -27,15 +27,35 @@ def index_end(log: DataFrame) -> DataFrame:
     return e.groupBy("disk_id").agg(F.min(F.when(zero, F.col("seq"))).alias("end_seq"))
 
 
-def find_latest(log: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Point lookups: the record of every wanted (disk_id, fid), status found or not_found.
+def find_latest(log: DataFrame, wanted: DataFrame, lenient: bool = False) -> DataFrame:
+    """Point lookups: the record of every wanted (disk_id, fid): status found, not_found or invalid_pair, size, target_fid, seq.
 
-    The last complete change of a fid wins; a pair resolves to size and target. Wanted
-    rows are narrow, so they are brought to the records by an equi-join.
+    A lookup reads the log as it lies: a pair gives its fid the size less one, and the row
+    that completes it is an entry of its own fid, too; of an anchor pair the real entry
+    wins. A jump indicator with no plain entry behind it spoils the log of its disk
+    (invalid_pair). lenient reads it as latest_records() does, which skips such pairs and
+    knows no record of a jump's target. Wanted rows are narrow and meet the records in an
+    equi-join; a disk's faults are a catalog.
     """
-    r = latest_records(log)
-    x = wanted.select("disk_id", "fid").distinct().join(r, ["disk_id", "fid"], "left")
-    return x.select("disk_id", "fid", F.when(F.col("seq").isNull(), "not_found").otherwise("found").alias("status"), "size", F.col("actual_fid").alias("target_fid"), "seq")
+    x = wanted.select("disk_id", "fid").distinct()
+    if lenient:
+        r = latest_records(log)
+        x = x.join(r, ["disk_id", "fid"], "left")
+        return x.select("disk_id", "fid", F.when(F.col("seq").isNull(), "not_found").otherwise("found").alias("status"), "size", F.col("actual_fid").alias("target_fid"), "seq")
+    rows = _blocks(ordered_entries(log), BLOCK_BITS)
+    e = rows.join(_edges(rows).select("disk_id", "block", "row_before", "end_seq"), ["disk_id", "block"]).where("end_seq is null or seq < end_seq")
+    e = e.withColumn("head", F.when(F.col("rn") == 1, F.col("row_before")).otherwise(F.col("prev")))
+    pending = F.coalesce((F.col("head.code") != 0) & (F.col("head.size") == JUMP_SENTINEL), F.lit(False))
+    spoilt = e.where(pending & ((F.col("code") != 0) | (F.col("size") == 0))).select("disk_id").distinct().withColumn("spoilt", F.lit(True))
+    event = lambda own, fid, seq, size, target: F.struct(F.col("seq").alias("pos"), F.lit(own).alias("own"), fid.alias("fid"), seq.alias("seq"), size.alias("size"), target.alias("target_fid"))
+    pair = F.when(pending, event(0, F.col("head.fid"), F.col("head.seq"), F.col("size") - 1, F.col("fid")))
+    own = F.when(~((F.col("code") != 0) & (F.col("size") == JUMP_SENTINEL)), event(1, F.col("fid"), F.col("seq"), F.col("size"), F.col("fid")))
+    events = e.select("disk_id", F.explode(F.array_compact(F.array(pair, own))).alias("v")).select("disk_id", F.col("v.fid").alias("fid"), "v")
+    last = events.groupBy("disk_id", "fid").agg(F.max("v").alias("v"))
+    x = x.join(last, ["disk_id", "fid"], "left").join(broadcast_if_small(spoilt), "disk_id", "left")
+    status = F.when(F.col("spoilt"), "invalid_pair").when(F.coalesce(F.col("v.size"), F.lit(0)) == 0, "not_found").otherwise("found")
+    found = status == "found"
+    return x.select("disk_id", "fid", status.alias("status"), *(F.when(found, F.col(f"v.{c}")).alias(c) for c in ("size", "target_fid", "seq")))
 
 
 def replay_refs(log: DataFrame, packed: DataFrame | None = None) -> DataFrame:

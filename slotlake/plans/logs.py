@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, changefeed, indexlog, placement, trim
-from ..session import cut, delete_at_end, shared_dir
+from ..session import broadcast_if_small, cut, delete_at_end, shared_dir
 from ..sources import images
 from ..sources.tables import table
 from .formats import _DEVICES_SQL, _devices
@@ -147,7 +147,7 @@ def trim_limits(s, d):
 
 def _payloads(s: SparkSession, d: str) -> DataFrame:
     """An object's bytes for every record: its fid in hex, over and over, up to its size."""
-    r = changefeed.latest_records(_log(s, d)).join(F.broadcast(catalog_thresholds(s, d)), "disk_id").where("size < threshold and size > 0").select("fid", "size").distinct()
+    r = changefeed.latest_records(_log(s, d)).join(broadcast_if_small(catalog_thresholds(s, d)), "disk_id").where("size < threshold and size > 0").select("fid", "size").distinct()
     h = F.lpad(F.hex("fid"), 16, "0")
     return r.select("fid", F.substring(F.repeat(h, F.ceil(F.col("size") / 16).cast("int")), F.lit(1), F.col("size").cast("int")).cast("binary").alias("payload"))
 

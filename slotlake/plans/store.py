@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import address, fid, parse
 from ..operators import catalog, changefeed, chunking, consolidate, indexlog, placement, reads, trim, writes
+from ..session import broadcast_if_small
 from ..sources.tables import table
 from ..types import hex_fid
 
@@ -179,13 +180,29 @@ def cross_disk_duplicates(s, d):
     return indexlog.cross_disk_duplicates(changefeed.latest_records(_log(s, d)))
 
 
-@query(f"""WITH {_live_sql()}, w AS (SELECT DISTINCT r.disk_id, p.fid FROM (SELECT DISTINCT disk_id FROM refs) r JOIN (SELECT DISTINCT disk_id, fid FROM refs WHERE fid % 100 = 0) p ON r.disk_id = p.disk_id)
-SELECT w.disk_id, w.fid, CASE WHEN l.seq IS NULL THEN 'not_found' ELSE 'found' END AS status, l.size, l.actual_fid AS target_fid, l.seq FROM w LEFT JOIN last l ON w.disk_id = l.disk_id AND w.fid = l.fid""")
+_WANTED_SQL = "w AS (SELECT DISTINCT disk_id, fid FROM refs WHERE fid % 100 = 0)"
+
+
+@query(
+    f"""WITH {_KINDS_SQL}, {_WANTED_SQL},
+n AS (SELECT *, lag(fid) OVER o AS pf, lag(seq) OVER o AS ps, coalesce(lag(kind) OVER o = 'jump', FALSE) AS pend FROM k WINDOW o AS (PARTITION BY disk_id ORDER BY seq)),
+bad AS (SELECT DISTINCT disk_id FROM n WHERE pend AND (code <> 0 OR size = 0)),
+v AS (SELECT disk_id, pf AS fid, seq AS pos, 0 AS own, ps AS seq, size - 1 AS size, fid AS target_fid FROM n WHERE pend UNION ALL SELECT disk_id, fid, seq, 1, seq, size, fid FROM n WHERE kind <> 'jump'),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY disk_id, fid ORDER BY pos DESC, own DESC) AS k FROM v) WHERE k = 1),
+r AS (SELECT w.disk_id, w.fid, CASE WHEN b.disk_id IS NOT NULL THEN 'invalid_pair' WHEN coalesce(l.size, 0) = 0 THEN 'not_found' ELSE 'found' END AS status, l.size, l.target_fid, l.seq FROM w LEFT JOIN l ON l.disk_id = w.disk_id AND l.fid = w.fid LEFT JOIN bad b ON b.disk_id = w.disk_id)
+SELECT disk_id, fid, status, CASE WHEN status = 'found' THEN size END AS size, CASE WHEN status = 'found' THEN target_fid END AS target_fid, CASE WHEN status = 'found' THEN seq END AS seq FROM r"""
+)
 def find_latest(s, d):
     """Point lookups of the refs whose fid is divisible by 100 (the query set) against the whole log."""
     return indexlog.find_latest(_log(s, d), table(s, d, "refs").where("fid % 100 = 0"))
 
 
+@query(f"WITH {_live_sql()}, {_WANTED_SQL} SELECT w.disk_id, w.fid, CASE WHEN l.seq IS NULL THEN 'not_found' ELSE 'found' END AS status, l.size, l.actual_fid AS target_fid, l.seq FROM w LEFT JOIN last l ON w.disk_id = l.disk_id AND w.fid = l.fid")
+def find_latest_lenient(s, d):
+    """The same, bad pairs skipped."""
+    return indexlog.find_latest(_log(s, d), table(s, d, "refs").where("fid % 100 = 0"), lenient=True)
+
+
 def _ref_sizes(s: SparkSession, d: str) -> DataFrame:
     return placement.logical_sizes(table(s, d, "refs"))
 
@@ -237,7 +254,7 @@ def trim_eligible(s, d):
 
 
 def _thresholds(s: SparkSession, d: str) -> DataFrame:
-    return F.broadcast(consolidate.latest_thresholds(table(s, d, "trim_status")).select("disk_id", "threshold"))
+    return broadcast_if_small(consolidate.latest_thresholds(table(s, d, "trim_status")).select("disk_id", "threshold"))
 
 
 @query(f"WITH {_live_sql()}, {_ELIGIBLE_SQL} SELECT e.disk_id, l.threshold, count(*) AS total_files, count(*) FILTER (WHERE e.size < l.threshold) AS small_files, count(*) FILTER (WHERE e.size < l.threshold) > 100 AND count(*) FILTER (WHERE e.size < l.threshold) > count(*) * 0.2 AS fires FROM eli e JOIN lim l ON e.disk_id = l.disk_id GROUP BY ALL")

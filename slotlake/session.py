@@ -46,10 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it wants it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Has `path` deleted when the session's JVM ends: for files that a lazy result still reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    fs, target = file_system(spark, path)
+    fs.deleteOnExit(target)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """An object store over Parquet: the client's verbs as batch operations.
 
-Objects lie in one folder per committed batch. A batch is written first and named in the
-table of batches last, so a reader never sees half of one. Objects have no slots here, so
-a put never jumps; placement on slot grids is in operators.placement.
+Objects lie in one folder per committed batch. A batch is written first and takes the next
+number in the folder of batches last, so a reader never sees half of one. Of two writers
+only one gets a number; the other decides anew which of its objects are still new. Objects
+have no slots here, so a put never jumps; placement on slot grids is in operators.placement.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from .config import Settings
 from .functions import codecs
 from .functions.fid import content_fid, xxh3
 from .operators import chunking, reads, writes
+from .session import cut, file_system
 from .types import ATOMIC_LIMIT, CDC_SIZES, signed
 
 _OBJECTS = "fid long, target_fid long, size long, payload binary"
@@ -30,23 +32,50 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None, cdc: tuple[int, int, int] = CDC_SIZES) -> None:
         self.spark, self.path, self.settings, self.cdc = spark, path, settings or Settings(), cdc
 
-    def _batches(self) -> list[str]:
-        marks = os.path.join(self.path, "batches")
-        return sorted(os.listdir(marks)) if os.path.isdir(marks) else []
+    def _batches(self) -> dict[int, str]:
+        """The folders of the committed batches by their numbers."""
+        fs, marks = file_system(self.spark, f"{self.path}/batches")
+        names = [f.getPath().getName() for f in fs.listStatus(marks)] if fs.exists(marks) else []
+        numbers = sorted(n for n in names if n.isdigit())
+        return {int(n): n for n in numbers}
 
-    def objects(self) -> DataFrame:
-        """fid, target_fid (whose payload it reads), size, payload of all committed objects."""
-        names = self._batches()
-        if not names:
+    def _read(self, batches: dict[int, str]) -> DataFrame:
+        if not batches:
             return self.spark.createDataFrame([], _OBJECTS)
-        return self.spark.read.schema(_OBJECTS).parquet(*(os.path.join(self.path, "objects", n) for n in names))
+        return self.spark.read.schema(_OBJECTS).parquet(*(f"{self.path}/objects/{self._folder(n)}" for n in batches.values()))
 
-    def _commit(self, df: DataFrame) -> None:
-        name = f"{len(self._batches()):08d}-{uuid.uuid4().hex[:8]}"
-        df.select("fid", "target_fid", "size", "payload").write.option("compression", "zstd").parquet(os.path.join(self.path, "objects", name))
-        os.makedirs(os.path.join(self.path, "batches"), exist_ok=True)
-        with open(os.path.join(self.path, "batches", name), "x"):
-            pass
+    def _folder(self, name: str) -> str:
+        """The folder that a batch's mark names."""
+        fs, mark = file_system(self.spark, f"{self.path}/batches/{name}")
+        stream = fs.open(mark)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def objects(self) -> DataFrame:
+        """fid, target_fid (whose payload it reads), size, payload of all committed objects."""
+        return self._read(self._batches())
+
+    def _commit(self, df: DataFrame, seen: dict[int, str]) -> bool:
+        """Writes a batch and takes the number after those seen; False, and nothing committed, if another writer has it."""
+        folder, number = uuid.uuid4().hex, max(seen, default=-1) + 1
+        where = f"{self.path}/objects/{folder}"
+        df.select("fid", "target_fid", "size", "payload").write.option("compression", "zstd").parquet(where)
+        fs, mark = file_system(self.spark, f"{self.path}/batches/{number:08d}")
+        fs.mkdirs(mark.getParent())
+        try:
+            out = fs.create(mark, False)  # fails if it is there
+        except Exception as e:  # noqa: BLE001
+            if not fs.exists(mark):
+                raise
+            del e
+            data, at = file_system(self.spark, where)
+            data.delete(at, True)
+            return False
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return True
 
     def put(self, rows: DataFrame) -> DataFrame:
         """Stores rows (seq, payload, alias_for); returns (seq, fid, status).
@@ -55,8 +84,15 @@ class Store:
         invalid_argument with the reason. An alias is a second fid that reads the payload
         without its last byte. Payloads are written once; admission sees narrow rows only.
         """
+        while True:
+            seen = self._batches()
+            verdict, new = self._decide(rows, self._read(seen).select("fid"))
+            if self._commit(new, seen):
+                return verdict
+
+    def _decide(self, rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(seq, fid, status) of the rows, and the objects to store."""
         x = rows.select("seq", "payload", F.nullif("alias_for", F.lit(0)).alias("alias_for"), xxh3("payload").alias("fid"), F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("total_size"))
-        known = self.objects().select("fid")
         verdict = writes.admit(x.drop("payload"), known, self.settings.max_put)
         clash = reads.exists(x.where("alias_for is not null").select("seq", F.col("alias_for").alias("fid")), known).select("seq", F.lit(True).alias("clash"))
         status = F.when(F.col("clash") & (F.col("status") == "ok"), "already_exists").otherwise(F.col("status"))
@@ -65,8 +101,7 @@ class Store:
         direct = ok.select("fid", F.col("fid").alias("target_fid"), F.col("total_size").alias("size"), "payload")
         alias = ok.where("alias_for is not null").select(F.col("alias_for").alias("fid"), F.col("fid").alias("target_fid"), (F.col("total_size") - 1).alias("size"), F.lit(None).cast("binary").alias("payload"))
         verdict.count()
-        self._commit(direct.unionByName(alias))
-        return verdict
+        return verdict, direct.unionByName(alias)
 
     def put_bytes(self, data: bytes, alias_for: int | None = None) -> dict:
         """Stores one payload; fid, is_duplicate, jumps_taken. ValueError if refused."""
@@ -79,26 +114,31 @@ class Store:
         """Stores a file: as one object up to 16 MiB, else in content-defined chunks with a manifest."""
         if cdc and atomic:
             raise ValueError("cdc and atomic exclude each other")
-        with open(path, "rb") as f:
-            data = f.read()
-        if atomic and len(data) > ATOMIC_LIMIT:
+        size = os.path.getsize(path)
+        if atomic and size > ATOMIC_LIMIT:
             raise ValueError("payload too large")
-        return self.put_cdc(data, os.path.basename(path)) if cdc or (not atomic and len(data) > ATOMIC_LIMIT) else self.put_bytes(data)
+        if cdc or (not atomic and size > ATOMIC_LIMIT):
+            return self._put_chunks(self.spark.read.format("binaryFile").load(path).select(F.col("content").alias("payload")), os.path.basename(path))
+        with open(path, "rb") as f:
+            return self.put_bytes(f.read())
 
     def put_cdc(self, data: bytes, filename: str = "") -> dict:
         """Stores chunks and their manifest; manifest_fid, chunks, uploaded and deduplicated counts."""
-        parts, at, rows = [], 0, []
-        for k, size in enumerate(chunking.cut_sizes(data, *self.cdc)):
-            part = data[at : at + size]
-            parts.append({"fid": content_fid(part), "target_fid": 0, "byte_offset": at, "size": size, "jumps_taken": 0})
-            rows.append((k, bytearray(part), None))
-            at += size
-        if not rows:
+        return self._put_chunks(self.spark.createDataFrame([(bytearray(data),)], "payload binary"), filename)
+
+    def _put_chunks(self, file: DataFrame, filename: str) -> dict:
+        """put_cdc of the one row of file (payload): it is cut, hashed and stored by a task; the driver sees the chunks' descriptors."""
+        one = file.withColumn("file_id", F.lit(0).cast("long"))
+        parts = cut(chunking.chunk(one, *self.cdc))
+        chunks = parts.select("idx", "fid", "byte_offset", "size").orderBy("idx").collect()
+        if not chunks:
             raise ValueError("invalid_argument:empty")
-        done = self.put(self.spark.createDataFrame(rows, "seq long, payload binary, alias_for long"))
+        done = self.put(parts.select(F.col("idx").cast("long").alias("seq"), "payload", F.lit(None).cast("long").alias("alias_for")))
         uploaded = done.where("status = 'ok'").count()
-        m = codecs.encode_manifest({"total_size": len(data), "full_content_hash": content_fid(data), "filename": filename, "chunk_target_size": self.cdc[1], "chunks": parts})
-        return {"manifest_fid": self.put_bytes(m)["fid"], "chunks": len(parts), "uploaded": uploaded, "deduplicated": len(parts) - uploaded}
+        content = one.select(xxh3("payload")).first()[0]
+        listed = [{"fid": c["fid"], "target_fid": 0, "byte_offset": c["byte_offset"], "size": c["size"], "jumps_taken": 0} for c in chunks]
+        m = codecs.encode_manifest({"total_size": sum(c["size"] for c in chunks), "full_content_hash": content, "filename": filename, "chunk_target_size": self.cdc[1], "chunks": listed})
+        return {"manifest_fid": self.put_bytes(m)["fid"], "chunks": len(chunks), "uploaded": uploaded, "deduplicated": len(chunks) - uploaded}
 
     def get_many(self, requests: DataFrame) -> DataFrame:
         """(req_id, fid, status, start, end, data) of requests (req_id, fid, range_start, range_end)."""
@@ -151,10 +191,9 @@ class Store:
         return reads.verify_content(expected, self.objects().where("payload is not null"))
 
     def compact(self) -> None:
-        """Rewrites all batches as one, each object once: the store's own small files."""
-        names = self._batches()
-        if len(names) > 1:
-            one = self.objects().dropDuplicates(["fid"])
-            self._commit(one)
-            for n in names:
-                os.remove(os.path.join(self.path, "batches", n))
+        """Rewrites all batches as one, each object once: the store's own small files. Old batches go after the new one is there; their files stay for readers that have begun."""
+        while len(seen := self._batches()) > 1:
+            if self._commit(self._read(seen).dropDuplicates(["fid"]), seen):
+                for n in seen.values():
+                    fs, mark = file_system(self.spark, f"{self.path}/batches/{n}")
+                    fs.delete(mark, False)

@@ -124,6 +124,9 @@ def test_image_verbs(spark, tmp_path, capsys):
     assert cli.main([*base, "health"]) == 0 and json.loads(capsys.readouterr().out) == {"ok": True}
     images.write_index(a, [(5, 8 << 20, 0), (6, 10, 0), (6, 0, 0)])
     assert cli.main([*base, "bonnie"]) == 0 and json.loads(capsys.readouterr().out)["ch_d_pow2"] == 0
+    # A full disk is healthy; one whose log a strict replay refuses is not.
+    assert cli.main([*base, "health"]) == 0
+    images.write_index(a, [(5, 4096, 0), (5, 4096, 0)])
     assert cli.main([*base, "health"]) == 1
     assert cli.main([*base, "blk", "index-compact", "--path", a, "-o", str(tmp_path / "log")]) == 0
     assert [(r.seq, r.fid) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [(1, 5)]

@@ -94,3 +94,24 @@ def test_jobs(spark, frame):
     disks = frame("disk_id long, slots long, faulted boolean", [(1, 5, False), (2, 5, False), (3, 5, True), (4, 0, False), (5, 1, False)])
     jobs.trim_job(lambda: disks, trim, lambda d, e: failed.append((d, str(e))))(0)
     assert done == [1, 5] and failed == [(2, "no room")]
+
+
+def test_two_writers(spark, frame, tmp_path):
+    from slotlake.store import Store
+
+    a, b = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    a.put_bytes(b"first")
+    rows = frame("seq long, payload binary, alias_for long", [(0, b"same", None), (1, b"first", None)])
+    inner, raced = a._commit, []
+
+    def commit(df, seen):
+        if not raced:
+            raced.append(b.put_bytes(b"same")["is_duplicate"])
+        return inner(df, seen)
+
+    a._commit = commit
+    got = {r.seq: r.status for r in a.put(rows).collect()}
+    assert raced == [False] and got == {0: "already_exists", 1: "already_exists"}
+    assert a.objects().count() == 2
+    b.compact()
+    assert a.objects().count() == 2 and len(a._batches()) == 1
