@@ -140,6 +140,10 @@ def header_bytes_udf(capacity_gb: pd.Series, disk_id: pd.Series, note: pd.Series
     return pd.Series([encode_header(int(c), int(d), n or "") for c, d, n in zip(capacity_gb, disk_id, note, strict=True)])
 
 
+#: Where a packed table's nonce lies.
+NONCE_AT = 40
+
+
 def encode_packed(disk_id: int, container_fid: int, container_size: int, entries: list[tuple[int, int, int]], nonce: int = 0) -> bytes:
     """A packed table; entries are (fid, offset, size)."""
     head = _PACKED.pack(PACKED_MAGIC, PACKED_VERSION, _PACKED.size, disk_id & _U64, container_fid & _U64, container_size, len(entries), nonce)

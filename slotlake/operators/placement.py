@@ -283,6 +283,16 @@ def put_in_order(requests: DataFrame, taken: DataFrame | None = None, max_jumps:
     before = before.withColumn("jumps", F.lit(None).cast("array<long>")).withColumn("all_jumps", F.lit(0))
     known = base.limit(0).select("disk_id", "seq", F.array().cast("array<long>").alias("jumps"))
     disks = max(1, slots.count())
+
+    def jumps_of(asking: DataFrame, tries: int) -> DataFrame:
+        return q.select("disk_id", "seq", "payload").join(asking, ["disk_id", "seq"], "left_semi").select("disk_id", "seq", of(F.col("payload"), tries).alias("jumps"))
+
+    if max_jumps:
+        # Those whose own extents meet another's will ask most likely; the replay finds the others.
+        at = address(F.col("slots"), F.col("fid"), F.col("size"))
+        direct = base.where("reason is null").select("disk_id", F.col("seq").alias("fid"), at["slot"].alias("start"), (at["slot"] + at["need"] - 1).alias("end"))
+        there = before.select("disk_id", F.col("seq").alias("fid"), F.col("fid").alias("start"), (F.col("fid") + F.col("size") - 1).alias("end"))
+        known = cut(jumps_of(contested(direct.unionByName(there)).select("disk_id", F.col("fid").alias("seq")).distinct(), min(JUMPS_FIRST, max_jumps)))
     for tries in dict.fromkeys((min(JUMPS_FIRST, max_jumps), max_jumps)):
         while True:
             rows = base.join(known, ["disk_id", "seq"], "left").withColumn("all_jumps", F.lit(max_jumps)).unionByName(before)
@@ -290,8 +300,7 @@ def put_in_order(requests: DataFrame, taken: DataFrame | None = None, max_jumps:
             asking = placed.where((F.col("status") == "more") & (F.col("jumps_taken") < tries)).select("disk_id", "seq")
             if not max_jumps or asking.isEmpty():
                 break
-            new = q.select("disk_id", "seq", "payload").join(asking, ["disk_id", "seq"], "left_semi").select("disk_id", "seq", of(F.col("payload"), tries).alias("jumps"))
-            known = cut(known.join(asking, ["disk_id", "seq"], "left_anti").unionByName(new))
+            known = cut(known.join(asking, ["disk_id", "seq"], "left_anti").unionByName(jumps_of(asking, tries)))
     p = placed.join(base.select("disk_id", "seq", "size"), ["disk_id", "seq"])
     outcome = p.select("disk_id", "fid", "size", F.struct("seq", "target_fid", "jumps_taken", "status", "slot").alias("p"))
     stored = p.where("status = 'ok'").select("disk_id", "target_fid", "fid", "seq").select("disk_id", "seq", F.explode(F.array_distinct(F.array("fid", "target_fid"))).alias("fid")).groupBy("disk_id", "fid").agg(F.min("seq").alias("stored"))

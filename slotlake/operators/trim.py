@@ -125,7 +125,7 @@ def cycle(log: DataFrame, packed: DataFrame, thresholds: DataFrame, payloads: Da
     payloads: fid, payload. A disk with an object whose bytes are missing or of another
     length is left alone, too. Rewrite the log with indexlog.compacted() afterwards.
     """
-    from ..functions.codecs import encode_packed, packed_udf
+    from ..functions.codecs import NONCE_AT, encode_packed, packed_udf
     from ..functions.fid import NONCES, container_fids, content_fid
     from ..session import cut
     from .changefeed import latest_records
@@ -157,8 +157,12 @@ def cycle(log: DataFrame, packed: DataFrame, thresholds: DataFrame, payloads: Da
     @F.udf("array<struct<nonce:int,fid:long,size:long>>")
     def table_fids(disk, fid, size, entries):
         rows = [(e["fid"], e["byte_offset"], e["size"]) for e in entries]
-        blobs = ((n, encode_packed(disk, fid, size, rows, n)) for n in range(NONCES if slots is not None else 1))
-        return [(n, content_fid(b), len(b)) for n, b in blobs]
+        blob = bytearray(encode_packed(disk, fid, size, rows))
+        out = []
+        for n in range(NONCES if slots is not None else 1):
+            blob[NONCE_AT : NONCE_AT + 8] = n.to_bytes(8, "little")
+            out.append((n, content_fid(blob), len(blob)))
+        return out
 
     @F.udf("binary")
     def table(disk, fid, size, entries, nonce):
