@@ -99,7 +99,10 @@ def can_write(s, d):
     return _catalog(s, d).select("disk_id", placement.can_write(F.col("n"), F.col("slots"), F.col("faulted")).alias("writable"))
 
 
-@query(f"WITH {_CATALOG_SQL} SELECT faulted, coalesce(bool_and(slots >= 1 AND NOT faulted), FALSE) AS ok FROM cat GROUP BY faulted UNION ALL SELECT NULL, coalesce(bool_and(slots >= 1 AND NOT faulted), FALSE) FROM cat")
+_FINE = "coalesce(bool_and(slots >= 1 AND NOT faulted)"
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT TRUE AS faulted, {_FINE} FILTER (WHERE faulted), FALSE) AS ok FROM cat UNION ALL SELECT FALSE, {_FINE} FILTER (WHERE NOT faulted), FALSE) FROM cat UNION ALL SELECT NULL, {_FINE}, FALSE) FROM cat")
 def health(s, d):
     """Health of the pool of faulted disks, of that of sound ones, and of all."""
     c = _catalog(s, d)
