@@ -135,3 +135,10 @@ def test_manifest(frame):
     got = frame("b binary", [(data,), (b"plain",), (None,)]).select(codecs.manifest_udf("b").alias("m")).select("m.*").collect()
     assert got[0].total_size == 300 and got[0].chunks[1].target_fid == 7 and got[1].version is None and got[2].chunks is None
     assert codecs.parse_snapshot_meta(codecs.snapshot_meta(9, "a" * 64)) == (9, "a" * 64)
+
+
+def test_manifest_below_zero(frame):
+    m = {"version": 1, "total_size": -1, "full_content_hash": -5, "filename": "f", "chunk_target_size": -(2**63)}
+    m["chunks"] = [{"fid": -9, "target_fid": -1, "byte_offset": -1, "size": -(2**63), "jumps_taken": -1}, {"fid": 8, "target_fid": 7, "byte_offset": 2**63 - 1, "size": 0, "jumps_taken": 2**31 - 1}]
+    got = frame("b binary", [(codecs.encode_manifest(m),), (b"plain",)]).select(codecs.manifest_udf("b").alias("m")).select("m.*").collect()
+    assert got[0].asDict(recursive=True) == m and got[1].version is None
